@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality
+from . import decontaminate, mixing, neardup, quality, substring
 from .common import table
 
 
 def queries() -> dict:
     return {
+        "op1_near_dedup": lambda spark, d: neardup.query(table(spark, d, "documents")),
         "op2_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents")),
+        "op3_substring_dedup": lambda spark, d: substring.query(table(spark, d, "documents")),
         "op6_decontamination": lambda spark, d: decontaminate.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op8_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
     }
