@@ -81,23 +81,22 @@ def hits_of(docs: DataFrame, doc: str, text: str, windows: DataFrame, broadcast_
         .where("anchor.df > 0")
         .select("window", fold.alias("folded"), F.size("window").alias("k"), F.col("anchor.word").alias("word"), F.col("anchor.at").alias("at"))
     )
-    found = texts.withColumn("w", folded_words(F.col("text"))).select("key", "text", "w", F.posexplode("w").alias("pos", "word"))
+    fits = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("k") <= F.size("w"))
+    start = F.col("pos") - F.col("at")
     if small:
-        # One row for each word that windows are anchored at, so a document word meets one row at most.
-        lists = anchors.groupBy("word").agg(F.collect_list(F.struct("at", "k", "folded", "window")).alias("of"))
-        fits = lambda x: (F.col("pos") >= x["at"]) & (F.col("pos") - x["at"] + x["k"] <= F.size("w"))
-        same = F.filter(F.filter("of", fits), lambda x: F.slice(F.col("w"), F.col("pos") - x["at"] + 1, x["k"]) == x["folded"])
-        met = found.join(held(lists), "word").withColumn("m", same).where(F.size("m") > 0)
-        met = met.select("key", "text", "pos", F.explode("m").alias("m")).select("key", "text", (F.col("pos") - F.col("m.at")).alias("start"), F.col("m.k").alias("k"), F.col("m.window").alias("window"))
-    else:
-        met = (
-            found.join(anchors, "word")
-            .where((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("k") <= F.size("w")))
-            .where(F.slice("w", F.col("pos") - F.col("at") + 1, F.col("k")) == F.col("folded"))
-            .select("key", "text", (F.col("pos") - F.col("at")).alias("start"), "k", "window")
-        )
-    plain = F.octet_length("text") == F.length("text")
-    return met.where(plain | (F.slice(bench_words(F.col("text")), F.col("start") + 1, F.col("k")) == F.col("window"))).select("key", "start", "window")
+        # Nothing but generated code stands between the explode and the last filter, so a
+        # long text's rows are made and dropped one by one, never held together.
+        plain = F.octet_length("text") == F.length("text")
+        exact = plain | (F.slice(bench_words(F.col("text")), start + 1, F.col("k")) == F.col("window"))
+        found = texts.withColumn("w", folded_words(F.col("text"))).select("key", "text", "w", F.posexplode("w").alias("pos", "word"))
+        return found.join(F.broadcast(anchors), "word").where(fits & (F.slice("w", start + 1, F.col("k")) == F.col("folded")) & exact).select("key", start.alias("start"), "window")
+    # By shuffle, a word takes only the words around it along.
+    reach = F.lit(anchors.agg(F.max("k")).first()[0] or 1)
+    found = texts.withColumn("w", bench_words(F.col("text"))).select("key", "w", F.posexplode("w").alias("pos", "exact"))
+    found = found.select("key", F.lower("exact").alias("word"), "pos", F.slice("w", F.greatest(F.col("pos") - reach + 2, F.lit(1)), reach * 2 - 1).alias("near"), F.least(F.col("pos"), reach - 1).alias("left"))
+    begins = F.col("left") - F.col("at")
+    met = found.join(anchors, "word").where((begins >= 0) & (begins + F.col("k") <= F.size("near"))).where(F.slice("near", begins + 1, F.col("k")) == F.col("window"))
+    return met.select("key", start.alias("start"), "window")
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
