@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, substring
+from . import decontaminate, htmltext, mixing, neardup, quality, substring, tokens, warc
 from .common import table
 
 
@@ -12,9 +12,12 @@ def queries() -> dict:
         "op2_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents")),
         "op3_substring_dedup": lambda spark, d: substring.query(table(spark, d, "documents")),
         "op6_decontamination": lambda spark, d: decontaminate.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op7_html_text": lambda spark, d: htmltext.query(table(spark, d, "pages")),
         "op8_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+        "op9_warc": lambda spark, d: warc.query(table(spark, d, "pages")),
+        "op10_token_ids": lambda spark, d: tokens.query(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE, "op6_decontamination": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op2_quality_rules": quality.ORACLE, "op6_decontamination": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
