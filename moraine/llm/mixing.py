@@ -57,9 +57,10 @@ def targets_of(sources: DataFrame, weight: Column, most: int = MOST) -> DataFram
             "open": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
         }
     )
-    # The level if this source and all with a larger ratio stay below their caps; the true level is the first that holds.
+    # The level if this source and all with a larger ratio stay below their caps; the true level is the first that
+    # holds, and sources before it are at their caps.
     ranked = ranked.withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every)
+    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("place"), F.col("level").alias("level")))).over(every)["level"]
     return ranked.withColumn("target", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap"))).drop("total", "capped", "open", "level", "cap", "weight")
 
 
@@ -128,7 +129,7 @@ r AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lv
   FROM s),
-t AS (SELECT source, source_size, least(cap, (SELECT min(lv) FROM r WHERE lv * w <= cap) * w) AS target FROM r),
+t AS (SELECT source, source_size, least(cap, (SELECT lv FROM r WHERE lv * w <= cap ORDER BY cap / w, source LIMIT 1) * w) AS target FROM r),
 o AS (
   SELECT k.doc_id, k.size, t.source_size, t.target, floor(t.target / t.source_size) AS epochs,
          t.target - floor(t.target / t.source_size) * t.source_size AS rest,
