@@ -24,16 +24,21 @@ from pyspark.sql import functions as F
 from .common import scratch, settled
 
 BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, in texts without and with A-Z.
+BETWEEN = r"[^a-z0-9\x80-\x{10FFFF}]+"
+BETWEEN_ANY_CASE = r"[^A-Za-z0-9\x80-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: At most so many windows are broadcast (about 500 bytes each); beyond that the join is by shuffle.
 BROADCAST_WINDOWS = 100_000
 
 
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, BETWEEN), "")
+
+
 def bench_words(text: Column) -> Column:
     """The contract's words, exactly: only A-Z are lower-cased."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(BENCH_WORD), F.lit(0))
+    return _split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER))
 
 
 def folded_words(text: Column) -> Column:
@@ -43,7 +48,7 @@ def folded_words(text: Column) -> Column:
     what it finds in a text with characters beyond ASCII is then verified with
     `bench_words`.
     """
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(BENCH_WORD), F.lit(0))
+    return _split(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def row_key(doc: str, text: str) -> Column:
@@ -114,7 +119,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str =
         hits.select("key", "window").distinct().join(windows, "window").select("key", F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item")).distinct()
         .groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
-    sizes = docs.select(F.col(doc).alias("doc"), row_key(doc, text).alias("key"), F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD), F.lit(0))).cast("long").alias("n_words"))
+    sizes = docs.select(F.col(doc).alias("doc"), row_key(doc, text).alias("key"), F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN_ANY_CASE), "")).cast("long").alias("n_words"))
     held = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return sizes.join(n_hit.join(items, "key"), "key", "left").select(
         F.col("doc").alias(doc),
