@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .plans import queries as plans
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.SQL)
+
+
+def flagship(spark, sf_dir: str):
+    return plans.QUERIES["dedup_savings"](spark, sf_dir)

@@ -1 +1,98 @@
+"""Column expressions for paths, sizes and content."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Device stems that a path component may not have (fixed values).
+DEVICES = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
+
+
+def group_key(path: Column) -> Column:
+    """The lower-cased extension if it has 1 to 16 bytes and no slash, else empty."""
+    ext = F.lower(F.substring_index(path, ".", -1))
+    good = (F.instr(path, ".") > 0) & F.octet_length(ext).between(1, 16) & (F.instr(ext, "/") == 0)
+    return F.when(good, ext).otherwise("")
+
+
+def collision_key(path: Column) -> Column:
+    return F.lower(path)
+
+
+def normalize_selector(sel: Column) -> Column:
+    return F.regexp_replace(F.translate(sel, "\\", "/"), "/+$", "")
+
+
+def ancestors(path: Column) -> Column:
+    """All folders above a path, and the path itself."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def component_ok(part: Column) -> Column:
+    stem = F.lower(F.substring_index(part, ".", 1))
+    return (
+        (part != "") & (part != ".") & (part != "..")
+        & ~part.rlike(r"[\\:<>\"|?*\x00-\x1f]") & ~part.rlike(r"[ .]$") & ~stem.isin(*DEVICES)
+    )
+
+
+def path_ok(path: Column) -> Column:
+    return F.forall(F.split(path, "/"), component_ok)
+
+
+def normalize_rel(path: Column) -> Column:
+    """Backslashes become slashes and single dots go; null where a component is refused or nothing is left."""
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda x: x != ".")
+    return F.when((F.size(parts) > 0) & F.forall(parts, component_ok), F.array_join(parts, "/"))
+
+
+def human(n: Column) -> Column:
+    """1024 steps, one decimal, whole bytes."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for power, name in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", F.bround(n.cast("double") / float(1024**power), 1)), F.lit(f" {name}"))).otherwise(out)
+    return out
+
+
+def parse_size(text: Column) -> Column:
+    number = F.regexp_extract(F.trim(text), r"^(\d+)\s*([KkMmGg]?)$", 1)
+    unit = F.upper(F.regexp_extract(F.trim(text), r"^(\d+)\s*([KkMmGg]?)$", 2))
+    factor = F.when(unit == "K", 1 << 10).when(unit == "M", 1 << 20).when(unit == "G", 1 << 30).otherwise(1)
+    return F.when(number != "", number.cast("long") * factor)
+
+
+def codec_name(codec: Column) -> Column:
+    from .. import model
+
+    out = F.lit("unknown")
+    for i, name in model.CODECS.items():
+        out = F.when(codec == i, name).otherwise(out)
+    return out
+
+
+def sniff(head: Column) -> Column:
+    """The kind of a file from its first bytes."""
+    h = F.hex(F.substring(head, 1, 16))
+    return (
+        F.when(h.startswith("504B0304"), "zip").when(h.startswith("377ABCAF271C"), "7z")
+        .when(h.startswith("526172211A0700") | h.startswith("526172211A070100"), "rar").when(h.startswith("89504E470D0A1A0A"), "png")
+        .when(h.startswith("1F8B"), "gzip").when(h.startswith("25504446"), "pdf").when(h.startswith("FFD8FF"), "jpeg")
+        .when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57415645"), "wav").when(h.startswith("494433"), "mp3")
+        .when(h.startswith("4D5A") | h.startswith("7F454C46") | h.startswith("CFFAEDFE"), "executable")
+        .when(h.startswith("28B52FFD"), "zstd").when(h.startswith("FD377A585A00"), "xz").otherwise("other")
+    )
+
+
+def stored_bytes(packed: Column, unpacked: Column, length: Column) -> Column:
+    """An extent's share of its unit's packed bytes, rounded down."""
+    part = (packed * length - F.pmod(packed * length, F.greatest(unpacked, F.lit(1)))) / F.greatest(unpacked, F.lit(1))
+    return F.when((unpacked == 0) | (length >= unpacked), packed).otherwise(part).cast("long")
+
+
+def spread_sample(data: Column, size: Column, runs: int = 8, share: int = 16) -> Column:
+    """`runs` runs, one sixteenth of the data in all, at even steps."""
+    run = F.floor(size / (share * runs)).cast("int")
+    step = F.floor(size / runs).cast("int")
+    return F.concat(*[F.substring(data, step * i + 1, run) for i in range(runs)])
