@@ -10,12 +10,11 @@ all, however long it is.
 
 Texts of equal words form one class first, so copies cost one row each.  Class
 representatives that agree on a whole band meet in a bucket; each is compared with
-the bucket's smallest id by exact similarity.  Members that this leaves outside
-the bucket's main component are compared on in rounds, with twice as many
-leaders each time, so no link between candidates is lost and none but unlike
-texts are ever compared pair by pair.  A text at distance d from a leader can't be
-within the limit of anything within the limit of that leader once d is twice the
-limit, as the distance is a metric; such comparisons are left out.
+the bucket's hub by exact similarity.  Members that these links leave outside the
+hub's component are then held against all members of their bucket, in blocks of
+bounded size of which only connecting links leave a task.  So of two candidates
+that don't end in the hub's component at once, each is compared with the other:
+no link between candidates is lost, and no pairs within a group are emitted.
 
 Defined results: a null, empty or blank text has no shingles and is a class of
 its own; a text of fewer than five words has one shingle, of all of them; rows
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, settled
@@ -127,51 +126,79 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double")
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (smaller, larger) pairs of ids that meet in a bucket."""
-    met = left.join(right, "bucket").where("id <> leader")
-    return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-
-
-def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def _links_within(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between the documents of two blocks, as many as are needed to connect what they connect."""
+    known = WordHashes()
+    ids, sets, of = [], [], {}
+    for side in (left, right):
+        for batch in side.select(["id", "text"]).to_batches():
+            for i, text in zip(batch.column("id").to_pylist(), payloads(batch, "text")):
+                if i not in of:
+                    of[i] = len(ids)
+                    ids.append(i)
+                    sets.append(units(shingles(known.of(text.split()), WIDTH)))
+    sizes = np.array([len(x) for x in sets], np.int64)
+    whole = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(whole, kind="stable")
+    whole, owner = whole[order], owner[order]
+    parent = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    a, b = [], []
+    for x in sorted({of[i] for i in left.column("id").to_pylist()}):
+        first, last = np.searchsorted(whole, sets[x], "left"), np.searchsorted(whole, sets[x], "right")
+        count = last - first
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        common = np.bincount(owner[at], minlength=len(ids))
+        near = common >= SIMILARITY * (sizes[x] + sizes - common)
+        for y in np.flatnonzero(near).tolist():
+            if y != x and root(x) != root(y):
+                parent[root(x)] = root(y)
+                a.append(min(ids[x], ids[y]))
+                b.append(max(ids[x], ids[y]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _leftover_links(members: DataFrame, linked: DataFrame, hubs: DataFrame, texts: DataFrame, folder: str, block: int = 256) -> DataFrame:
+    """Links of the bucket members that the links to hubs left outside the hub's component, with all in their bucket."""
+    named = linked.select(F.col("node").alias("id"), "component")
+    state = members.select("bucket", "id").join(hubs, "bucket").join(named, "id", "left").join(named.toDF("hub", "hub_component"), "hub", "left")
+    outside = F.coalesce("component", "id") != F.coalesce("hub_component", "hub")
+    state = settled(state.select("bucket", "id", outside.alias("outside")), f"{folder}/state")
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    counts = state.groupBy("bucket").agg(blocks(F.count_if("outside")).alias("rows"), blocks(F.count(F.lit(1))).alias("columns"), F.count_if("outside").alias("n")).where("n > 0").drop("n")
+    dealt = settled(state.join(counts, "bucket"), f"{folder}/dealt")
+    near = texts.join(dealt.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = dealt.where("outside").select("bucket", "id", own("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j")).join(near, "id")
+    right = dealt.select("bucket", "id", own("columns").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i")).join(near, "id")
+    left, right = (x.select(*[F.col(c).alias(f"{side}_{c}" if c not in ("id", "text") else c) for c in ("bucket", "i", "j", "id", "text")]) for side, x in (("l", left), ("r", right)))
+    found = left.groupBy("l_bucket", "l_i", "l_j").cogroup(right.groupBy("r_bucket", "r_i", "r_j")).applyInArrow(_links_within, "a long, b long")
+    return settled(found.distinct(), f"{folder}/leftover")
+
+
+def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: (doc, class_id), the smallest id of its class."""
     folder = scratch(docs.sparkSession)
     texts = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
     signed = settled(texts.mapInArrow(_sign, "id long, digest binary, bands array<long>"), f"{folder}/signed")
     copies = settled(signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), f"{folder}/copies")
     met = copies.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    mains = met.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
-    mains = settled(mains, f"{folder}/mains")
-    pairs = _pairs(met, mains)
-    verified, linked, leaders = None, None, mains
-    for step in range(64):
-        done = settled(compared(pairs, texts), f"{folder}/verified-{step}")
-        verified = done if verified is None else verified.union(done)
-        links = verified.where(F.col("similarity") >= similarity)
-        linked = components(links, f"{folder}/linked-{step}")
-        # Members of buckets that are not in the component of the bucket's main leader and have not led yet.
-        if step == 0:
-            members = settled(met.join(mains, "bucket").where("id <> leader").withColumnRenamed("leader", "main"), f"{folder}/members")
-            led = None
-        named = linked.select(F.col("node").alias("id"), "component")
-        state = members.join(named, "id", "left").join(named.toDF("main", "main_component"), "main", "left")
-        outside = ~F.coalesce(F.col("component"), F.col("id")).eqNullSafe(F.coalesce("main_component", "main"))
-        sims = verified.select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity")
-        state = state.withColumn("outside", outside).join(sims, (F.least("id", "main") == sims["x"]) & (F.greatest("id", "main") == sims["y"]), "left").drop("x", "y")
-        state = settled(state.select("bucket", "id", "outside", (F.coalesce("similarity", F.lit(0.0)) >= 2 * similarity - 1).alias("near")), f"{folder}/state-{step}")
-        pending = state.where("outside")
-        if led is not None:
-            pending = pending.join(led, ["bucket", "id"], "left_anti")
-        order = Window.partitionBy("bucket").orderBy("id")
-        leaders = pending.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2**step).select("bucket", F.col("id").alias("leader"), "near")
-        leaders = settled(leaders, f"{folder}/leaders-{step}")
-        if leaders.isEmpty():
-            break
-        now = leaders.select("bucket", F.col("leader").alias("id"))
-        led = now if led is None else led.union(now)
-        # All others outside, and those inside too if the leader may be near one of them.
-        pairs = _pairs(state.where("outside").select("bucket", "id"), leaders.select("bucket", "leader")).union(_pairs(state.where("not outside").select("bucket", "id"), leaders.where("near").select("bucket", "leader"))).distinct()
-        pairs = settled(pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti"), f"{folder}/pairs-{step}")
+    members = settled(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket"), f"{folder}/members")
+    # The hub of a bucket is its member that meets most others over all buckets: the original of a crowd of variants.
+    score = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("score"))
+    hubs = members.join(score, "id").groupBy("bucket").agg((-F.max(F.struct("score", (-F.col("id")).alias("id")))["id"]).alias("hub"))
+    hubs = settled(hubs, f"{folder}/hubs")
+    pairs = members.join(hubs, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links = settled(compared(pairs, texts).where(F.col("similarity") >= SIMILARITY).select("a", "b"), f"{folder}/links")
+    leftover = _leftover_links(members, components(links, f"{folder}/first"), hubs, texts, folder)
+    linked = components(links.union(leftover), f"{folder}/last")
     rep = copies.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class"))
     return signed.select("id", "digest").join(rep, "digest", "left").select(F.col("id").alias(doc), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
 
