@@ -12,11 +12,13 @@ code points.
 Only runs that can repeat are digested: texts are winnowed (a fingerprint of 25
 words at least every 26 words, so each run of fifty has one), fingerprints found
 in one document only rule their runs out, and the rest are grouped exactly by
-128-bit digests.
+128-bit digests.  Documents of equal words are found first: all but the first lose
+every word.
 
 Defined results: a null text stays null and has no unit; texts of fewer words
-than a unit lose nothing; a repeat inside one document stays; rows with equal ids
-are one document and keep what either has; a null id ranks last and its text
+than a unit lose nothing; a repeat inside one document stays; rows with equal ids are
+one document, and what repeats in either goes from the same places of both; a
+null id ranks last and its text
 stays; an empty table gives an empty one.
 """
 
@@ -27,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, settled
+from .common import drop_folder, scratch, settled
 from .hashing import WordHashes, mix, parts, payloads, rolled
 
 WINDOW, PRINT = 50, 25
@@ -52,14 +55,18 @@ def _prints(words: np.ndarray) -> np.ndarray:
     return prints[winnow(prints, WINDOW - PRINT + 1)]
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in parts(batches, "text"):
-        ids, found = batch.column("id"), []
+        found, digests = [], []
         for text in payloads(batch, "text"):
-            found.append(np.unique(_prints(known.of(text.lower().split()))))
-        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(np.concatenate(found).view(np.int64))], ["id", "print"])
+            words = text.lower().split()
+            long = len(words) >= WINDOW
+            found.append(np.unique(_prints(known.of(words))) if long else np.empty(0, np.uint64))
+            digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if long else None)
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), prints], ["id", "digest", "prints"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +90,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches, "text"):
         kept, starts, ends, words = [], [], [], []
-        for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist()):
+        for text, at, whole in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), batch.column("whole").to_pylist()):
             spans = []
             removed = 0
-            if at:
+            if whole and text and not text.isspace():
+                place = [m.span() for m in _WORD.finditer(text)]
+                spans, removed = [(place[0][0], place[-1][1])], len(place)
+            elif at:
                 place = [m.span() for m in _WORD.finditer(text)]
                 runs = []
-                for s in sorted(at):
+                for s in sorted(x for x in at if x + WINDOW <= len(place)):
                     if runs and s <= runs[-1][1]:
                         runs[-1][1] = s + WINDOW
                     else:
@@ -112,14 +122,26 @@ def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, at): the runs, by the number of their first word, that a document with a smaller id has too; `docs` is (id, text)."""
-    folder = scratch(docs.sparkSession)
-    prints = settled(docs.where("id is not null").mapInArrow(_fingerprints, "id long, print long"), f"{folder}/prints")
+    """(id, at, whole) of the documents that lose words; `docs` is (id, text).
+
+    `at` has the runs, by the number of their first word, that a document with a
+    smaller id has too; a document whose words are all those of one with a smaller
+    id is `whole` and has no `at`.
+    """
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
+    signed = settled(docs.where("id is not null").mapInArrow(_sign, "id long, digest binary, prints array<long>").where("digest is not null"), f"{folder}/signed")
+    firsts = settled(signed.groupBy("digest").agg(F.min("id").alias("first")), f"{folder}/firsts")
+    copies = settled(signed.select("id", "digest").join(firsts, "digest").where("id > first").select("id").distinct(), f"{folder}/copies")
+    prints = settled(signed.join(firsts, (signed["digest"] == firsts["digest"]) & (F.col("id") == F.col("first")), "left_semi").select("id", F.explode("prints").alias("print")), f"{folder}/prints")
+    drop_folder(spark, f"{folder}/signed")
     several = prints.groupBy("print").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("print")
     candidates = settled(prints.join(several, "print").groupBy("id").agg(F.collect_set("print").alias("prints")), f"{folder}/candidates")
+    drop_folder(spark, f"{folder}/prints")
     windows = settled(docs.join(candidates, "id").select("id", "text", "prints").mapInArrow(_windows, "id long, at int, left long, right long"), f"{folder}/windows")
     first = windows.groupBy("left", "right").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    return windows.join(first, ["left", "right"]).where("id > first").groupBy("id").agg(F.collect_set("at").alias("at"))
+    found = settled(windows.join(first, ["left", "right"]).where("id > first").groupBy("id").agg(F.collect_set("at").alias("at")), f"{folder}/found")
+    drop_folder(spark, f"{folder}/windows")
+    return found.select("id", "at", F.lit(False).alias("whole")).union(copies.select("id", F.array().cast("array<int>"), F.lit(True)))
 
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
