@@ -7,7 +7,7 @@ far; neither ever builds a whole record.  A payload of at least `LEAST` bytes th
 others equal is written once, as the response of the smallest page id; the others
 become revisit records that name it.
 
-Archives are plain WARC/1.1.  A task writes under a name of its own try, and only
+Archives are WARC/1.1, each record a gzip member.  A task writes under a name of its own try, and only
 the names that finished tasks report are read, so lost executors and repeated
 tasks leave nothing behind that counts.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,18 +78,62 @@ def _head(row: dict, length: int, kind: str) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None).encode() + b"\r\n"
 
 
+class _Members:
+    """A file of gzip members, one per record."""
+
+    def __init__(self, sink):
+        self.sink, self.member = sink, None
+
+    def write(self, data: bytes) -> None:
+        if self.member is None:
+            self.member = zlib.compressobj(1, zlib.DEFLATED, 31)
+        self.sink.write(self.member.compress(data))
+
+    def end(self) -> None:
+        self.sink.write(self.member.flush())
+        self.member = None
+
+    def close(self) -> None:
+        self.sink.close()
+
+
+class _Inflated:
+    """The bytes of a file of gzip members, `size` packed bytes at a time."""
+
+    def __init__(self, source, size: int):
+        self.source, self.size, self.member, self.held = source, size, None, b""
+
+    def read(self, most: int) -> bytes:
+        while True:
+            if not self.held:
+                self.held = self.source.read(self.size)
+                if not self.held:
+                    if self.member is not None:
+                        raise ValueError("an archive ends inside a record")
+                    return b""
+            if self.member is None:
+                self.member = zlib.decompressobj(31)
+            out = self.member.decompress(self.held, most)
+            self.held = self.member.unconsumed_tail
+            if self.member.eof:
+                self.held, self.member = self.member.unused_data, None
+            if out:
+                return out
+
+
 def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
-        name, sink, written = f"{root}/{uuid.uuid4().hex}.warc", None, 0
+        name, sink, written = f"{root}/{uuid.uuid4().hex}.warc.gz", None, 0
         state = hashlib.sha256()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i].as_py() for k in ("id", "url", "digest", "refers_to", "total", "chunk")}
                 if sink is None:
-                    sink = store.open_output_stream(name)
+                    sink = _Members(store.open_output_stream(name, compression=None))
                 if row["refers_to"] is not None:
                     sink.write(_head(row, 0, "revisit") + b"\r\n\r\n")
+                    sink.end()
                     written += 1
                     continue
                 data = batch.column("data")[i].as_buffer()
@@ -103,6 +148,7 @@ def _writer(folder: str):
                     if state.hexdigest() != row["digest"]:
                         raise ValueError(f"page {row['id']}: its chunks don't add up to its digest")
                     sink.write(b"\r\n\r\n")
+                    sink.end()
         if sink is not None:
             sink.close()
             yield pa.RecordBatch.from_pydict({"archive": [name.removeprefix(root + "/")], "records": [written]})
@@ -187,9 +233,9 @@ def _reader(folder: str, size: int):
         store, root = _store(folder)
         for batch in batches:
             for name in batch.column("archive").to_pylist():
-                with store.open_input_stream(f"{root}/{name}") as source:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as source:
                     rows = []
-                    for row in _stream(source, size):
+                    for row in _stream(_Inflated(source, size), size):
                         rows.append(row)
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_pylist(rows, schema)
