@@ -57,13 +57,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str | None, int] = {None: 0}
         self.arena = np.empty(1 << 16, np.uint16)
-        self.used = 0
-        self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32).astype(np.uint16) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.arena[0], self.used = END, 1
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
 
     def _learn(self, words: list[str]) -> None:
         for word, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
@@ -80,39 +77,34 @@ class Encoder:
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and their numbers."""
         if self.by_word is None and texts:
-            self.by_word = True
             some = [x[:2000] for x in texts[:8]] + ["a  b\tc\nd", " x'll <|endoftext|> 1-2 "]
-            self.by_word = all(np.array_equal(a, b) for a, b in zip(self.whole(some), np.split(*self._words(some))))
-        if self.by_word:
-            ids, cuts = self._words(texts)
-            counts = np.diff(np.concatenate([[0], cuts, [len(ids)]]))[: len(texts)]
-            pieces = np.split(ids, cuts)
-        else:
-            pieces = self.whole(texts)
-            counts = np.array([len(x) for x in pieces], np.int64)
-        out = np.full(int(counts.sum()) + len(texts), END, np.uint16)
-        ends = np.cumsum(counts + 1)
-        for a, n, x in zip((ends - counts - 1).tolist(), counts.tolist(), pieces):
-            out[a : a + n] = x
-        return out, counts + 1
-
-    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text but the first begins."""
+            self.by_word = all(np.array_equal(a, b) for a, b in zip(self._whole(some), self._by_word(some)))
+        return self._by_word(texts) if self.by_word else self._whole(texts)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [np.array([*x.ids, END], np.uint32).astype(np.uint16) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
+
+    def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
             self._forget()
-        split = [x.translate(_BLANKS).split(" ") for x in texts]
-        new = {w for words in split for w in words} - self.known.keys()
+        words: list[str | None] = []
+        bounds = []
+        for text in texts:
+            for blank in "\t\n\v\f\r":
+                text = text.replace(blank, " ")
+            words += text.split(" ")
+            words.append(None)  # stands for the end id
+            bounds.append(len(words))
+        new = set(words) - self.known.keys()
         if new:
             self._learn(list(new))
-        at = np.fromiter((i for words in split for i in map(self.known.__getitem__, words)), np.int64, sum(map(len, split)))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
-        ids = self.arena[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.cumsum([len(x) for x in split])[:-1]
-        return ids, ends[bounds - 1]
-
-
-_BLANKS = {i: " " for i in range(9, 14)}
+        ids = self.arena[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        upto = ends[np.array(bounds) - 1]
+        return ids, np.diff(upto, prepend=0)
 
 
 def _group(ids: np.ndarray, counts: np.ndarray, docs: list[int | None]) -> bytes:
