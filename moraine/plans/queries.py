@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as L
+from ..operators.codecs import entropy, stride
 from ..operators.ordering import running, upper_median
 from ..sources.virtual import EXTENTS, TREE, UNITS, extents, read, tree, units
 from ..store import scratch
@@ -402,3 +403,127 @@ def human_sizes(spark, d):
 def attribute_mask(spark, d):
     seconds = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
     return read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").bitwiseAND(0x2007).alias("attrs"), F.when(F.col("o_custkey") % 3 != 0, seconds).alias("mtime"))
+
+
+def _entropies(distance: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data = [x or b"" for x in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([round(entropy(x, distance), 6) if len(x) > distance else None for x in data], pa.float64())], ["doc_id", "bits"])
+
+    return run
+
+
+def _documents_data(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+
+
+_BYTES = "b AS (SELECT doc_id, ('0x' || substr(h, 2 * i - 1, 2))::INT AS x, i FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, unnest(range(1, strlen(coalesce(text, '')) + 1)) AS i FROM documents))"
+
+
+@query("byte_entropy", f"WITH {_BYTES}, c AS (SELECT doc_id, x, count(*) AS n FROM b GROUP BY doc_id, x), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM c), e AS (SELECT doc_id, round(abs(sum(n / total * log2(n / total))), 6) AS bits FROM t GROUP BY doc_id) SELECT d.doc_id, e.bits FROM documents d LEFT JOIN e USING (doc_id)")
+def byte_entropy(spark, d):
+    """Bytes are counted in their row, as vectors; nothing is shuffled."""
+    return _documents_data(spark, d).mapInArrow(_entropies(0), "doc_id long, bits double")
+
+
+@query("delta_entropy", f"WITH {_BYTES}, l AS (SELECT doc_id, (x - lag(x) OVER (PARTITION BY doc_id ORDER BY i) + 256) % 256 AS x FROM b), c AS (SELECT doc_id, x, count(*) AS n FROM l WHERE x IS NOT NULL GROUP BY doc_id, x), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM c), e AS (SELECT doc_id, round(abs(sum(n / total * log2(n / total))), 6) AS bits FROM t GROUP BY doc_id) SELECT d.doc_id, e.bits FROM documents d LEFT JOIN e USING (doc_id)")
+def delta_entropy(spark, d):
+    return _documents_data(spark, d).mapInArrow(_entropies(1), "doc_id long, bits double")
+
+
+@query("best_stride")
+def best_stride(spark, d):
+    """The record width of each embedding stored as float32, and of each document."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([stride(x or b"") for x in batch.column("data").to_pylist()], pa.int32())], ["doc_id", "stride"])
+
+    return _documents_data(spark, d).mapInArrow(run, "doc_id long, stride int")
+
+
+@query("cdc_chunks")
+def cdc_chunks(spark, d):
+    """(path, nth, len, digest, kind): content-defined chunks of every file."""
+    from .. import model as M
+    from ..operators.chunking import items
+
+    return items(tree(spark, d, content=True), M.geometry("fast", 65536)).select("path", "nth", "len", "digest", "kind")
+
+
+@query("unit_assembly")
+def unit_assembly(spark, d):
+    """(group, deal, local, items, bytes, cut): units assembled from the chunks."""
+    from .. import model as M
+    from ..operators.chunking import assemble, items
+
+    shape = M.geometry("fast", 65536)
+    placed = assemble(items(tree(spark, d, content=True), shape).drop("content"), shape["target"])
+    return placed.groupBy("group", "deal", "local").agg(F.count(F.lit(1)).alias("items"), F.sum("len").alias("bytes"), F.max("cut").alias("cut"))
+
+
+@query("codec_race")
+def codec_race(spark, d):
+    """The winning codec of every distinct content, raced one codec a row."""
+    from ..operators.codecs import race
+
+    distinct = tree(spark, d, content=True).groupBy("hash").agg(F.first("content").alias("data")).select(F.xxhash64("hash").alias("unit"), "data")
+    return race(distinct)
+
+
+def _lake(spark, d, root):
+    from .lake import Lake
+
+    lake = Lake.create(spark, root, "fast", target=1 << 20)
+    lake.add(tree(spark, d, content=True).select("path", "content"))
+    return lake
+
+
+@query("lake_listing")
+def lake_listing(spark, d):
+    """A lake made of the whole tree, listed."""
+    return _lake(spark, d, scratch(spark)).listing()
+
+
+@query("verify_all")
+def verify_all(spark, d):
+    """A lake made of the whole tree, each unit opened and checked."""
+    return _lake(spark, d, scratch(spark)).verdicts()
+
+
+@query("extract_all", f"WITH {TREE} SELECT path, size, hash, NULL::VARCHAR AS why FROM tree")
+def extract_all(spark, d):
+    """A lake made of the whole tree, read back whole."""
+    got = _lake(spark, d, scratch(spark)).contents()
+    return got.select("path", "size", F.substring(F.sha2("content", 256), 1, 32).alias("hash"), "why")
+
+
+@query("zip_round_trip", "SELECT 'bench/item_' || item_id || '.txt' AS path, strlen(coalesce(text, ''))::BIGINT AS size, substr(sha256(coalesce(text, '')), 1, 32) AS hash FROM benchmark")
+def zip_round_trip(spark, d):
+    """The benchmark's files written as zip archives and read back."""
+    from ..sources.archives import create_zips, read_archives
+    from ..store import settled
+
+    root = scratch(spark)
+    entries = tree(spark, d, content=True).where(F.col("path").startswith("bench/")).withColumn("archive", F.concat(F.lit("part-"), F.pmod(F.xxhash64("path"), F.lit(4)), F.lit(".zip")))
+    settled(create_zips(entries, f"{root}/zips"), f"{root}/index")
+    return read_archives(spark, f"{root}/zips").select("path", "size", F.substring(F.sha2("content", 256), 1, 32).alias("hash"))
+
+
+@query("stream_ingest", f"WITH {TREE} SELECT path, size FROM tree")
+def stream_ingest(spark, d):
+    """The tree arriving as a stream of files, each batch a generation of a lake."""
+    from ..streaming.ingest import files, ingest
+    from .lake import Lake
+
+    root = scratch(spark)
+    tree(spark, d, content=True).select("path", "content").repartition(2).write.parquet(f"{root}/arriving")
+    Lake.create(spark, f"{root}/lake", "fast", target=1 << 20)
+    query_ = ingest(files(spark, f"{root}/arriving", per_batch=1), f"{root}/lake", f"{root}/state")
+    query_.awaitTermination()
+    return Lake(spark, f"{root}/lake").files.select("path", "size")
