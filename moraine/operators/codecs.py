@@ -49,9 +49,9 @@ def decompress(codec: int, param: int, data: bytes, length: int) -> bytes:
         elif codec == M.ZSTD:
             out = zstandard.ZstdDecompressor().decompress(data, max_output_size=length)
         elif codec == M.LZMA2:
-            out = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=_lzma_chain(length, param)).decompress(data, length)
+            out = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=_lzma_chain(length, param)).decompress(data, length + 1)
         elif codec == M.BZ2:
-            out = bz2.BZ2Decompressor().decompress(data, length)
+            out = bz2.BZ2Decompressor().decompress(data, length + 1)
         else:
             raise ValueError(f"no such codec: {codec}")
     except (lzma.LZMAError, zstandard.ZstdError, OSError, EOFError) as error:

@@ -23,12 +23,21 @@ _REFUSED = {"7z": "7z archives can't be read: no 7z library is installed", "rar"
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime, mtime_nanos, content) of every file below a folder, named from the folder's own name on."""
+    """(path, size, mtime, mtime_nanos, content, dir) of every file and folder below a folder, named from the folder's own name on.
+
+    Spark's reader leaves out empty files and folders; those come from a listing by
+    the driver, which lists the files for the reader as well.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").rsplit("/", 1)[-1]
     micros = F.unix_micros("modificationTime")
     relative = F.concat(F.lit(base), F.substring_index(F.col("path"), f"/{base}", -1))
-    return files.select(relative.alias("path"), F.col("length").alias("size"), F.floor(micros / 1_000_000).alias("mtime"), (F.pmod(micros, F.lit(1_000_000)) * 1000).alias("mtime_nanos"), "content")
+    full = files.select(relative.alias("path"), F.col("length").alias("size"), F.floor(micros / 1_000_000).alias("mtime"), (F.pmod(micros, F.lit(1_000_000)) * 1000).alias("mtime_nanos"), "content", F.lit(False).alias("dir"))
+    store, top = pyarrow.fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+    found = store.get_file_info(pyarrow.fs.FileSelector(top, recursive=True))
+    rest = [(f"{base}/{x.path[len(top.rstrip('/')) + 1:]}", x.mtime_ns or 0, x.type == pyarrow.fs.FileType.Directory) for x in found if x.type == pyarrow.fs.FileType.Directory or not x.size]
+    schema = "path string, size long, mtime long, mtime_nanos long, content binary, dir boolean"
+    return full.unionByName(spark.createDataFrame([(path, 0, ns // 10**9, ns % 10**9, b"", folder) for path, ns, folder in rest], schema))
 
 
 def kinds(spark: SparkSession, paths: str) -> DataFrame:
