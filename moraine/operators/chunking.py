@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as L
 from .. import model as M
-from .codecs import classify
+from .codecs import classify, wav_probe
 
 CROWD = 100_000
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear %d" % i).digest()[:8] for i in range(256)), "<u8")
@@ -54,6 +54,21 @@ def cuts(data: bytes, smallest: int, average: int, largest: int) -> list[int]:
     return out
 
 
+def wav_runs(data: bytes, unit: int) -> list[int] | None:
+    """The ends of runs of whole PCM frames of at most `unit` bytes; the header rides with the first, what follows the samples with the last."""
+    found = wav_probe(data)
+    if found is None:
+        return None
+    frame = found["channels"] * found["bits"] // 8
+    first, last = found["data"], found["data"] + found["size"] // frame * frame
+    if first + frame > unit or len(data) - last + frame > unit:
+        return None
+    ends = list(range(first + (unit - first) // frame * frame, last, unit // frame * frame))
+    if ends and len(data) - ends[-1] > unit:
+        ends.append(ends[-1] + (last - ends[-1]) // frame // 2 * frame)
+    return [*ends, len(data)]
+
+
 def items(entries: DataFrame, geometry: dict[str, int]) -> DataFrame:
     """(path, content) -> (path, nth, len, digest, kind, alone, content): the items of each file that is not empty."""
     shape = dict(geometry)
@@ -66,7 +81,8 @@ def items(entries: DataFrame, geometry: dict[str, int]) -> DataFrame:
                     continue
                 kind, _ = classify(data[: 1 << 20])
                 whole = kind in ("container", "jpeg", "wav", "mp3") and len(data) <= min(2 * shape["target"], M.STORED_MAX)
-                ends = [len(data)] if len(data) < shape["chunked_from"] or whole else cuts(data, shape["chunk_min"], shape["chunk_avg"], shape["chunk_max"])
+                pcm = wav_runs(data, shape["target"]) if kind == "wav" and not whole else None
+                ends = pcm if pcm else [len(data)] if len(data) < shape["chunked_from"] or whole else cuts(data, shape["chunk_min"], shape["chunk_avg"], shape["chunk_max"])
                 alone = (kind == "store" and len(data) >= shape["chunked_from"]) or len(data) >= shape["target"] // 2 or (whole and len(data) >= M.OWN_UNIT)
                 start = 0
                 for nth, end in enumerate(ends):

@@ -78,3 +78,40 @@ def test_cuts_are_local_and_bounded():
     shared = {x for x in one if x < 29_000} & set(two), {x + 4 for x in one if x > 36_000} & set(two)
     assert len(shared[0]) == sum(x < 29_000 for x in one) and len(shared[1]) >= 0.9 * sum(x > 36_000 for x in one)
     assert cuts(b"", 1, 2, 3) == []
+
+
+def test_long_recordings_are_cut_between_frames():
+    import struct
+
+    from moraine.operators.chunking import wav_runs
+
+    head = b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 44100, 176400, 4, 16) + b"data" + struct.pack("<I", 40_000)
+    data = head + bytes(40_000) + b"the tail"
+    ends = wav_runs(data, 8192)
+    assert ends[-1] == len(data) and all((x - len(head)) % 4 == 0 for x in ends[:-1])
+    assert all(b - a <= 8192 for a, b in zip([0, *ends], ends))
+    assert wav_runs(data, 16) is None and wav_runs(b"RIFF", 8192) is None
+
+
+def test_registered_functions(spark):
+    from moraine.functions.register import register
+
+    assert "cdc_chunks" in register(spark)
+    row = spark.sql("SELECT group_key('a/b.RS') AS k, selector_matches('src/docs/a', 'src\\\\docs/') AS m, stored_bytes(100, 30, 10) AS s, byte_entropy(X'0001') AS e, content_kind(X'504B0304') AS c").first()
+    assert tuple(row) == ("rs", True, 33, 1.0, "container")
+    assert spark.sql("SELECT sum(length) AS n FROM cdc_chunks(unhex(repeat('00112233', 5000)), 256, 1024, 4096)").first().n == 20_000
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from moraine.__main__ import run
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/a.txt").write_text("some text " * 500)
+    (tmp_path / "in/sub/b.txt").write_text("other text")
+    lake, source = f"file://{tmp_path}/lake", f"file://{tmp_path}/in"
+    assert run(spark, ["create", lake, source, "--level", "fast"]) == 0
+    assert run(spark, ["mv", lake, "in/sub", "in/below"]) == 0 and run(spark, ["l", lake]) == 0 and run(spark, ["t", lake]) == 0 and run(spark, ["info", lake, "--units"]) == 0
+    assert run(spark, ["x", lake, f"{tmp_path}/out", "in/below"]) == 0
+    assert (tmp_path / "out/in/below/b.txt").read_text() == "other text"
+    assert run(spark, ["create", f"file://{tmp_path}/z.zip", source]) == 0 and run(spark, ["list", f"file://{tmp_path}/z.zip"]) == 0
+    assert "in/below/b.txt" in capsys.readouterr().out
