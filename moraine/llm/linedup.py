@@ -72,12 +72,15 @@ def _prepared(docs: DataFrame, doc: str, text: str, folder: str) -> DataFrame:
     return settled(firsts.select("doc", "nth", "n", "b1", "b2", "prefix"), f"{folder}/lines")
 
 
+def _apart(x: str, y: str) -> Column:
+    """A lower bound of the number of words that one of two sets has and the other hasn't: each differing bit is one."""
+    return F.greatest(*[F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in ("b1", "b2")])
+
+
 def _close(x: str, y: str) -> Column:
-    """Length and bitmap filters of two sets."""
+    """Length and bitmap filters of two sets: an overlap o needs 9 o >= 4 (nx + ny), and 2 o <= nx + ny - apart."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = F.greatest(*[F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in ("b1", "b2")])
-    # An overlap o needs 9 o >= 4 (nx + ny); each differing bit is a word of one set only, so 2 o <= nx + ny - apart.
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((nx + ny - apart) * 9 >= (nx + ny) * 8)
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((nx + ny - _apart(x, y)) * 9 >= (nx + ny) * 8)
 
 
 def _earlier(x: str, y: str) -> Column:
@@ -85,10 +88,16 @@ def _earlier(x: str, y: str) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, nth) of the lines x of (xdoc, xnth, ydoc, ynth) that match their y."""
-    wanted = pairs.select(F.col("xdoc").alias("wdoc"), F.col("xnth").alias("wnth")).union(pairs.select("ydoc", "ynth")).distinct()
-    texts = _lines(docs, doc, text)
-    sets = texts.join(wanted, (texts["doc"] == wanted["wdoc"]) & (texts["nth"] == wanted["wnth"])).select("doc", "nth", F.array_distinct(_words(F.col("line"))).alias("set")).dropDuplicates(["doc", "nth"])
+    """(doc, nth) of the lines x of (xdoc, xnth, ydoc, ynth) that match their y.
+
+    Documents are dealt out with the numbers of their wanted lines, so only those
+    lines go on.
+    """
+    wanted = pairs.select(F.col("xdoc").alias("doc"), F.col("xnth").alias("nth")).union(pairs.select("ydoc", "ynth")).distinct().groupBy("doc").agg(F.collect_list("nth").alias("nths"))
+    texts = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
+    lines = texts.join(wanted, "doc").select("doc", "nths", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines")).select("doc", "lines", F.explode("nths").alias("nth"))
+    lines = lines.select("doc", "nth", F.get("lines", F.col("nth")).alias("line")).where("line is not null")
+    sets = lines.select("doc", "nth", F.array_distinct(_words(_spaced(F.col("line")))).alias("set")).dropDuplicates(["doc", "nth"])
     x, y = sets.toDF("xdoc", "xnth", "xset"), sets.toDF("ydoc", "ynth", "yset")
     both = pairs.join(x, ["xdoc", "xnth"]).join(y, ["ydoc", "ynth"])
     common = F.size(F.array_intersect("xset", "yset"))
@@ -115,8 +124,13 @@ def matches(docs: DataFrame, doc: str, text: str, folder: str) -> DataFrame:
     # `done` is tested together with the other side, so that both sides stay one plan and share one shuffle.
     open_ = F.col("x.done") * 2 + F.least(F.col("y.done"), F.lit(0)) == 0
     met = flagged.alias("x").join(flagged.alias("y"), (F.col("x.word") == F.col("y.word")) & open_ & _earlier("x", "y") & _close("x", "y") & reach)
-    pairs = settled(met.select(*_pair_columns("x", "y")).distinct(), f"{folder}/pairs")
-    return settled_lines.union(_verified(pairs, docs, doc, text)).distinct()
+    pairs = settled(met.select(*_pair_columns("x", "y"), _apart("x", "y").alias("apart")).distinct(), f"{folder}/pairs")
+    # Each line is held against its likeliest partner first; only lines which that leaves open meet their others.
+    best = pairs.groupBy("xdoc", "xnth").agg(F.min(F.struct("apart", "ydoc", "ynth")).alias("y")).select("xdoc", "xnth", "y.ydoc", "y.ynth")
+    matched = settled(_verified(best, docs, doc, text), f"{folder}/matched")
+    named = matched.select(F.col("doc").alias("xdoc"), F.col("nth").alias("xnth"))
+    rest = settled(pairs.drop("apart").join(named, ["xdoc", "xnth"], "left_anti").join(best, ["xdoc", "xnth", "ydoc", "ynth"], "left_anti"), f"{folder}/rest")
+    return settled_lines.union(matched).union(_verified(rest, docs, doc, text)).distinct()
 
 
 def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
