@@ -17,7 +17,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lake-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame, path: str) -> DataFrame:
-    """`df` written to `path` and read back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written to `path` and read back; the write's shuffle files go as soon as it has ended."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
