@@ -39,6 +39,11 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(0.05), size.cast("double") / (size + 50).cast("double") * (F.lit(1.0) - F.least(F.lit(1.0), symbols.cast("double") / F.greatest(size, F.lit(1)).cast("double"))))
 
 
+def _key_of(source: Column) -> Column:
+    """A key that is never null; a null source has one of its own."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def targets_of(sources: DataFrame, weight: Column, most: int = MOST) -> DataFrame:
     """Adds `target` to (source, source_size): all words shared by weight, capped at `most` times a source's size.
 
@@ -70,28 +75,28 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     sized = docs.select(
         F.col(doc).alias("__doc"), F.col(source).alias("__source"), size_of(t).alias("__size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc).cast("string"), F.lit("")))).alias("__digest"),
-        F.xxhash64(t).alias("__tie"), t.alias("__text"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("__keep"),
+        F.xxhash64(t).alias("__tie"), t.alias("__text"), _key_of(F.col(source)).alias("__s"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("__keep"),
     )
     uniform = (F.conv(F.substring("__digest", 1, 12), 16, 10).cast("double") + 1.0) / F.lit(float(2**48 + 1))
     keyed = sized.withColumn("__weight", quality_weight(F.col("__text"), F.col("__size"))).withColumn("__key", F.round(-F.log(uniform) / F.col("__weight"), 12))
-    if not keep:
-        keyed = keyed.drop("__text")
+    keyed = keyed.drop("__text")
     sources = docs.select(F.col(source).alias("__source"), size_of(t).alias("__size")).groupBy("__source").agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     places = sources.withColumn("place", F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1)
     targets = targets_of(places, F.col("place") % 3 + 1).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).select(
-        F.col("__source").alias("s"), "source_size", "target", "epochs", "rest", F.greatest(F.ceil(F.col("n") / bucket_rows), F.lit(1)).alias("buckets")
+        _key_of(F.col("__source")).alias("s"), "source_size", "target", "epochs", "rest", F.greatest(F.ceil(F.col("n") / bucket_rows), F.lit(1)).alias("buckets")
     )
-    joined = keyed.join(targets, keyed["__source"].eqNullSafe(targets["s"])).drop("s")
+    joined = keyed.join(targets, keyed["__s"] == targets["s"]).drop("s")
     joined = joined.withColumn("bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * F.col("buckets")), F.col("buckets") - 1))
-    totals = joined.groupBy("__source", "bucket").agg(F.sum("__size").alias("held"))
+    # The window and the join below share keys, so rows with their texts are dealt out once.
+    totals = joined.groupBy("__s", "bucket").agg(F.sum("__size").alias("held"))
     ahead = totals.select(
-        F.col("__source").alias("s"), F.col("bucket").alias("b"),
-        F.coalesce(F.sum("held").over(Window.partitionBy("__source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
+        F.col("__s").alias("s"), F.col("bucket").alias("b"),
+        F.coalesce(F.sum("held").over(Window.partitionBy("__s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
     )
-    inside = Window.partitionBy("__source", "bucket").orderBy("__key", "__doc", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__s", "bucket").orderBy("__key", "__doc", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     summed = joined.withColumn("upto", F.sum("__size").over(inside))
-    summed = summed.join(ahead, summed["__source"].eqNullSafe(ahead["s"]) & (summed["bucket"] == ahead["b"])).withColumn("upto", F.col("upto") + F.col("ahead"))
+    summed = summed.join(ahead, (summed["__s"] == ahead["s"]) & (summed["bucket"] == ahead["b"])).withColumn("upto", F.col("upto") + F.col("ahead"))
     # In if the running size is within the rest, or oversteps it by less than it would fall short without this document.
     inside_rest = (F.col("upto") <= F.col("rest")) | ((F.col("upto") - F.col("rest")) < (F.col("rest") - (F.col("upto") - F.col("__size"))))
     uses = (F.col("epochs") + F.when(inside_rest & (F.col("__size") > 0), 1).otherwise(0)).cast("long")
