@@ -10,11 +10,11 @@ all, however long it is.
 
 Texts of equal words form one class first, so copies cost one row each.  Class
 representatives that agree on a whole band meet in a bucket; each is compared with
-the bucket's hub by exact similarity.  Members that these links leave outside the
-hub's component are then held against all members of their bucket, in blocks of
-bounded size of which only connecting links leave a task.  So of two candidates
-that don't end in the hub's component at once, each is compared with the other:
-no link between candidates is lost, and no pairs within a group are emitted.
+the bucket's hub by exact similarity.  Members without a link to the hub are then
+held against all members of their bucket, in blocks of bounded size of which only
+connecting links leave a task.  So two candidates are either linked through their
+hub or compared with each other: no link between candidates is lost, and no pairs
+within a group are emitted.
 
 Defined results: a null, empty or blank text has no shingles and is a class of
 its own; a text of fewer than five words has one shingle, of all of them; rows
@@ -165,12 +165,12 @@ def _links_within(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _leftover_links(members: DataFrame, linked: DataFrame, hubs: DataFrame, texts: DataFrame, folder: str, block: int = 256) -> DataFrame:
-    """Links of the bucket members that the links to hubs left outside the hub's component, with all in their bucket."""
-    named = linked.select(F.col("node").alias("id"), "component")
-    state = members.select("bucket", "id").join(hubs, "bucket").join(named, "id", "left").join(named.toDF("hub", "hub_component"), "hub", "left")
-    outside = F.coalesce("component", "id") != F.coalesce("hub_component", "hub")
-    state = settled(state.select("bucket", "id", outside.alias("outside")), f"{folder}/state")
+def _leftover_links(members: DataFrame, links: DataFrame, hubs: DataFrame, texts: DataFrame, folder: str, block: int = 256) -> DataFrame:
+    """Links of the bucket members that have none to their hub, with all members of their bucket."""
+    state = members.select("bucket", "id").join(hubs, "bucket").withColumns({"x": F.least("id", "hub"), "y": F.greatest("id", "hub")})
+    near = links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("linked"))
+    outside = (F.col("id") != F.col("hub")) & F.col("linked").isNull()
+    state = settled(state.join(near, ["x", "y"], "left").select("bucket", "id", outside.alias("outside")), f"{folder}/state")
     blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
     counts = state.groupBy("bucket").agg(blocks(F.count_if("outside")).alias("rows"), blocks(F.count(F.lit(1))).alias("columns"), F.count_if("outside").alias("n")).where("n > 0").drop("n")
     dealt = settled(state.join(counts, "bucket"), f"{folder}/dealt")
@@ -197,8 +197,8 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
     hubs = settled(hubs, f"{folder}/hubs")
     pairs = members.join(hubs, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = settled(compared(pairs, texts).where(F.col("similarity") >= SIMILARITY).select("a", "b"), f"{folder}/links")
-    leftover = _leftover_links(members, components(links, f"{folder}/first"), hubs, texts, folder)
-    linked = components(links.union(leftover), f"{folder}/last")
+    leftover = _leftover_links(members, links, hubs, texts, folder)
+    linked = components(links.union(leftover), f"{folder}/linked")
     rep = copies.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class"))
     return signed.select("id", "digest").join(rep, "digest", "left").select(F.col("id").alias(doc), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
 
