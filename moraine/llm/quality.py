@@ -45,7 +45,7 @@ def default_rules() -> list[Rule]:
     return [
         Rule("symbols", F.col("n_symbols") * 10 > n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
-        Rule("duplicate_lines", F.col("n_dup_lines") * 10 > 3 * lines),
+        Rule("duplicate_lines", F.col("n_dup_lines") * 2 > lines),
         Rule("exclamations", F.length(F.regexp_replace(text, "[^!]+", "")) * 5 > n),
         Rule("ellipsis_lines", matches(r"(?m)(?:\.\.\.|…)[ \t]*$") * 10 > 3 * lines),
         Rule("bullet_lines", matches(r"(?m)^[ \t]*[•‣◦*\-]") * 10 > 9 * lines),
@@ -173,7 +173,7 @@ SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols
        NOT (base_failed
          OR n_symbols * 10 > n
          OR word_chars < 2 * n OR word_chars > 15 * n
-         OR n_dup_lines * 10 > 3 * n_lines
+         OR n_dup_lines * 2 > n_lines
          OR length(regexp_replace(text, '[^!]+', '', 'g')) * 5 > n
          OR len(regexp_extract_all(text, '(?m)(?:\.\.\.|\x{{2026}})[ \t]*$')) * 10 > 3 * n_lines
          OR len(regexp_extract_all(text, '(?m)^[ \t]*[\x{{2022}}\x{{2023}}\x{{25E6}}*\-]')) * 10 > 9 * n_lines
