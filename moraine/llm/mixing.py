@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, scratch, settled
 
 #: No document is used more often than this, so no target is above so many times its source's size.
 MOST = 3
@@ -81,6 +81,9 @@ def mix(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     keyed = sized.withColumn("__weight", quality_weight(F.col("__text"), F.col("__size"))).withColumn("__key", F.round(-F.log(uniform) / F.col("__weight"), 12))
     keyed = keyed.drop("__text")
     sources = docs.select(F.col(source).alias("__source"), size_of(t).alias("__size")).groupBy("__source").agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    # One row per source, written out: its size is known when the join below is planned, so that texts aren't dealt
+    # out by source to meet it unless it is large.
+    sources = settled(sources, f"{scratch(docs.sparkSession)}/sources")
     places = sources.withColumn("place", F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1)
     targets = targets_of(places, F.col("place") % 3 + 1).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).select(
