@@ -117,10 +117,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """(a, b, similarity) of distinct pairs (a, b) of ids in `texts` (id, text)."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    near = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    near = settled(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{folder}/near")
     one = near.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = near.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double")
@@ -174,7 +174,7 @@ def _leftover_links(members: DataFrame, links: DataFrame, hubs: DataFrame, texts
     blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
     counts = state.groupBy("bucket").agg(blocks(F.count_if("outside")).alias("rows"), blocks(F.count(F.lit(1))).alias("columns"), F.count_if("outside").alias("n")).where("n > 0").drop("n")
     dealt = settled(state.join(counts, "bucket"), f"{folder}/dealt")
-    near = texts.join(dealt.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    near = settled(texts.join(dealt.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), f"{folder}/near-leftover")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = dealt.where("outside").select("bucket", "id", own("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j")).join(near, "id")
     right = dealt.select("bucket", "id", own("columns").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i")).join(near, "id")
@@ -196,7 +196,7 @@ def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
     hubs = members.join(score, "id").groupBy("bucket").agg((-F.max(F.struct("score", (-F.col("id")).alias("id")))["id"]).alias("hub"))
     hubs = settled(hubs, f"{folder}/hubs")
     pairs = members.join(hubs, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = settled(compared(pairs, texts).where(F.col("similarity") >= SIMILARITY).select("a", "b"), f"{folder}/links")
+    links = settled(compared(pairs, texts, folder).where(F.col("similarity") >= SIMILARITY).select("a", "b"), f"{folder}/links")
     leftover = _leftover_links(members, links, hubs, texts, folder)
     linked = components(links.union(leftover), f"{folder}/linked")
     rep = copies.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class"))
