@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moraine.llm import decontaminate, htmltext, linedup, mixing, neardup, quality, quotes, rangecoder, substring, tokens, warc
+from moraine.llm import decontaminate, graph, htmltext, linedup, mixing, neardup, quality, quotes, rangecoder, substring, tokens, warc
 from moraine.llm.hashing import WordHashes, shingles, units
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,6 +102,47 @@ def test_leftover_links_join_what_hubs_do_not():
     assert out.to_pylist() == [{"a": 1, "b": 2}]
 
 
+def _least_of_component(edges):
+    root = {x: x for edge in edges for x in edge}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in root}
+
+
+def test_components_of_chains_and_overlapping_hubs(spark):
+    rng, nodes = random.Random(3), iter(random.Random(3).sample(range(10**6), 4000))
+    groups = []
+    for n in (2, 5, 9, 30, 60):
+        chain = [next(nodes) for _ in range(n)]
+        groups.append(list(zip(chain, chain[1:])))
+    for _ in range(40):  # hubs in a row, each with a member that the next one has too
+        edges, shared = [], next(nodes)
+        for _ in range(rng.randrange(2, 6)):
+            hub, members = next(nodes), [next(nodes) for _ in range(rng.randrange(1, 5))]
+            edges += [(hub, x) for x in [shared, *members]]
+            shared = members[-1]
+        groups.append(edges)
+    for n, edges in enumerate(([(1, 5), (5, 3), (3, 6), (6, 2)], [x for group in groups for x in group])):
+        got = graph.components(spark.createDataFrame(edges, "a long, b long"), f"{spark.conf.get('spark.checkpoint.dir')}/graph-test-{n}").collect()
+        assert sorted(map(tuple, got)) == sorted(_least_of_component(edges).items())
+
+
+def test_near_dedup_of_overlapping_hubs_has_one_row_a_document(spark, monkeypatch):
+    texts = {i: " ".join(f"t{i}w{n}" for n in range(60)) for i in (1, 2, 3, 5, 6)}
+    edges = spark.createDataFrame([(1, 5), (3, 5), (3, 6), (2, 6)], "a long, b long")
+    monkeypatch.setattr(neardup, "_leftover_links", lambda *_: edges)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in neardup.classes(rows).collect()) == [(i, 1) for i in sorted(texts)]
+    assert [r.doc_id for r in neardup.keep_one(rows).collect()] == [1]
+
+
 def test_near_dedup_defined_results(docs, odd, empty):
     assert neardup.classes(empty).count() == 0
     got = [(r.doc_id, r.class_id) for r in neardup.classes(odd).collect()]
