@@ -3,22 +3,23 @@ r"""Substring dedup: normalise units, group their digests globally, keep the ear
 A unit may be a line, a paragraph or a run of `WINDOW` words.  Lines and
 paragraphs alone miss passages that start or end inside a line, so the query
 takes the third kind: every run of fifty words is a unit, units overlap, and what
-is removed from a document is the union of its runs that an earlier document (by
-id) has too.  The first document keeps its occurrence, so each removed word is
+is removed from a document is the union of its runs that occur earlier, by (id,
+position), in any document, the same one included.  A run that overlaps its own
+first occurrence is part of it and is no repeat: of a passage of fewer words than
+a unit, said over and over, the first unit's worth stays.  So each removed word is
 still somewhere.  Units are compared with ASCII letters lower-cased and white
 space taken as single spaces; removed spans are offsets of the original text in
 code points.
 
 Only runs that can repeat are digested: texts are winnowed (a fingerprint of 25
 words at least every 26 words, so each run of fifty has one), fingerprints found
-in one document only rule their runs out, and the rest are grouped exactly by
+at one place only rule their runs out, and the rest are grouped exactly by
 128-bit digests.  Documents of equal words are found first: all but the first lose
 every word.
 
 Defined results: a null text stays null and has no unit; texts of fewer words
-than a unit lose nothing; a repeat inside one document stays; rows with equal ids are
-one document, and what repeats in either goes from the same places of both; a
-null id ranks last and its text
+than a unit lose nothing; rows with equal ids are ranked by a hash of their texts, and
+only rows of equal ids and texts are one document; a null id ranks last and its text
 stays; an empty table gives an empty one.
 """
 
@@ -55,6 +56,15 @@ def _prints(words: np.ndarray) -> np.ndarray:
     return prints[winnow(prints, WINDOW - PRINT + 1)]
 
 
+def _twice(words: np.ndarray) -> np.ndarray:
+    """The fingerprints of one text; one that stands at several places is there twice."""
+    prints = rolled(words, PRINT)
+    values = np.sort(prints[np.unique(winnow(prints, WINDOW - PRINT + 1))])
+    new = np.ones(len(values), bool)
+    new[2:] = values[2:] != values[:-2]
+    return values[new]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in parts(batches, "text"):
@@ -62,17 +72,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in payloads(batch, "text"):
             words = text.lower().split()
             long = len(words) >= WINDOW
-            found.append(np.unique(_prints(known.of(words))) if long else np.empty(0, np.uint64))
+            found.append(_twice(known.of(words)) if long else np.empty(0, np.uint64))
             digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if long else None)
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), prints], ["id", "digest", "prints"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(digests, pa.binary()), prints], ["id", "row", "digest", "prints"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in parts(batches, "text"):
-        ids, places, left, right = batch.column("id"), [], [], []
+        places, left, right = [], [], []
         repeated = batch.column("prints")
         for i, text in enumerate(payloads(batch, "text")):
             words = known.of(text.lower().split())
@@ -83,8 +93,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 right.append(rolled(mix(words + np.uint64(0x632BE59BD9B4E019)), WINDOW)[may])
         rows = np.repeat(np.arange(len(places)), [len(x) for x in places])
         empty = [np.empty(0, np.uint64)]
-        columns = [ids.take(pa.array(rows)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(left or empty).view(np.int64)), pa.array(np.concatenate(right or empty).view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "at", "left", "right"])
+        columns = [*(batch.column(c).take(pa.array(rows)) for c in ("id", "row")), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(left or empty).view(np.int64)), pa.array(np.concatenate(right or empty).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "row", "at", "left", "right"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,32 +132,33 @@ def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, at, whole) of the documents that lose words; `docs` is (id, text).
+    """(id, row, at, whole) of the documents that lose words; `docs` is (id, row, text), `row` telling equal ids apart.
 
-    `at` has the runs, by the number of their first word, that a document with a
-    smaller id has too; a document whose words are all those of one with a smaller
-    id is `whole` and has no `at`.
+    `at` has the runs, by the number of their first word, that occur earlier; a
+    document whose words are all those of an earlier one is `whole` and has no `at`.
     """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    signed = settled(docs.where("id is not null").mapInArrow(_sign, "id long, digest binary, prints array<long>").where("digest is not null"), f"{folder}/signed")
-    firsts = settled(signed.groupBy("digest").agg(F.min("id").alias("first")), f"{folder}/firsts")
-    copies = settled(signed.select("id", "digest").join(firsts, "digest").where("id > first").select("id").distinct(), f"{folder}/copies")
-    prints = settled(signed.join(firsts, (signed["digest"] == firsts["digest"]) & (F.col("id") == F.col("first")), "left_semi").select("id", F.explode("prints").alias("print")), f"{folder}/prints")
+    place, document = F.struct("id", "row", "at"), F.struct("id", "row")
+    signed = settled(docs.where("id is not null").mapInArrow(_sign, "id long, row long, digest binary, prints array<long>").where("digest is not null"), f"{folder}/signed")
+    firsts = settled(signed.groupBy("digest").agg(F.min(document).alias("first")), f"{folder}/firsts")
+    copies = settled(signed.select("id", "row", "digest").join(firsts, "digest").where(document > F.col("first")).select("id", "row").distinct(), f"{folder}/copies")
+    prints = settled(signed.join(firsts, (signed["digest"] == firsts["digest"]) & (document == F.col("first")), "left_semi").select("id", "row", F.explode("prints").alias("print")), f"{folder}/prints")
     drop_folder(spark, f"{folder}/signed")
-    several = prints.groupBy("print").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("print")
-    candidates = settled(prints.join(several, "print").groupBy("id").agg(F.collect_set("print").alias("prints")), f"{folder}/candidates")
+    several = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    candidates = settled(prints.join(several, "print").groupBy("id", "row").agg(F.collect_set("print").alias("prints")), f"{folder}/candidates")
     drop_folder(spark, f"{folder}/prints")
-    windows = settled(docs.join(candidates, "id").select("id", "text", "prints").mapInArrow(_windows, "id long, at int, left long, right long"), f"{folder}/windows")
-    first = windows.groupBy("left", "right").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    found = settled(windows.join(first, ["left", "right"]).where("id > first").groupBy("id").agg(F.collect_set("at").alias("at")), f"{folder}/found")
+    windows = settled(docs.join(candidates, ["id", "row"]).select("id", "row", "text", "prints").mapInArrow(_windows, "id long, row long, at int, left long, right long"), f"{folder}/windows")
+    first = windows.groupBy("left", "right").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    later = (document > F.struct("first.id", "first.row")) | (F.col("at") >= F.col("first.at") + WINDOW)
+    found = settled(windows.join(first, ["left", "right"]).where(later).groupBy("id", "row").agg(F.collect_set("at").alias("at")), f"{folder}/found")
     drop_folder(spark, f"{folder}/windows")
-    return found.select("id", "at", F.lit(False).alias("whole")).union(copies.select("id", F.array().cast("array<int>"), F.lit(True)))
+    return found.select("id", "row", "at", F.lit(False).alias("whole")).union(copies.select("id", "row", F.array().cast("array<int>"), F.lit(True)))
 
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: (doc, text, removed_starts, removed_ends, n_removed_words), the text without its repeats."""
-    rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    out = rows.join(repeats(rows), "id", "left").mapInArrow(_cut, "id long, text string, removed_starts array<long>, removed_ends array<long>, n_removed_words long")
+    rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
+    out = rows.join(repeats(rows), ["id", "row"], "left").mapInArrow(_cut, "id long, text string, removed_starts array<long>, removed_ends array<long>, n_removed_words long")
     return out.withColumnRenamed("id", doc)
 
 

@@ -192,6 +192,38 @@ def test_substring_dedup(docs, odd, empty):
     assert sum(map(bool, want.values())) >= 5 and substring.dedup(empty).count() == 0 and substring.dedup(odd).count() == 5
 
 
+def test_substring_dedup_inside_one_document(spark):
+    rng = random.Random(21)
+    passage, own = " ".join(_words(rng, 60, 9000)), [" ".join(_words(rng, 30, 9000)) for _ in range(12)]
+    rows = [
+        (1, f"{own[0]} {passage} {own[1]} {passage}\n{passage} {own[2]}"),
+        (2, f"{own[3]} {passage} {own[4]} {passage}"),
+        (3, f"{own[5]} {own[6]} " * 3 + own[7]),
+        (4, f"{own[8]} " * 20),
+        (5, "a b c " * 40),
+        (6, own[9]),
+    ]
+    first = {}
+    got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        words, gone = text.split(), set()
+        for p in range(len(words) - 49):
+            doc, at = first.setdefault(tuple(words[p : p + 50]), (i, p))
+            if doc != i or p >= at + 50:
+                gone.update(range(p, p + 50))
+        assert (i, got[i].n_removed_words, got[i].text.split()) == (i, len(gone), [w for k, w in enumerate(words) if k not in gone])
+    assert [got[i].n_removed_words for i in (1, 2, 3, 6)] == [120, 120, 120, 0] and got[4].n_removed_words > 500
+
+
+def test_substring_dedup_tells_equal_ids_apart(spark):
+    rng = random.Random(22)
+    passage, x, y = (" ".join(_words(rng, 70, 9000)) for _ in range(3))
+    rows = [(1, f"{x} {passage}"), (1, f"{passage} {y}"), (2, x), (2, x)]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed_words) for r in got) == [(1, 0), (1, 70), (2, 70), (2, 70)]
+    assert {w for r in got for w in r.text.split()} == {w for _, t in rows for w in t.split()}
+
+
 def test_line_and_paragraph_units(spark):
     rows = spark.createDataFrame([(1, "A line\nother\n\na  LINE"), (2, "a line\nnew\n"), (3, None)], "doc_id long, text string")
     assert {(r.doc_id, r.nth) for r in substring.dedup_units(rows).collect()} == {(1, 2), (2, 0)}
