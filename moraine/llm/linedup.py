@@ -2,159 +2,203 @@ r"""Line dedup as an exact set-similarity join.
 
 A line is the set of its words.  Two lines match if the Jaccard similarity of
 their sets is 0.8 or more, and a line is removed if it matches any earlier one, by
-(doc, line number), whether or not that one is itself removed.
+(id, text hash, line number), whether or not that one is itself removed.
 
-* Equal lines (white space aside) become one class of their first occurrence.
-* Words are ordered by rarity: counts over all words of all documents, kept in
-  `BUCKETS` buckets of a word hash (a table of fixed size), then the hash.  Any
-  fixed order gives exact results; this one makes prefixes rare.
-* Lines meet where their prefixes (n - ceil(0.8 n) + 1 rarest words) share a word,
+* Words are counted over all documents.  The most frequent ones, as many powers of
+  two of the count as fit into `FREQUENT` words, go to all tasks; words order by
+  count and hash, those outside of that table first.
+* Lines of equal sets become one class, numbered in the order of first occurrences.
+* Classes meet where their prefixes (n - ceil(0.8 n) + 1 rarest words) share a word,
   and have to pass the length filter, the positional filter and a bitmap filter
-  (the parity bits of both sets bound their overlap); no filter can lose a match.
-* Groups of more than `CROWD` lines at a word are compared with their earliest line
-  first.  Lines that this removes are settled, and only take part as earlier lines
-  of the others, so a crowd of variants of one line never meets pair by pair.
+  (128 parity bits bound the overlap from above); no filter can lose a match.
+* At words of more than `CROWD` classes all are first held against the earliest.
+  Those that this removes only take part as earlier classes of the others from then
+  on, so a crowd of variants of one line never meets pair by pair.
 * Candidates are verified on the words themselves.
 
+Words are split, hashed and ordered in Arrow batches, and everything that joins or
+groups is a DataFrame operation: the form in DataFrame functions alone took more
+than twice the processor time that this operator is given (see the README).
+
 Defined results: lines without words are never removed nor counted as matches; a
-null text has no lines; rows with equal ids are lines of one document at the same
-places; a null id ranks last; an empty table gives an empty table.
+null text has no lines; rows are told apart by id and text, so null and repeated
+ids are judged by their own lines, ranked by a hash of their texts, and rows equal
+in both are one document; a null id ranks last; an empty table gives an empty
+table; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, settled
-
-BUCKETS, CROWD = 65_536, 32
-_LAST = 9_223_372_036_854_775_807
-_HASH_BITS = 41
-
-
-def _spaced(text: Column) -> Column:
-    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
-
-
-def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, nth, line, d1, d2) of the lines with a word, d1 and d2 being the digest of the line's words."""
-    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("nth", "raw"))
-    rows = rows.select("doc", "nth", F.trim(_spaced(F.col("raw"))).alias("line")).where("line <> ''")
-    line = F.when(F.instr("line", "  ") > 0, F.regexp_replace("line", " {2,}", " ")).otherwise(F.col("line"))
-    return rows.select("doc", "nth", line.alias("line")).select("*", F.xxhash64("line").alias("d1"), F.xxhash64("line", F.lit(1)).alias("d2"))
-
-
-def _rarity(docs: DataFrame, text: str) -> Column:
-    """How often words of each bucket occur, as an array: a scalar subquery over all documents."""
-    words = docs.select(F.explode(F.split(F.regexp_replace(_spaced(F.coalesce(F.col(text), F.lit(""))), "\n", " "), " ")).alias("word")).where("word <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left")
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("counts")).scalar()
-
-
-def _prepared(docs: DataFrame, doc: str, text: str, folder: str) -> DataFrame:
-    """One row per class of equal lines: (doc, nth, n, b1, b2, prefix) of its first occurrence."""
-    counts = _rarity(docs, text)
-    ranked = lambda h: F.shiftleft(F.least(F.get(F.col("counts"), F.pmod(h, F.lit(BUCKETS)).cast("int")), F.lit(2**22 - 1)), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(2**_HASH_BITS - 1)))
-    bits = lambda shift: F.aggregate("hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int"))))
-    lines = _lines(docs, doc, text).select("doc", "nth", "d1", "d2", F.transform(F.array_distinct(_words(F.col("line"))), lambda w: F.xxhash64(w)).alias("hashes"))
-    sized = lines.select("*", F.size("hashes").alias("n"), counts.alias("counts"))
-    sized = sized.select("doc", "nth", "d1", "d2", "n", bits(16).alias("b1"), bits(48).alias("b2"), F.slice(F.sort_array(F.transform("hashes", ranked)), F.lit(1), F.col("n") - F.expr("(4 * n + 4) div 5") + 1).alias("prefix"))
-    order = F.col("doc").cast("decimal(20,0)") * F.lit(2**31) + F.col("nth")
-    firsts = sized.groupBy("d1", "d2").agg(F.min(order.cast("decimal(32,0)")).alias("order"), F.first("n").alias("n"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("prefix").alias("prefix"))
-    nth = F.pmod("order", F.lit(2**31).cast("decimal(32,0)")).cast("int")
-    firsts = firsts.select("order", nth.alias("nth"), "n", "b1", "b2", "prefix").withColumn("doc", F.expr("(order - nth) div 2147483648"))
-    return settled(firsts.select("doc", "nth", "n", "b1", "b2", "prefix"), f"{folder}/lines")
-
-
-def _apart(x: str, y: str) -> Column:
-    """A lower bound of the number of words that one of two sets has and the other hasn't: each differing bit is one."""
-    return F.greatest(*[F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in ("b1", "b2")])
-
-
-def _close(x: str, y: str) -> Column:
-    """Length and bitmap filters of two sets: an overlap o needs 9 o >= 4 (nx + ny), and 2 o <= nx + ny - apart."""
+from .common import LAST, drop_folder, keyed, scratch, settled
+from .hashing import hashes_of, mix, parts
+
+FREQUENT, CROWD = 1 << 18, 128
+#: So many wanted lines (of 28 bytes) are sent to all tasks at most; beyond that texts are dealt out to meet them.
+BROADCAST_LINES = 300_000
+_BATCH = {"most_bytes": 8 << 20, "most_rows": 20_000}
+_PLACE = ("id", "row", "nth")
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The number of lines of each text, the distinct words of all, and each word's line and place among the distinct."""
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    words = pc.ascii_split_whitespace(lines.flatten())
+    line = np.repeat(np.arange(len(words)), np.diff(np.asarray(words.offsets)))
+    coded = words.flatten().dictionary_encode()
+    some = np.asarray(pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False), bool)
+    at = np.asarray(coded.indices)
+    kept = some[at] if len(some) else np.empty(0, bool)
+    return np.diff(np.asarray(lines.offsets)), coded.dictionary, line[kept], at[kept]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts(batches, "text", **_BATCH):
+        _, words, _, at = _split(batch.column("text"))
+        n = np.bincount(at, minlength=len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes_of(words).view(np.int64)[n > 0]), pa.array(n[n > 0])], ["word", "n"])
+
+
+def frequent_words(texts: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the most frequent words; at most `FREQUENT` of them."""
+    counts = settled(texts.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), f"{folder}/words")
+    held, least = 0, 63
+    for power, words in sorted(((r["power"], r["words"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True):
+        held += words
+        if held > FREQUENT:
+            break
+        least = power
+    table = counts.where(F.col("n") >= min(2**least, LAST)).toArrow()
+    drop_folder(texts.sparkSession, f"{folder}/words")
+    words, n = np.asarray(table["word"].combine_chunks()).view(np.uint64), np.asarray(table["n"].combine_chunks())
+    order = np.argsort(words)
+    return words[order], n[order]
+
+
+def line_sets(texts: pa.Array, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+    """The text and number of each line with words, and (d1, d2, n, b1, b2, prefix) of its set."""
+    lines, words, line, at = _split(texts)
+    value = hashes_of(words)
+    if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)
+        often = np.where(frequent[place] == value, counts[place], 0)
+    else:
+        often = np.zeros(len(value), np.int64)
+    order = np.lexsort((value, often))
+    rarity = np.empty(len(value), np.uint64)
+    rarity[order] = np.arange(len(value), dtype=np.uint64)
+    key = np.unique((line.astype(np.uint64) << np.uint64(32)) | rarity[at])
+    owner, word = (key >> np.uint64(32)).astype(np.int64), value[order][(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    start = np.flatnonzero(np.diff(owner, prepend=-1))
+    n = np.diff(np.append(start, len(owner)))
+    prefix = n - (4 * n + 4) // 5 + 1
+    held = np.arange(len(owner)) - np.repeat(start, n) < np.repeat(prefix, n)
+    bit, high = np.uint64(1) << (word & np.uint64(63)), (word & np.uint64(64)) != 0
+    total = (lambda f, x: f.reduceat(x, start)) if len(start) else (lambda f, x: x)
+    with np.errstate(over="ignore"):
+        columns = [total(np.add, mix(word)), total(np.add, mix(word ^ np.uint64(0x632BE59BD9B4E019))), n.astype(np.int32), total(np.bitwise_xor, np.where(high, np.uint64(0), bit)), total(np.bitwise_xor, np.where(high, bit, np.uint64(0)))]
+    ends = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((word[held] >> np.uint64(24)).view(np.int64)))
+    first = np.cumsum(lines) - lines
+    text = np.repeat(np.arange(len(lines)), lines)[owner[start]]
+    arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns]
+    return text, owner[start] - first[text], pa.RecordBatch.from_arrays([*arrays, lists], ["d1", "d2", "n", "b1", "b2", "prefix"])
+
+
+def _lines(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "text", **_BATCH):
+            text, nth, sets = line_sets(batch.column("text"), *held.value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(text)) for c in ("id", "row")), pa.array(nth.astype(np.int32)), *sets.columns], [*_PLACE, *sets.schema.names])
+
+    return lines
+
+
+def _reach(x: str, y: str) -> Column:
+    """Length, positional and bitmap filters of two members: an overlap o needs 9 o >= 4 (nx + ny), and 2 o <= nx + ny - apart."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & ((nx + ny - _apart(x, y)) * 9 >= (nx + ny) * 8)
-
-
-def _earlier(x: str, y: str) -> Column:
-    return (F.col(f"{y}.doc") < F.col(f"{x}.doc")) | ((F.col(f"{y}.doc") == F.col(f"{x}.doc")) & (F.col(f"{y}.nth") < F.col(f"{x}.nth")))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, nth) of the lines x of (xdoc, xnth, ydoc, ynth) that match their y.
-
-    Documents are dealt out with the numbers of their wanted lines, so only those
-    lines go on.
-    """
-    wanted = pairs.select(F.col("xdoc").alias("doc"), F.col("xnth").alias("nth")).union(pairs.select("ydoc", "ynth")).distinct().groupBy("doc").agg(F.collect_list("nth").alias("nths"))
-    texts = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))
-    lines = texts.join(wanted, "doc").select("doc", "nths", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines")).select("doc", "lines", F.explode("nths").alias("nth"))
-    lines = lines.select("doc", "nth", F.get("lines", F.col("nth")).alias("line")).where("line is not null")
-    sets = lines.select("doc", "nth", F.array_distinct(_words(_spaced(F.col("line")))).alias("set")).dropDuplicates(["doc", "nth"])
-    x, y = sets.toDF("xdoc", "xnth", "xset"), sets.toDF("ydoc", "ynth", "yset")
-    both = pairs.join(x, ["xdoc", "xnth"]).join(y, ["ydoc", "ynth"])
-    common = F.size(F.array_intersect("xset", "yset"))
-    return both.where(common * 9 >= (F.size("xset") + F.size("yset")) * 4).select(F.col("xdoc").alias("doc"), F.col("xnth").alias("nth")).distinct()
-
-
-def _pair_columns(x: str, y: str) -> list[Column]:
-    return [F.col(f"{x}.doc").alias("xdoc"), F.col(f"{x}.nth").alias("xnth"), F.col(f"{y}.doc").alias("ydoc"), F.col(f"{y}.nth").alias("ynth")]
-
-
-def matches(docs: DataFrame, doc: str, text: str, folder: str) -> DataFrame:
-    """(doc, nth): first occurrences of lines that match an earlier line which differs."""
-    lines = _prepared(docs, doc, text, folder)
-    members = lines.select("doc", "nth", "n", "b1", "b2", F.posexplode("prefix").alias("at", "word"))
-    order = (F.col("doc").cast("decimal(20,0)") * F.lit(2**31) + F.col("nth")).cast("decimal(32,0)")
-    crowds = members.groupBy("word").agg(F.count(F.lit(1)).alias("lines"), F.min(order).alias("order")).where(F.col("lines") > CROWD)
-    crowds = crowds.select("word", F.pmod("order", F.lit(2**31).cast("decimal(32,0)")).cast("int").alias("lnth"), "order").select("word", "lnth", F.expr("(order - lnth) div 2147483648").alias("ldoc"))
-    heads = crowds.join(lines, (F.col("ldoc") == lines["doc"]) & (F.col("lnth") == lines["nth"])).select("word", "doc", "nth", "n", "b1", "b2")
-    led = members.alias("x").join(heads.alias("y"), F.col("x.word") == F.col("y.word")).where(_earlier("x", "y") & _close("x", "y"))
-    led = settled(led.select(*_pair_columns("x", "y")).distinct(), f"{folder}/led")
-    settled_lines = settled(_verified(led, docs, doc, text), f"{folder}/settled")
-    flagged = lines.join(settled_lines.withColumn("done", F.lit(1)), ["doc", "nth"], "left").select("doc", "nth", "n", "b1", "b2", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word"))
-    reach = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * 9 >= (F.col("x.n") + F.col("y.n")) * 4
+    apart = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
+    return (F.least(nx, ny) * 5 >= F.greatest(nx, ny) * 4) & (apart * 9 <= nx + ny) & (F.least(nx - F.col(f"{x}.at"), ny - F.col(f"{y}.at")) * 9 >= (nx + ny) * 4)
+
+
+def _words(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """(c, words) of the classes that stand in `pairs`: the words of their first occurrences."""
+    wanted = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct()
+    wanted = settled(classes.join(wanted, "c").select("c", *_PLACE), f"{folder}-wanted")
+    small = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    places = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("nth", "c")).alias("places"))
+    texts = docs.join(F.broadcast(places) if small else places, ["id", "row"]).select(F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
+    words = texts.select("place.c", F.array_distinct(F.array_remove(F.split(F.translate(F.get("lines", F.col("place.nth")), "\t\x0b\x0c\r", "    "), " "), "")).alias("words"))
+    return settled(words.dropDuplicates(["c"]), f"{folder}-text")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """(c): the classes x of (x, y) that match their y."""
+    words = _words(docs, classes, pairs, folder)
+    both = pairs.join(words.toDF("x", "xs"), "x").join(words.toDF("y", "ys"), "y")
+    return both.where(F.size(F.array_intersect("xs", "ys")) * 9 >= (F.size("xs") + F.size("ys")) * 4).select(F.col("x").alias("c")).distinct()
+
+
+def _matched(docs: DataFrame, classes: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """(c): the classes that match an earlier class; `sets` has their n, bitmaps and prefixes."""
+    spark = docs.sparkSession
+    members = sets.select("c", "n", "b1", "b2", F.posexplode("prefix").alias("at", "word"))
+    crowds = settled(members.groupBy("word").agg(F.count(F.lit(1)).alias("classes"), F.min("c").alias("c")).where(F.col("classes") > CROWD).select("word", "c"), f"{folder}/crowds")
+    heads = settled(members.join(crowds, ["word", "c"]), f"{folder}/heads")
+    small = heads.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    led = members.alias("x").join((F.broadcast(heads) if small else heads).alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("y.c") < F.col("x.c")) & _reach("x", "y"))
+    led = settled(led.select(F.col("x.c").alias("x"), F.col("y.c").alias("y")).distinct(), f"{folder}/led")
+    done = settled(_verified(docs, classes, led, f"{folder}/led"), f"{folder}/done")
+    drop_folder(spark, *(f"{folder}/{x}" for x in ("crowds", "heads", "led", "led-wanted", "led-text")))
+    flagged = sets.join(done.withColumn("done", F.lit(1)), "c", "left").select("c", "n", "b1", "b2", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word"))
     # `done` is tested together with the other side, so that both sides stay one plan and share one shuffle.
     open_ = F.col("x.done") * 2 + F.least(F.col("y.done"), F.lit(0)) == 0
-    met = flagged.alias("x").join(flagged.alias("y"), (F.col("x.word") == F.col("y.word")) & open_ & _earlier("x", "y") & _close("x", "y") & reach)
-    pairs = settled(met.select(*_pair_columns("x", "y"), _apart("x", "y").alias("apart")).distinct(), f"{folder}/pairs")
-    # Each line is held against its likeliest partner first; only lines which that leaves open meet their others.
-    best = pairs.groupBy("xdoc", "xnth").agg(F.min(F.struct("apart", "ydoc", "ynth")).alias("y")).select("xdoc", "xnth", "y.ydoc", "y.ynth")
-    matched = settled(_verified(best, docs, doc, text), f"{folder}/matched")
-    named = matched.select(F.col("doc").alias("xdoc"), F.col("nth").alias("xnth"))
-    rest = settled(pairs.drop("apart").join(named, ["xdoc", "xnth"], "left_anti").join(best, ["xdoc", "xnth", "ydoc", "ynth"], "left_anti"), f"{folder}/rest")
-    return settled_lines.union(matched).union(_verified(rest, docs, doc, text)).distinct()
+    met = flagged.alias("x").join(flagged.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("y.c") < F.col("x.c")) & open_ & _reach("x", "y"))
+    pairs = settled(met.select(F.col("x.c").alias("x"), F.col("y.c").alias("y")).distinct(), f"{folder}/pairs")
+    matched = settled(_verified(docs, classes, pairs, f"{folder}/pairs").union(done), f"{folder}/matched")
+    drop_folder(spark, *(f"{folder}/{x}" for x in ("done", "pairs", "pairs-wanted", "pairs-text")))
+    return matched
 
 
 def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, removed): the numbers of the lines to remove from each document that loses one."""
-    folder = scratch(docs.sparkSession)
-    gone = settled(matches(docs, doc, text, folder), f"{folder}/gone")
-    placed = _lines(docs, doc, text).select("doc", "nth", "d1", "d2")
-    order = (F.col("doc").cast("decimal(20,0)") * F.lit(2**31) + F.col("nth")).cast("decimal(32,0)")
-    firsts = placed.groupBy("d1", "d2").agg(F.min(order).alias("order"), F.count(F.lit(1)).alias("copies"))
-    first_nth = F.pmod("order", F.lit(2**31).cast("decimal(32,0)")).cast("int")
-    firsts = firsts.select("d1", "d2", "order", "copies", first_nth.alias("fnth")).withColumn("fdoc", F.expr("(order - fnth) div 2147483648"))
-    gone = gone.select(F.col("doc").alias("gdoc"), F.col("nth").alias("gnth"), F.lit(True).alias("gone"))
-    firsts = firsts.join(gone, (F.col("fdoc") == F.col("gdoc")) & (F.col("fnth") == F.col("gnth")), "left").where("copies > 1 or gone").select("d1", "d2", "fdoc", "fnth", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = placed.join(firsts, ["d1", "d2"]).where("gone or doc <> fdoc or nth <> fnth")
-    return out.groupBy("doc").agg(F.sort_array(F.collect_set("nth")).alias("removed"))
+    """(id, row, removed): the numbers of the lines to remove from each document, by `keyed`, that loses one."""
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
+    texts = keyed(docs, doc, text)
+    held = spark.sparkContext.broadcast(frequent_words(texts, folder))
+    lines = settled(texts.where("text is not null").mapInArrow(_lines(held), "id long, row long, nth int, d1 long, d2 long, n int, b1 long, b2 long, prefix array<long>"), f"{folder}/lines")
+    place = F.struct(*_PLACE)
+    firsts = settled(lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")), f"{folder}/firsts")
+    # Numbers rise from range to range and within each, so they order classes as their first occurrences do.
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = firsts.repartitionByRange(ranges, "first").sortWithinPartitions("first").select("d1", "d2", "first.*", (F.col("last") > F.col("first")).alias("several"), F.monotonically_increasing_id().alias("c"))
+    classes = settled(ordered, f"{folder}/classes")
+    drop_folder(spark, f"{folder}/firsts")
+    sets = settled(lines.join(classes.select("c", *_PLACE), [*_PLACE]).select("c", "n", "b1", "b2", "prefix").dropDuplicates(["c"]), f"{folder}/sets")
+    placed = settled(lines.select(*_PLACE, "d1", "d2"), f"{folder}/placed")
+    drop_folder(spark, f"{folder}/lines")
+    matched = _matched(texts, classes, sets, folder)
+    drop_folder(spark, f"{folder}/sets")
+    gone = classes.join(matched.withColumn("gone", F.lit(True)), "c", "left").where("several or gone").select("d1", "d2", F.struct(*_PLACE).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    out = placed.join(gone, ["d1", "d2"]).where(F.col("gone") | (place != F.col("first"))).groupBy("id", "row").agg(F.sort_array(F.collect_set("nth")).alias("removed"))
+    out = settled(out, f"{folder}/removed")
+    drop_folder(spark, *(f"{folder}/{x}" for x in ("placed", "classes", "matched")))
+    return out
 
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """One row per row of `docs`: (doc, n_lines, n_removed, removed) and the text without the removed lines."""
     gone = removed_lines(docs, doc, text)
-    key = F.coalesce(F.col(doc).cast("long"), F.lit(_LAST))
-    rows = docs.select(F.col(doc).alias("id"), key.alias("key"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long").alias("n_lines"), *([F.col(text).alias("text")] if keep_text else []))
-    rows = rows.join(gone, rows["key"] == gone["doc"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    out = [F.col("id").alias(doc), F.col("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.col("removed")]
+    lines = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long")
+    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("row"), lines.alias("n_lines"), *([F.col(text).alias("text")] if keep_text else []))
+    rows = rows.join(gone, ["id", "row"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    out = [F.col("doc").alias(doc), F.col("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.col("removed")]
     if keep_text:
         out.append(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n").alias("text"))
     return rows.select(*out)

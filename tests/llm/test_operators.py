@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moraine.llm import decontaminate, graph, htmltext, linedup, mixing, neardup, quality, quotes, rangecoder, substring, tokens, warc
-from moraine.llm.hashing import WordHashes, shingles, units
+from moraine.llm.hashing import WordHashes, hashes_of, shingles, units
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -263,6 +263,27 @@ def test_line_dedup(spark, odd, empty):
     assert linedup.query(empty).count() == 0 and linedup.query(odd).count() == 5
 
 
+def test_line_dedup_tells_null_and_equal_ids_apart(spark):
+    rng = random.Random(31)
+    a, b, c = ("\n".join(" ".join(_words(rng, 12, 9000)) for _ in range(3)) for _ in range(3))
+    near = a.split("\n")[0].split()
+    near[0] = "other"
+    rows = [(1, a), (None, a), (None, b), (5, a), (5, c), (5, c), (6, " ".join(near) + "\n" + c), (None, None), (7, ""), (8, "x" * 200_000 + " y")]
+    table = spark.createDataFrame([(*r, 1, "a", 2) for r in rows], "doc_id long, text string, id long, row string, nth int")
+    got = sorted((str(r.doc_id), str(r.text), list(r.removed)) for r in linedup.dedup(table).collect())
+    want = [(1, a, []), (None, "", [0, 1, 2]), (None, b, []), (5, "", [0, 1, 2]), (5, c, []), (5, c, []), (6, "", [0, 1, 2, 3]), (None, None, []), (7, "", []), (8, rows[-1][1], [])]
+    assert got == sorted((str(i), str(t), r) for i, t, r in want)
+
+
+def test_word_hashes_of_arrays():
+    import pyarrow as pa
+
+    words = ["", "a", "b", "ab", "ba", "é", "x" * 3000, "x" * 2999, "a"]
+    got = hashes_of(pa.array(words)).tolist()
+    assert got[1] == got[8] and len(set(got)) == 8
+    assert hashes_of(pa.array(["zz", *words]).slice(1)).tolist() == got and len(hashes_of(pa.array([], pa.string()))) == 0
+
+
 def test_chat_quotes(spark, empty):
     rows = [(1, 0, "user", "Hello there\nhow are you"), (1, 1, "a", "> Hello  there\nfine thanks"), (1, 2, "user", "A wrote:\n> fine thanks\n>> hello THERE\nok good"), (1, 3, "a", "nothing"), (1, 4, "b", ">> Hello there\nlate"), (None, 0, "x", "Hello there"), (2, None, "y", None), (2, 1, "z", "> Hello there\nzz"), (2, 1, "z", "> Hello there\nzz")]
     out = quotes.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
