@@ -1,21 +1,22 @@
 """An adaptive context-mixing range coder for token ids, run over many blocks at once.
 
 A block is a run of ids that is coded from fresh models and carries a checksum, so
-any block decodes without the others.  For each id the models predict:
-
-* order 2: the id that last followed the two ids before it in this block,
-* order 1: the id that last followed the id before it,
-* order 0: its rank among the ids of the group, most frequent first.
-
-The outcome is one of sixteen classes (order 2 is right; order 1 is right; or the
-bit length of the rank plus four) and the rank's lower bits.  Three adaptive
-distributions over the classes, in contexts of no, one and two ids before, are
-mixed with weights that follow how well each has done in the block, and the mixed
-distribution drives a carry-less range coder with 64-bit bounds; the lower bits
-are coded as equally likely.
-
-All arithmetic is on integers, so any machine decodes what any other wrote.  The
-blocks of a group advance together, one id each per step, as numpy vectors.
+any block decodes without the others.  For each id three models predict:
+
+* order 2: the id that follows the two ids before it, as this block has learnt,
+* order 1: the id that follows the id before it,
+* order 0: all ids of the group by their exact frequencies, scaled to `TOTAL`.
+
+Orders 1 and 2 keep one id and a confidence of 0 to 3 for each context.  The three
+predictions are mixed: the share of the code space that each gets adapts to how
+often it was right, apart for every pair of confidences and for whether the two
+ids agree.  The id is coded in the share of the highest order that predicts it,
+and below order 0 by its frequency.
+
+The coder keeps 64-bit bounds and sends 32 bits at a time; a carry is added to the
+word before, and words are brought into range at the end.  All arithmetic is on
+integers, so any machine decodes what any other wrote.  The blocks of a group
+advance together, one id each per step, as numpy vectors.
 """
 
 from __future__ import annotations
@@ -24,175 +25,171 @@ import zlib
 
 import numpy as np
 
-CLASSES, PRECISION, RATE = 16, 14, (5, 4, 4)
-_ONE = 1 << PRECISION
-_CONTEXTS = 128  # of each of the orders 1 and 2, per block
-_SLOTS = 1024  # remembered ids of each of the orders 1 and 2, per block
-_LOW32 = np.uint64(0xFFFFFFFF)
-#: What a distribution moves towards when its class occurs; every class keeps a width of one at least.
-_TOWARDS = np.array([[(_ONE - CLASSES + i if i > s else i) for i in range(CLASSES)] for s in range(CLASSES)], np.int16)
+#: Shares are kept in 16 bits and used in 12; frequencies add up to 20 bits.
+SHARE, TOTAL = 12, 20
+_SLOTS, _RATE = 4096, 5
+_CONTEXTS = 32
+_ONE = np.uint64(1 << SHARE)
+_LEAST = np.uint64(1 << 32)
+_WORD = np.uint64(32)
 
 
 class _Models:
     """The models of all blocks of a group; both directions use them alike."""
 
     def __init__(self, blocks: int):
-        self.lane = np.arange(blocks)
-        even = (np.arange(CLASSES) * (_ONE // CLASSES)).astype(np.int16)
-        self.zero = np.tile(even, (blocks, 1))
-        self.one = np.tile(even, (blocks * _CONTEXTS, 1))
-        self.two = np.tile(even, (blocks * _CONTEXTS, 1))
-        self.after_one = np.zeros(blocks * _SLOTS, np.uint16)
-        self.after_two = np.zeros(blocks * _SLOTS, np.uint16)
-        self.score = np.full((3, blocks), 64, np.int32)
-        self.before = np.zeros((2, blocks), np.uint32)
-        self.widened = np.full((blocks, CLASSES + 1), _ONE, np.int32)
+        self.base = np.arange(blocks) * _SLOTS
+        self.corner = np.arange(blocks) * _CONTEXTS
+        self.after = [np.zeros(blocks * _SLOTS, np.uint32) for _ in range(2)]
+        self.two = np.full(blocks * _CONTEXTS, 8192, np.int32)
+        self.both = np.full(blocks * _CONTEXTS, 12288, np.int32)
+        self.last = np.zeros(blocks, np.uint32)
+        self.mixed = np.zeros(blocks, np.uint32)
 
     def predict(self) -> None:
-        last, prior = self.before
-        h1 = last * np.uint32(0x9E3779B1)
-        h2 = (h1 ^ (prior * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-        self.slot_one = self.lane * _SLOTS + (h1 >> np.uint32(22)).astype(np.int64)
-        self.slot_two = self.lane * _SLOTS + (h2 >> np.uint32(22)).astype(np.int64)
-        self.guess_one = self.after_one[self.slot_one]
-        self.guess_two = self.after_two[self.slot_two]
-        self.at_one = self.lane * _CONTEXTS + (h1 >> np.uint32(25)).astype(np.int64)
-        self.at_two = self.lane * _CONTEXTS + (h2 >> np.uint32(25)).astype(np.int64)
-        self.row_one, self.row_two = self.one[self.at_one], self.two[self.at_two]
-        total = self.score.sum(axis=0)
-        w0 = (self.score[0] * 64) // total
-        w1 = (self.score[1] * 64) // total
-        mixed = self.zero * w0[:, None]
-        mixed += self.row_one * w1[:, None]
-        mixed += self.row_two * (64 - w0 - w1)[:, None]
-        np.right_shift(mixed, 6, out=self.widened[:, :CLASSES])
-
-    def learn(self, klass: np.ndarray, ids: np.ndarray) -> None:
-        lane, up = self.lane, np.minimum(klass + 1, CLASSES - 1)
-        top = klass == CLASSES - 1
-        for k, rows in enumerate((self.zero, self.row_one, self.row_two)):
-            width = np.where(top, _ONE, rows[lane, up]) - rows[lane, klass]
-            self.score[k] += (width - self.score[k]) >> 4
-        np.maximum(self.score, 1, out=self.score)
-        towards = _TOWARDS[klass]
-        self.zero += (towards - self.zero) >> RATE[0]
-        self.one[self.at_one] = self.row_one + ((towards - self.row_one) >> RATE[1])
-        self.two[self.at_two] = self.row_two + ((towards - self.row_two) >> RATE[2])
-        self.after_one[self.slot_one] = ids
-        self.after_two[self.slot_two] = ids
-        self.before[1] = self.before[0]
-        self.before[0] = ids
-
-
-def _ranks(ids: np.ndarray) -> np.ndarray:
-    """The ids of a group, most frequent first, smaller first among equals."""
-    counts = np.bincount(ids, minlength=1)
+        """Sets the guesses of orders 1 and 2, and the upper bounds of the shares of order 2 and of both."""
+        h = self.last * np.uint32(0x9E3779B1)
+        self.slots = (self.base + (h >> np.uint32(20)), self.base + ((self.mixed + h) * np.uint32(0xC2B2AE35) >> np.uint32(20)))
+        self.entries = tuple(table[slot] for table, slot in zip(self.after, self.slots))
+        one, two = self.entries
+        self.one, self.deep = one >> np.uint32(2), two >> np.uint32(2)
+        state = ((two & np.uint32(3)) << np.uint32(3)) | ((one & np.uint32(3)) << np.uint32(1)) | (self.one == self.deep)
+        self.at = self.corner + state
+        self.share_two, self.share_both = self.two[self.at], self.both[self.at]
+        self.upto_two, self.upto_both = (self.share_two >> 4).astype(np.uint64), (self.share_both >> 4).astype(np.uint64)
+
+    def learn(self, ids: np.ndarray, is_two: np.ndarray, known: np.ndarray) -> None:
+        """`ids` are what came; `is_two` where order 2 was right, `known` where order 2 or 1 was."""
+        self.two[self.at] = self.share_two + ((64 + is_two * 64448 - self.share_two) >> _RATE)
+        self.both[self.at] = self.share_both + ((128 + known * 64448 - self.share_both) >> _RATE)
+        fresh = ids << np.uint32(2)
+        for table, slot, entry, right in ((self.after[0], self.slots[0], self.entries[0], ids == self.one), (self.after[1], self.slots[1], self.entries[1], is_two)):
+            sure = entry & np.uint32(3)
+            kept = entry - ((sure + np.uint32(1)) >> np.uint32(1))
+            table[slot] = np.where(right, entry + (sure < 3), np.where(sure == 0, fresh, kept))
+        self.mixed = self.last * np.uint32(0x85EBCA6B)
+        self.last = ids
+
+
+def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a group, and frequencies of at least one that add up to 2 ** TOTAL."""
+    counts = np.bincount(ids)
     used = np.flatnonzero(counts)
-    return used[np.lexsort((used, -counts[used]))].astype(np.uint16)
+    held = counts[used]
+    scaled = np.maximum(held * ((1 << TOTAL) - len(used)) // held.sum(), 0) + 1
+    scaled[np.argmax(held)] += (1 << TOTAL) - int(scaled.sum())
+    return used.astype(np.uint32), scaled.astype(np.uint32)
 
 
-def _shape(n: int, block: int) -> tuple[int, int, int]:
+def _shape(n: int, block: int) -> np.ndarray:
+    """The sizes of the blocks of `n` ids: they differ by one at most, and none is above `block`."""
     blocks = max(1, -(-n // block))
-    steps = -(-n // blocks)
-    return blocks, steps, n - blocks * (steps - 1)  # so many blocks have `steps` ids, the others one less
-
-
-def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
-    """A group's ranks, and (ids, crc32, code) of each of its blocks; `ids` is uint16 and not empty."""
-    ranks = _ranks(ids)
-    value_of = np.zeros(65536, np.uint32)
-    value_of[ranks] = np.arange(len(ranks), dtype=np.uint32) + 4
-    blocks, steps, longer = _shape(len(ids), block)
-    sizes = np.where(np.arange(blocks) < longer, steps, steps - 1)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return np.full(blocks, n // blocks) + (np.arange(blocks) < n % blocks)
+
+
+def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, bytes]]]:
+    """A group's distinct ids and frequencies, and (ids, crc32, code) of each of its blocks; `ids` is uint16 and not empty."""
+    used, scaled = frequencies(ids)
+    freq, start = np.zeros((2, int(used[-1]) + 1), np.uint64)
+    freq[used], start[used] = scaled, np.cumsum(scaled) - scaled
+    sizes = _shape(len(ids), block)
+    blocks, steps = len(sizes), int(sizes.max())
+    first = np.cumsum(sizes) - sizes
+    grid = np.zeros((steps, blocks), np.uint32)
+    for b, (a, n) in enumerate(zip(first.tolist(), sizes.tolist())):
+        grid[:n, b] = ids[a : a + n]
     low, width = np.zeros(blocks, np.uint64), np.full(blocks, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out, at = np.zeros((blocks, 2 * steps + 8), np.uint16), np.zeros(blocks, np.int64)
+    out, at = np.zeros((blocks, steps // 2 + 64), np.int64), np.ones(blocks, np.int64)
     models = _Models(blocks)
-    lane = models.lane
+    short = int(sizes.min())
     with np.errstate(over="ignore"):
         for step in range(steps):
-            live = step < sizes
-            now = ids[np.minimum(first + step, len(ids) - 1)]
+            now = grid[step]
             models.predict()
-            value = value_of[now]
-            bits = np.frexp(value.astype(np.float64))[1].astype(np.int64) - 1
-            klass = np.where(now == models.guess_two, 0, np.where(now == models.guess_one, 1, bits))
-            start = models.widened[lane, klass].astype(np.uint64)
-            size = models.widened[lane, klass + 1].astype(np.uint64) - start
-            unit = width >> np.uint64(PRECISION)
-            new_low, new_width = low + start * unit, size * unit
-            extra = np.where(klass < 2, 0, bits).astype(np.uint64)
-            unit = new_width >> extra
-            new_low = new_low + np.where(klass < 2, 0, value - (np.uint32(1) << extra.astype(np.uint32))).astype(np.uint64) * unit
-            low, width = np.where(live, new_low, low), np.where(live, unit, width)
-            while True:
-                same = ((low ^ (low + width)) >> np.uint64(48)) == 0
-                short = ~same & (width <= _LOW32)
-                move = same | short
-                if not move.any():
-                    break
-                width = np.where(short, (~low + np.uint64(1)) & _LOW32, width)
-                who = np.flatnonzero(move)
-                out[who, at[who]] = (low[who] >> np.uint64(48)).astype(np.uint16)
-                at[who] += 1
-                low[who] <<= np.uint64(16)
-                width[who] <<= np.uint64(16)
-            models.learn(klass, now)
-        for _ in range(4):
-            out[lane, at] = (low >> np.uint64(48)).astype(np.uint16)
-            at += 1
-            low <<= np.uint64(16)
-    whole = ids.astype("<u2", copy=False)
-    return ranks, [(int(n), zlib.crc32(whole[a : a + n]), out[b, : at[b]].astype("<u2").tobytes()) for b, (a, n) in enumerate(zip(first.tolist(), sizes.tolist()))]
-
-
-def decode(ranks: np.ndarray, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+            is_two = now == models.deep
+            is_one = (now == models.one) & ~is_two
+            known = is_two | is_one
+            unit = width >> np.uint64(SHARE)
+            upto_two, upto_both = models.upto_two, models.upto_both
+            fine = ((_ONE - upto_both) * unit) >> np.uint64(TOTAL)
+            add = np.where(known, np.where(is_two, np.uint64(0), upto_two * unit), upto_both * unit + start[now] * fine)
+            size = np.where(known, np.where(is_two, upto_two, upto_both - upto_two) * unit, freq[now] * fine)
+            if step >= short:
+                live = step < sizes
+                add, size = np.where(live, add, np.uint64(0)), np.where(live, size, width)
+            low += add
+            width = size
+            carried = np.flatnonzero(low < add)
+            out[carried, at[carried] - 1] += 1
+            who = np.flatnonzero(width < _LEAST)
+            if len(who):
+                bound = low[who]
+                place = at[who]
+                if place.max() + 4 > out.shape[1]:
+                    out = np.concatenate([out, np.zeros_like(out)], axis=1)
+                out[who, place] = (bound >> _WORD).astype(np.int64)
+                at[who] = place + 1
+                low[who] = bound << _WORD
+                width[who] <<= _WORD
+            models.learn(now, is_two, known)
+    lane = np.arange(blocks)
+    for word in (low >> _WORD, low & np.uint64(0xFFFFFFFF)):
+        out[lane, at] = word.astype(np.int64)
+        at += 1
+    while (over := out >> 32).any():
+        out &= 0xFFFFFFFF
+        out[:, :-1] += over[:, 1:]
+    whole = np.ascontiguousarray(ids, "<u2")
+    return used, scaled, [(n, zlib.crc32(whole[a : a + n]), out[b, 1 : at[b]].astype("<u4").tobytes()) for b, (a, n) in enumerate(zip(first.tolist(), sizes.tolist()))]
+
+
+def decode(used: np.ndarray, scaled: np.ndarray, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of a group; raises ValueError where a block's checksum differs."""
+    if int(scaled.sum(dtype=np.int64)) != 1 << TOTAL:
+        raise ValueError("a group's frequencies don't add up: the file is damaged")
+    freq, start = np.zeros((2, int(used[-1]) + 1), np.uint64)
+    freq[used], start[used] = scaled, np.cumsum(scaled, dtype=np.uint64) - scaled
+    id_at = np.repeat(used.astype(np.uint16), scaled)
     sizes = np.array([n for n, _, _ in blocks], np.int64)
-    steps, count = int(sizes.max()), len(blocks)
-    longest = max(len(x) for _, _, x in blocks) // 2
-    words = np.zeros((count, longest + 8), np.uint16)
+    steps, short, count = int(sizes.max()), int(sizes.min()), len(blocks)
+    longest = max(len(x) for _, _, x in blocks) // 4
+    words = np.zeros((count, longest + 2), np.uint64)
     for b, (_, _, code) in enumerate(blocks):
-        words[b, : len(code) // 2] = np.frombuffer(code, "<u2")
-    low, width = np.zeros(count, np.uint64), np.full(count, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code, at = np.zeros(count, np.uint64), np.full(count, 4, np.int64)
-    for i in range(4):
-        code = (code << np.uint64(16)) | words[:, i].astype(np.uint64)
-    ids = np.zeros((count, steps), np.uint16)
+        words[b, : len(code) // 4] = np.frombuffer(code, "<u4", len(code) // 4)
+    words = words.reshape(-1)
+    at = np.arange(count) * (longest + 2)
+    most = at + longest + 1
+    code, width = (words[at] << _WORD) | words[at + 1], np.full(count, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    at += 2
+    grid = np.zeros((steps, count), np.uint16)
     models = _Models(count)
-    lane, last = models.lane, len(ranks) - 1
+    last = np.uint64((1 << TOTAL) - 1)
     with np.errstate(over="ignore"):
         for step in range(steps):
-            live = step < sizes
             models.predict()
-            unit = width >> np.uint64(PRECISION)
-            spot = np.minimum((code - low) // unit, np.uint64(_ONE - 1)).astype(np.int32)
-            klass = (models.widened[:, :CLASSES] <= spot[:, None]).sum(axis=1) - 1
-            start = models.widened[lane, klass].astype(np.uint64)
-            size = models.widened[lane, klass + 1].astype(np.uint64) - start
-            new_low, new_width = low + start * unit, size * unit
-            extra = np.where(klass < 2, 0, klass).astype(np.uint64)
-            unit = new_width >> extra
-            lower = np.minimum((code - new_low) // unit, (np.uint64(1) << extra) - np.uint64(1))
-            new_low = new_low + lower * unit
-            rank = (np.uint64(1) << extra) + lower - np.uint64(4)
-            now = np.where(klass == 0, models.guess_two, np.where(klass == 1, models.guess_one, ranks[np.minimum(rank, np.uint64(last)).astype(np.int64)]))
-            ids[:, step] = now
-            low, width = np.where(live, new_low, low), np.where(live, unit, width)
-            while True:
-                same = ((low ^ (low + width)) >> np.uint64(48)) == 0
-                short = ~same & (width <= _LOW32)
-                move = same | short
-                if not move.any():
-                    break
-                width = np.where(short, (~low + np.uint64(1)) & _LOW32, width)
-                who = np.flatnonzero(move)
-                code[who] = (code[who] << np.uint64(16)) | words[who, np.minimum(at[who], words.shape[1] - 1)].astype(np.uint64)
-                at[who] += 1
-                low[who] <<= np.uint64(16)
-                width[who] <<= np.uint64(16)
-            models.learn(klass, now)
-    parts = [ids[b, :n] for b, n in enumerate(sizes.tolist())]
+            unit = width >> np.uint64(SHARE)
+            upto_two, upto_both = models.upto_two, models.upto_both
+            edge_two, edge_both = upto_two * unit, upto_both * unit
+            is_two, known = code < edge_two, code < edge_both
+            fine = np.maximum(((_ONE - upto_both) * unit) >> np.uint64(TOTAL), np.uint64(1))
+            rare = id_at[np.minimum((code - edge_both) // fine, last)]
+            now = np.where(known, np.where(is_two, models.deep, models.one), rare)
+            add = np.where(known, np.where(is_two, np.uint64(0), edge_two), edge_both + start[rare] * fine)
+            size = np.where(known, np.where(is_two, edge_two, edge_both - edge_two), freq[rare] * fine)
+            if step >= short:
+                live = step < sizes
+                add, size = np.where(live, add, np.uint64(0)), np.where(live, size, width)
+            grid[step] = now
+            code -= add
+            width = size
+            who = np.flatnonzero(width < _LEAST)
+            if len(who):
+                place = at[who]
+                code[who] = (code[who] << _WORD) | words[np.minimum(place, most[who])]
+                at[who] = place + 1
+                width[who] <<= _WORD
+            models.learn(now.astype(np.uint32), is_two, known)
+    parts = [grid[:n, b] for b, n in enumerate(sizes.tolist())]
     for part, (_, crc, _) in zip(parts, blocks):
         if zlib.crc32(np.ascontiguousarray(part, "<u2")) != crc:
             raise ValueError("a block's checksum differs: the file is damaged")

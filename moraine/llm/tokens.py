@@ -2,117 +2,156 @@
 
 Texts are encoded by a public tokenizer, an end id is appended to each document,
 and the ids are written in ascending document order.  One file per range of
-documents holds groups of blocks (see `rangecoder`): a group has the ranking of
-its ids, and every block is coded from fresh models and has its own checksum, so a
-damaged block is noticed and costs no other group.
+documents holds groups of blocks (see `rangecoder`): a group has the frequencies of
+its ids, and every block of at most `BLOCK` ids is coded from fresh models and has
+its own checksum, so a damaged block is noticed and costs no other group.
 
 Encoding remembers words: a tokenizer that drops white space and never joins
 across it gives a text the ids of its words in turn, so the library encodes each
-distinct word of a batch once.  Before a tokenizer is used that way, that is
-checked on the first texts of each task; otherwise texts are encoded whole.
+distinct word of a task once.  `by_word` reads from the tokenizer's own definition
+whether it is of that kind; texts are encoded whole by any other.
 
 Layout of a file: groups, each `MAGIC`, five little-endian uint32 (documents, ids,
-ranks, blocks, length of the code), the documents' ids (int64; null as the least
-value, with a flag byte each) and numbers of ids (uint32), the ranks (uint16), each
+blocks, length of the frequencies, length of the code), the documents' ids (int64;
+null as the least value, with a flag byte each) and numbers of ids (uint32), the
+distinct ids (uint16) with their frequencies (uint32) in zlib's format, each
 block's ids, checksum and length (uint32 each), and the blocks' code.
 
 Defined results: a null or empty text has the end id only; a null id sorts first;
-rows with equal ids stand side by side; an empty table gives no file and no rows.
+rows with equal ids stand side by side, in the order of a hash of their texts; a
+tokenizer whose ids don't fit into 16 bits is refused by a ValueError; other
+columns are not read; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, settled
+from .common import drop_folder, scratch, settled
 from .hashing import parts
 from .rangecoder import decode, encode
 from .warc import _store
 
-MAGIC = b"MRNT1\n"
-#: Ids of a group at most, and of a block; groups of fewer ids have shorter blocks, so that many advance together.
-GROUP, BLOCK, LANES = 1 << 22, 2048, 2048
+MAGIC = b"MRNT2\n"
+#: Ids of a group at most, and of a block.
+GROUP, BLOCK = 1 << 23, 4096
 END = 1
+#: Bytes of a task's texts, by the plan's own estimate, above which there are more tasks than shuffle partitions.
+TASK_BYTES = 128 << 20
+_WHITE = "\t\n\x0b\x0c\r "
+
+
+def _flat(step: dict | None, within: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer, sequences opened."""
+    if step is None:
+        return []
+    return [y for x in step[within] for y in _flat(x, within)] if step["type"] == "Sequence" else [step]
+
+
+def by_word(definition: dict) -> bool:
+    """Whether, by a tokenizer's definition, a text has the ids of its words in turn, words being split at ASCII white space.
+
+    Its normalizers must work within words (NFC, lower case) or on white space only, its
+    first pre-tokenizer must drop all white space, and no added token may hold any.
+    """
+    for step in _flat(definition.get("normalizer"), "normalizers"):
+        if step["type"] not in ("NFC", "Lowercase") and not (step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " "):
+            return False
+    first = next(iter(_flat(definition.get("pre_tokenizer"), "pretokenizers")), {"type": None})
+    if first["type"] == "Split":
+        pattern = first["pattern"].get("Regex", "")
+        # What is kept are the matches, and no match may hold white space: neither by a literal, nor by a class.
+        bare = regex.sub(r"\[\^[^]]*\\s[^]]*\]", "", pattern)
+        if not (first["invert"] and first["behavior"] == "Removed" and pattern) or any(c in bare for c in (*_WHITE, ".", "[^", r"\s", r"\S", r"\W", r"\D", r"\P", r"\X", r"\x", r"\u", r"\p{Z", r"\p{C", "(?")):
+            return False
+        if any(regex.search(pattern, c) for c in _WHITE):
+            return False
+    elif first["type"] not in ("WhitespaceSplit", "BertPreTokenizer"):
+        return False
+    return not any(c in token["content"] for token in definition.get("added_tokens") or () for c in _WHITE) and definition.get("truncation") is None and definition.get("padding") is None
 
 
 class Encoder:
     """Ids of texts, word by word where that is the same."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as source:
+            self.by_word = by_word(json.load(source))
+        if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) > 0xFFFF:
+            raise ValueError(f"{path}: files hold ids of 16 bits, and this tokenizer has larger ones")
         self.most = most_words
-        self.by_word: bool | None = None
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str | None, int] = {None: 0}
-        self.arena = np.empty(1 << 16, np.uint16)
-        self.arena[0], self.used = END, 1
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
+        self.known: dict[str, int] = {"": 0}
+        self.arena, self.used = np.empty(1 << 16, np.uint16), 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        for word, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids, n = x.ids, len(self.known)
-            while self.used + len(ids) > len(self.arena):
-                self.arena = np.concatenate([self.arena, np.empty_like(self.arena)])
-            if n == len(self.starts):
-                self.starts, self.lengths = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.lengths))
-            self.arena[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.lengths[n] = self.used, len(ids)
-            self.known[word] = n
-            self.used += len(ids)
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each with the end id, and their numbers."""
-        if self.by_word is None and texts:
-            some = [x[:2000] for x in texts[:8]] + ["a  b\tc\nd", " x'll <|endoftext|> 1-2 "]
-            self.by_word = all(np.array_equal(a, b) for a, b in zip(self._whole(some), self._by_word(some)))
-        return self._by_word(texts) if self.by_word else self._whole(texts)
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        total, n = int(lengths.sum()), len(self.known)
+        while self.used + total > len(self.arena):
+            self.arena = np.concatenate([self.arena, np.empty_like(self.arena)])
+        while n + len(words) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
+        self.arena[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint16, total)
+        self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(words)] = lengths
+        self.known.update(zip(words, range(n, n + len(words))))
+        self.used += total
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with the end id, and their numbers; a null is empty."""
+        texts = pc.fill_null(texts, "")
+        return self._by_word(texts) if self.by_word else self._whole(texts.to_pylist())
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces = [np.array([*x.ids, END], np.uint32).astype(np.uint16) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
+        ids = [[*x.ids, END] for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint16, int(counts.sum())), counts
 
-    def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most:
             self._forget()
-        words: list[str | None] = []
-        bounds = []
-        for text in texts:
-            for blank in "\t\n\v\f\r":
-                text = text.replace(blank, " ")
-            words += text.split(" ")
-            words.append(None)  # stands for the end id
-            bounds.append(len(words))
-        new = set(words) - self.known.keys()
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [x for x in distinct if x not in self.known]
         if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
         lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        ids = self.arena[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
-        upto = ends[np.array(bounds) - 1]
-        return ids, np.diff(upto, prepend=0)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.arena[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(int(ends[-1]))]
+        upto = ends[np.asarray(words.offsets)]
+        return np.insert(ids, upto[1:], END), np.diff(upto) + 1
 
 
 def _group(ids: np.ndarray, counts: np.ndarray, docs: list[int | None]) -> bytes:
-    ranks, blocks = encode(ids, max(64, min(BLOCK, -(-len(ids) // LANES))))
+    used, scaled, blocks = encode(ids, BLOCK)
     code = b"".join(x for _, _, x in blocks)
     table = np.array([(n, crc, len(x)) for n, crc, x in blocks], "<u4").tobytes()
     names = np.array([np.iinfo(np.int64).min if x is None else x for x in docs], "<i8").tobytes() + bytes(x is None for x in docs)
-    return MAGIC + struct.pack("<5I", len(docs), len(ids), len(ranks), len(blocks), len(code)) + names + counts.astype("<u4").tobytes() + ranks.astype("<u2").tobytes() + table + code
+    held = zlib.compress(used.astype("<u2").tobytes() + scaled.astype("<u4").tobytes())
+    return MAGIC + struct.pack("<5I", len(docs), len(ids), len(blocks), len(held), len(code)) + names + counts.astype("<u4").tobytes() + held + table + code
 
 
 def groups(source) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
@@ -120,13 +159,14 @@ def groups(source) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     while magic := source.read(len(MAGIC)):
         if magic != MAGIC:
             raise ValueError("not a token file, or a damaged one")
-        n_docs, n_ids, n_ranks, n_blocks, _ = struct.unpack("<5I", source.read(20))
+        n_docs, n_ids, n_blocks, n_held, _ = struct.unpack("<5I", source.read(20))
         names = np.frombuffer(source.read(8 * n_docs), "<i8").tolist()
         docs = [None if flag else x for x, flag in zip(names, source.read(n_docs))]
         counts = np.frombuffer(source.read(4 * n_docs), "<u4").astype(np.int64)
-        ranks = np.frombuffer(source.read(2 * n_ranks), "<u2")
+        held = zlib.decompress(source.read(n_held))
+        n = len(held) // 6
         table = np.frombuffer(source.read(12 * n_blocks), "<u4").reshape(-1, 3).tolist()
-        ids = decode(ranks, [(n, crc, source.read(length)) for n, crc, length in table])
+        ids = decode(np.frombuffer(held, "<u2", n), np.frombuffer(held, "<u4", n, 2 * n), [(n, crc, source.read(length)) for n, crc, length in table])
         if len(ids) != n_ids or counts.sum() != n_ids:
             raise ValueError("a group's numbers of ids don't add up")
         yield docs, counts, ids
@@ -150,11 +190,11 @@ def _writer(folder: str, path: str | None):
                 sink.write(_group(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), [d for x in held for d in x[2]]))
             held, size = [], 0
 
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", most_bytes=4 << 20, most_rows=10_000):
             if sink is None:
                 sink = store.open_output_stream(f"{root}/{name}")
                 encoder = Encoder(path or public_tokenizers.path("word_bpe_49k.json"))
-            ids, counts = encoder.of([x or "" for x in batch.column("text").to_pylist()])
+            ids, counts = encoder.of(batch.column("text"))
             if size and size + len(ids) > GROUP:
                 flush()
             held.append((ids, counts, batch.column("id").to_pylist()))
@@ -175,14 +215,18 @@ _INDEX = pa.schema([("place", pa.int32()), ("file", pa.string()), ("ids", pa.int
 def write(docs: DataFrame, folder: str, doc: str = "doc_id", text: str = "text", path: str | None = None, files: int | None = None) -> DataFrame:
     """Writes the ids of all documents; returns (file, start, ids, documents): the files under `folder` and the ids before each.
 
-    Files stand in the order of the ranges they hold.  `files` defaults to the
-    number of shuffle partitions.
+    Files stand in the order of the ranges they hold.  There are as many ranges as
+    shuffle partitions, and more where a range would hold above `TASK_BYTES`.
     """
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    estimate = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = estimate if estimate < 1 << 55 else 0  # Spark says 2 ** 63 - 1 where it can't tell
+    n = files or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // TASK_BYTES))
+    # Rows of one id, null or not, may be many, so ranges also cut between their texts.
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     index = settled(rows.mapInArrow(_writer(folder, path), "place int, file string, ids long, documents long"), f"{folder}-index")
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return index.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"), "ids", "documents")
@@ -211,4 +255,6 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:
     folder = f"{scratch(docs.sparkSession)}/ids"
-    return read(settled(write(docs, folder, path=path), f"{folder}-starts"), folder)
+    out = settled(read(settled(write(docs, folder, path=path), f"{folder}-starts"), folder), f"{folder}-out")
+    drop_folder(docs.sparkSession, folder, f"{folder}-index", f"{folder}-starts")
+    return out

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,18 +397,58 @@ def test_warc(spark):
     assert warc.query(pages.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("top", [2, 40, 3000, 49_408])
+@pytest.mark.parametrize("top", [2, 40, 3000, 49_408, 65_536])
 def test_range_coder(top):
     rng = np.random.default_rng(top)
     for n in (1, 2, 63, 64, 65, 5000):
         ids = np.minimum(rng.zipf(1.3, n), top - 1).astype(np.uint16)
-        ranks, blocks = rangecoder.encode(ids, 64)
-        assert (rangecoder.decode(ranks, blocks) == ids).all()
-    damaged = [(n, crc, code[:-6] + bytes(b ^ 0x55 for b in code[-6:]) if i == 0 else code) for i, (n, crc, code) in enumerate(blocks)]
-    flipped = [(n, crc ^ 1, code) for n, crc, code in blocks]
+        used, scaled, blocks = rangecoder.encode(ids, 64)
+        assert max(size for size, _, _ in blocks) <= 64
+        assert (rangecoder.decode(used, scaled, blocks) == ids).all()
+    if top == 2:
+        return
+    for at in (0, 5):  # a block whose code is damaged, and one whose checksum is
+        n, crc, code = blocks[at]
+        for bad in ((n, crc, bytes([code[0] ^ 0x55]) + code[1:]), (n, crc, code[:4]), (n, crc ^ 1, code)):
+            with pytest.raises(ValueError):
+                rangecoder.decode(used, scaled, [*blocks[:at], bad, *blocks[at + 1 :]])
+        assert (rangecoder.decode(used, scaled, blocks[at : at + 1]) == ids[sum(x[0] for x in blocks[:at]) :][:n]).all()
     with pytest.raises(ValueError):
-        rangecoder.decode(ranks, flipped)
-    del damaged
+        rangecoder.decode(used, scaled + np.uint32(1), blocks)
+
+
+def test_range_coder_beats_order_0_and_carries():
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(0, 500, (300, 3))
+    ids = pairs[rng.zipf(1.2, 20_000) % 300].reshape(-1).astype(np.uint16)
+    p = np.bincount(ids)[np.unique(ids)] / len(ids)
+    used, scaled, blocks = rangecoder.encode(ids, 4096)
+    assert 8 * sum(len(x) for _, _, x in blocks) < 0.8 * len(ids) * -(p * np.log2(p)).sum()
+    top = np.full(40_000, 7, np.uint16)
+    top[::97] = 9
+    for x in (top, np.flip(np.sort(ids)), np.arange(60_000).astype(np.uint16)):
+        assert (rangecoder.decode(*rangecoder.encode(x, 4096)) == x).all()
+
+
+def test_tokenizers_are_told_by_their_definition(tmp_path):
+    import json
+
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    with open(public.path("word_bpe_49k.json"), encoding="utf-8") as source:
+        plain = json.load(source)
+    assert tokens.by_word(plain)
+    for change in ({"added_tokens": [{"content": "a b"}]}, {"normalizer": {"type": "Strip"}}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"pre_tokenizer": None}, {"truncation": {"max_length": 5}}):
+        assert not tokens.by_word(plain | change)
+    for pattern in ("a b|\\p{L}+", ".+", r"[^x]+", r"\S+\s?", r"[\s\S]"):
+        assert not tokens.by_word(plain | {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}})
+    texts = pa.array(["Don't  stop\tnow\u00a0x, Ünï<|endoftext|> ok", None, "", " a\x0bb\x1cc\n"])
+    encoder = tokens.Encoder(public.path("word_bpe_49k.json"))
+    got, want = encoder._by_word(pc.fill_null(texts, "")), encoder._whole([x or "" for x in texts.to_pylist()])
+    assert all(np.array_equal(a, b) for a, b in zip(got, want)) and got[1].sum() == len(got[0])
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as source:
+        assert not tokens.by_word(json.load(source))
 
 
 def test_token_ids(spark, docs, odd, empty):
