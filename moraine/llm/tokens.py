@@ -221,7 +221,7 @@ def write(docs: DataFrame, folder: str, doc: str = "doc_id", text: str = "text",
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    estimate = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = estimate if estimate < 1 << 55 else 0  # Spark says 2 ** 63 - 1 where it can't tell
     n = files or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // TASK_BYTES))
     # Rows of one id, null or not, may be many, so ranges also cut between their texts.
