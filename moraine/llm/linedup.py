@@ -42,7 +42,7 @@ from .hashing import hashes_of, mix, parts
 
 FREQUENT, CROWD = 1 << 18, 128
 #: So many wanted lines (of 28 bytes) are sent to all tasks at most; beyond that texts are dealt out to meet them.
-BROADCAST_LINES = 300_000
+BROADCAST_LINES = 150_000
 _BATCH = {"most_bytes": 8 << 20, "most_rows": 20_000}
 _PLACE = ("id", "row", "nth")
 
@@ -141,6 +141,8 @@ def _words(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder: str) -
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
     """(c): the classes x of (x, y) that match their y."""
+    if pairs.isEmpty():
+        return pairs.select(F.col("x").alias("c"))
     words = _words(docs, classes, pairs, folder)
     both = pairs.join(words.toDF("x", "xs"), "x").join(words.toDF("y", "ys"), "y")
     return both.where(F.size(F.array_intersect("xs", "ys")) * 9 >= (F.size("xs") + F.size("ys")) * 4).select(F.col("x").alias("c")).distinct()
@@ -180,7 +182,8 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     ordered = firsts.repartitionByRange(ranges, "first").sortWithinPartitions("first").select("d1", "d2", "first.*", (F.col("last") > F.col("first")).alias("several"), F.monotonically_increasing_id().alias("c"))
     classes = settled(ordered, f"{folder}/classes")
     drop_folder(spark, f"{folder}/firsts")
-    sets = settled(lines.join(classes.select("c", *_PLACE), [*_PLACE]).select("c", "n", "b1", "b2", "prefix").dropDuplicates(["c"]), f"{folder}/sets")
+    # Rows equal in id and text have lines of equal places, of which one goes on; the join keeps to that partitioning.
+    sets = settled(lines.drop("d1", "d2").dropDuplicates([*_PLACE]).join(classes.select("c", *_PLACE), [*_PLACE]).select("c", "n", "b1", "b2", "prefix"), f"{folder}/sets")
     placed = settled(lines.select(*_PLACE, "d1", "d2"), f"{folder}/placed")
     drop_folder(spark, f"{folder}/lines")
     matched = _matched(texts, classes, sets, folder)
@@ -195,7 +198,8 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """One row per row of `docs`: (doc, n_lines, n_removed, removed) and the text without the removed lines."""
     gone = removed_lines(docs, doc, text)
-    lines = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long")
+    held = F.coalesce(F.col(text), F.lit(""))
+    lines = (F.octet_length(held) - F.octet_length(F.replace(held, F.lit("\n"), F.lit(""))) + 1).cast("long")
     rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("row"), lines.alias("n_lines"), *([F.col(text).alias("text")] if keep_text else []))
     rows = rows.join(gone, ["id", "row"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     out = [F.col("doc").alias(doc), F.col("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.col("removed")]
