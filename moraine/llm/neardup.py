@@ -5,8 +5,8 @@ count as weight, owns the region [0, weight) x [0, inf) of a weight-rank plane i
 which a hash of the shingle throws darts, one per unit of area on average.  Every
 dart has a rank and is dealt to one of `ROWS * BANDS` coordinates; a coordinate
 keeps the earliest.  Documents share a coordinate with the probability of their
-weighted Jaccard similarity, and a document throws about k ln k + 2k darts in
-all, however long it is.
+weighted Jaccard similarity.  Ranks come in layers of one unit: a document throws
+about k ln k + 2k darts in all, or one for each shingle if it has more.
 
 Texts of equal words form one class first, so copies cost one row each.  Class
 representatives that agree on a whole band meet in a bucket; each is compared with
@@ -16,10 +16,13 @@ connecting links leave a task.  So two candidates are either linked through thei
 hub or compared with each other: no link between candidates is lost, and no pairs
 within a group are emitted.
 
-Defined results: a null, empty or blank text has no shingles and is a class of
-its own; a text of fewer than five words has one shingle, of all of them; rows
-with equal ids are one document and `keep_one` leaves one of them; a row with a
-null id gets a null class and always stays; an empty table gives an empty one.
+Defined results: texts are classed, not ids, and a class is named by its smallest
+id.  A null, empty or blank text has no shingles, is a class of its own, named by
+its own id, and always stays; a text of fewer than five words has one shingle, of
+all of them; rows with equal ids and different texts are judged by their texts; of
+rows equal in id and text `keep_one` leaves one; a null id ranks last, and a class
+of null ids only has a null name and keeps one row; columns other than id and text
+are passed on, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,11 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, settled
+from .common import LAST, drop_folder, keyed, scratch, settled
 from .graph import components
 from .hashing import MAX, WordHashes, mix, parts, payloads, shingles, units
 
-ROWS, BANDS, WIDTH, SIMILARITY = 7, 40, 5, 0.8
+#: Two texts at the limit itself share a band but for a chance of (1 - 0.8 ** 6) ** 30, one in ten thousand.
+ROWS, BANDS, WIDTH, SIMILARITY = 6, 30, 5, 0.8
 #: Poisson(1): the chance of at most n darts in a unit of area.
 _POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, n + 1))) for n in range(12)])
 
@@ -89,7 +93,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _bands(signatures(sets))
         digest = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), lists], ["id", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(digest, pa.binary()), lists], ["id", "row", "digest", "bands"])
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -117,10 +121,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
-def compared(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """(a, b, similarity) of distinct pairs (a, b) of ids in `texts` (id, text)."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    near = settled(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{folder}/near")
+def _near(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """(id, text): the texts of the nodes `id` in `wanted`, each once."""
+    places = nodes.select(F.col("node"), "id", "row").join(wanted.select(F.col("id").alias("node")).distinct(), "node")
+    return settled(texts.join(places, ["id", "row"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), path)
+
+
+def compared(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b, similarity) of distinct pairs (a, b) of ids in `near` (id, text)."""
     one = near.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = near.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double")
@@ -165,7 +173,7 @@ def _links_within(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _leftover_links(members: DataFrame, links: DataFrame, hubs: DataFrame, texts: DataFrame, folder: str, block: int = 256) -> DataFrame:
+def _leftover_links(members: DataFrame, links: DataFrame, hubs: DataFrame, nodes: DataFrame, texts: DataFrame, folder: str, block: int = 256) -> DataFrame:
     """Links of the bucket members that have none to their hub, with all members of their bucket."""
     state = members.select("bucket", "id").join(hubs, "bucket").withColumns({"x": F.least("id", "hub"), "y": F.greatest("id", "hub")})
     near = links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(True).alias("linked"))
@@ -174,41 +182,61 @@ def _leftover_links(members: DataFrame, links: DataFrame, hubs: DataFrame, texts
     blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
     counts = state.groupBy("bucket").agg(blocks(F.count_if("outside")).alias("rows"), blocks(F.count(F.lit(1))).alias("columns"), F.count_if("outside").alias("n")).where("n > 0").drop("n")
     dealt = settled(state.join(counts, "bucket"), f"{folder}/dealt")
-    near = settled(texts.join(dealt.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), f"{folder}/near-leftover")
+    near = _near(dealt, nodes, texts, f"{folder}/near-leftover")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = dealt.where("outside").select("bucket", "id", own("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j")).join(near, "id")
     right = dealt.select("bucket", "id", own("columns").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i")).join(near, "id")
     left, right = (x.select(*[F.col(c).alias(f"{side}_{c}" if c not in ("id", "text") else c) for c in ("bucket", "i", "j", "id", "text")]) for side, x in (("l", left), ("r", right)))
     found = left.groupBy("l_bucket", "l_i", "l_j").cogroup(right.groupBy("r_bucket", "r_i", "r_j")).applyInArrow(_links_within, "a long, b long")
-    return settled(found.distinct(), f"{folder}/leftover")
-
-
-def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: (doc, class_id), the smallest id of its class."""
-    folder = scratch(docs.sparkSession)
-    texts = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = settled(texts.mapInArrow(_sign, "id long, digest binary, bands array<long>"), f"{folder}/signed")
-    copies = settled(signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), f"{folder}/copies")
-    met = copies.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    found = settled(found.distinct(), f"{folder}/leftover")
+    drop_folder(members.sparkSession, *(f"{folder}/{x}" for x in ("state", "dealt", "near-leftover")))
+    return found
+
+
+def _heads(texts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(id, row, digest) of each row of `texts`, and (digest, head) of each distinct text: the first (id, row) of its class."""
+    spark = texts.sparkSession
+    signed = settled(texts.mapInArrow(_sign, "id long, row long, digest binary, bands array<long>"), f"{folder}/signed")
+    place = F.struct("id", "row")
+    copies = signed.where("digest is not null").groupBy("digest").agg(F.min(place).alias("first"), F.first("bands").alias("bands"))
+    # Numbers are given as the table is written, so they hold from then on.
+    copies = settled(copies.select(F.monotonically_increasing_id().alias("node"), "digest", "first.*", "bands"), f"{folder}/copies")
+    rows, nodes = settled(signed.drop("bands"), f"{folder}/rows"), settled(copies.drop("bands"), f"{folder}/nodes")
+    met = copies.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
     members = settled(met.join(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket"), f"{folder}/members")
+    drop_folder(spark, f"{folder}/signed", f"{folder}/copies")
     # The hub of a bucket is its member that meets most others over all buckets: the original of a crowd of variants.
     score = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("score"))
     hubs = members.join(score, "id").groupBy("bucket").agg((-F.max(F.struct("score", (-F.col("id")).alias("id")))["id"]).alias("hub"))
     hubs = settled(hubs, f"{folder}/hubs")
     pairs = members.join(hubs, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = settled(compared(pairs, texts, folder).where(F.col("similarity") >= SIMILARITY).select("a", "b"), f"{folder}/links")
-    leftover = _leftover_links(members, links, hubs, texts, folder)
-    linked = components(links.union(leftover), f"{folder}/linked")
-    rep = copies.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class"))
-    return signed.select("id", "digest").join(rep, "digest", "left").select(F.col("id").alias(doc), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
+    pairs = settled(pairs, f"{folder}/pairs")
+    near = _near(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), nodes, texts, f"{folder}/near")
+    links = settled(compared(pairs, near).where(F.col("similarity") >= SIMILARITY).select("a", "b"), f"{folder}/links")
+    drop_folder(spark, f"{folder}/pairs", f"{folder}/near")
+    leftover = _leftover_links(members, links, hubs, nodes, texts, folder)
+    drop_folder(spark, f"{folder}/members", f"{folder}/hubs")
+    linked = components(links.union(leftover), f"{folder}/linked").join(nodes.select("node", "id", "row"), "node")
+    first = linked.groupBy("component").agg(F.min(place).alias("head"))
+    linked = linked.join(first, "component").select("node", "head")
+    return rows, nodes.join(linked, "node", "left").select("digest", F.coalesce("head", place).alias("head"))
+
+
+def classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of `docs`: (doc, class_id), the smallest id of its class."""
+    rows, heads = _heads(keyed(docs, doc, text), scratch(docs.sparkSession))
+    known = lambda x: F.when(x != LAST, x)
+    return rows.join(heads, "digest", "left").select(known(F.col("id")).alias(doc), known(F.coalesce("head.id", "id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stand first in their class, one for each id, with the columns of `docs`."""
-    first = classes(docs, doc, text).where(F.col(doc) == F.col("class_id")).select(F.col(doc).cast("long").alias("__first")).distinct()
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(doc).cast("long").alias("__id"))
-    kept = rows.join(first, rows["__id"] == first["__first"], "left_semi").dropDuplicates(["__id"])
-    return kept.union(rows.where("__id is null")).select("__row.*")
+    """The first row of `docs` of each class, and all blank rows, with the columns of `docs`."""
+    _, heads = _heads(keyed(docs, doc, text), scratch(docs.sparkSession))
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.coalesce(F.col(doc).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("row"), blank.alias("blank"))
+    first = heads.select("head.id", "head.row").distinct()
+    kept = rows.where("not blank").dropDuplicates(["id", "row"]).join(first, ["id", "row"], "left_semi")
+    return kept.select("__row.*").union(rows.where("blank").select("__row.*"))
 
 
 def query(docs: DataFrame) -> DataFrame:

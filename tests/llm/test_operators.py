@@ -138,7 +138,8 @@ def test_components_of_chains_and_overlapping_hubs(spark):
 def test_near_dedup_of_overlapping_hubs_has_one_row_a_document(spark, monkeypatch):
     texts = {i: " ".join(f"t{i}w{n}" for n in range(60)) for i in (1, 2, 3, 5, 6)}
     edges = spark.createDataFrame([(1, 5), (3, 5), (3, 6), (2, 6)], "a long, b long")
-    monkeypatch.setattr(neardup, "_leftover_links", lambda *_: edges)
+    node = lambda nodes, x: nodes.select(F.col("id").alias(x), F.col("node").alias(f"{x}_node"))
+    monkeypatch.setattr(neardup, "_leftover_links", lambda members, links, hubs, nodes, *_: edges.join(node(nodes, "a"), "a").join(node(nodes, "b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted((r.doc_id, r.class_id) for r in neardup.classes(rows).collect()) == [(i, 1) for i in sorted(texts)]
     assert [r.doc_id for r in neardup.keep_one(rows).collect()] == [1]
@@ -150,7 +151,20 @@ def test_near_dedup_defined_results(docs, odd, empty):
     assert sorted(got, key=str) == [(3, 3), (3, 3), (4, 4), (None, None), (None, None)]
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == 4
-    assert neardup.keep_one(docs).count() < docs.count()
+    assert neardup.keep_one(docs).count() < docs.count() and neardup.keep_one(empty).columns == empty.columns
+
+
+def test_near_dedup_tells_null_and_equal_ids_apart(spark):
+    a, b, c = (" ".join(f"{x}{n}" for n in range(200)) for x in "abc")
+    near = a.replace("a100 ", "other ")
+    rows = [(5, a), (5, b), (5, b), (9, near), (None, b), (None, c), (None, c), (2, near), (None, None), (7, " "), (7, " ")]
+    table = spark.createDataFrame([(*r, "mine", 1) for r in rows], "doc_id long, text string, node string, head int")
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(table).collect()), key=str)
+    want = [(5, 2), (5, 5), (5, 5), (9, 2), (None, 5), (None, None), (None, None), (2, 2), (None, None), (7, 7), (7, 7)]
+    assert got == sorted(want, key=str)
+    kept = neardup.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, near), (5, b), (None, c), (None, None), (7, " "), (7, " ")], key=str)
 
 
 def test_quality_rules(docs, odd, empty):
