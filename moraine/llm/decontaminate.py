@@ -13,7 +13,8 @@ Defined results: null and wordless texts have no words and are never hit; equal
 windows of several items are joined once and then fan out to all of them; an
 empty benchmark leaves every document clean; rows are told apart by id and text,
 so null and repeated ids are judged by their own text and repeated rows each get
-their row; `keep_clean` passes all columns on, whatever their names.
+their row; an empty table gives an empty table; columns other than id and text are
+not read, and `keep_clean` passes all columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BETWEEN_ANY_CASE = r"[^A-Za-z0-9\x80-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: At most so many windows are broadcast (about 500 bytes each); beyond that the join is by shuffle.
 BROADCAST_WINDOWS = 100_000
+#: Bits of the table that rules words out before a shuffle: half a megabyte, however many windows there are.
+FILTER_BITS = 1 << 22
 
 
 def _split(text: Column) -> Column:
@@ -41,14 +44,19 @@ def bench_words(text: Column) -> Column:
     return _split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER))
 
 
+def folded(text: Column) -> Column:
+    """Every letter lower-cased, whatever stands around it: the one lower case that depends on neighbours, a final sigma, is undone."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def folded_words(text: Column) -> Column:
-    """The same words with every letter lower-cased, which is far cheaper and keeps their number and places.
+    """The same words folded, which is far cheaper and keeps their number and places.
 
     Equal exact words are equal here too, so this serves to find candidates;
     what it finds in a text with characters beyond ASCII is then verified with
     `bench_words`.
     """
-    return _split(F.lower(F.coalesce(text, F.lit(""))))
+    return _split(folded(F.coalesce(text, F.lit(""))))
 
 
 def row_key(doc: str, text: str) -> Column:
@@ -70,10 +78,11 @@ def windows_of(benchmark: DataFrame, item: str, text: str, size: int) -> DataFra
 
 def hits_of(docs: DataFrame, doc: str, text: str, windows: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(key, start, window): each occurrence of a distinct window in a document, `key` being its `row_key`."""
+    spark = docs.sparkSession
     distinct = windows.select("window").distinct()
     small = distinct.limit(broadcast_windows + 1).count() <= broadcast_windows
     held = (lambda x: F.broadcast(x)) if small else (lambda x: x)
-    fold = F.transform("window", F.lower)
+    fold = F.transform("window", folded)
     texts = docs.select(row_key(doc, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     vocabulary = distinct.select(F.explode(fold).alias("word")).distinct()
     frequency = texts.select(F.explode(folded_words(F.col("text"))).alias("word")).join(held(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -95,10 +104,17 @@ def hits_of(docs: DataFrame, doc: str, text: str, windows: DataFrame, broadcast_
         exact = plain | (F.slice(bench_words(F.col("text")), start + 1, F.col("k")) == F.col("window"))
         found = texts.withColumn("w", folded_words(F.col("text"))).select("key", "text", "w", F.posexplode("w").alias("pos", "word"))
         return found.join(F.broadcast(anchors), "word").where(fits & (F.slice("w", start + 1, F.col("k")) == F.col("folded")) & exact).select("key", start.alias("start"), "window")
-    # By shuffle, a word takes only the words around it along.
+    # By shuffle, a word takes only the words around it along, and only if a table of `FILTER_BITS` bits, of which all
+    # windows' rarest words set theirs, doesn't rule it out.
     reach = F.lit(anchors.agg(F.max("k")).first()[0] or 1)
+    cell = lambda word: F.pmod(F.xxhash64(word), F.lit(FILTER_BITS // 64)).cast("int")
+    bit = lambda word: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(F.xxhash64(word), 40), F.lit(64)).cast("int"))
+    bits = anchors.groupBy(cell("word").alias("cell")).agg(F.bit_or(bit("word")).alias("bits"))
+    every = spark.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("cell")).join(bits, "cell", "left")
+    every = settled(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("bits")), f"{scratch(spark)}/bits")
     found = texts.withColumn("w", bench_words(F.col("text"))).select("key", "w", F.posexplode("w").alias("pos", "exact"))
-    found = found.select("key", F.lower("exact").alias("word"), "pos", F.slice("w", F.greatest(F.col("pos") - reach + 2, F.lit(1)), reach * 2 - 1).alias("near"), F.least(F.col("pos"), reach - 1).alias("left"))
+    found = found.where(F.get(every.scalar(), cell(folded(F.col("exact")))).bitwiseAND(bit(folded(F.col("exact")))) != 0)
+    found = found.select("key", folded(F.col("exact")).alias("word"), "pos", F.slice("w", F.greatest(F.col("pos") - reach + 2, F.lit(1)), reach * 2 - 1).alias("near"), F.least(F.col("pos"), reach - 1).alias("left"))
     begins = F.col("left") - F.col("at")
     met = found.join(anchors, "word").where((begins >= 0) & (begins + F.col("k") <= F.size("near"))).where(F.slice("near", begins + 1, F.col("k")) == F.col("window"))
     return met.select("key", start.alias("start"), "window")

@@ -343,6 +343,30 @@ def test_decontamination(spark, broadcast):
     assert decontaminate.flag(docs.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_decontamination_folds_words_alike_everywhere(spark, broadcast):
+    rng = random.Random(17)
+    letters = ["\u03b1\u03a3", "\u03a3", "\u03c2", "\u0392", "\u0130", "I", "i", "\u212a", "K", "k", "\u1e9e", "\u00df", "\u01c5", "x", "X", "\u0307", "\u00e9", "E\u0301", "\U00010400", "7"]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 4)))
+    items = [(0, "\u0391\u03a3")] + [(i, " ".join(word() for _ in range(rng.randrange(1, 4)))) for i in range(1, 40)]
+    texts = ["x \u0391\u03a3.\u0392 y", "x \u0391\u03a3"] + [rng.choice([" ", ".", "-", "'"]).join([word(), rng.choice(items)[1].replace(" ", rng.choice([" ", ". ", "'"])), word()]) for _ in range(80)]
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    rows = [(i, t, "mine", 1) for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, window string, start int")
+    got = decontaminate.flag(docs, spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=broadcast).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w, hit, found = fold(texts[r.doc_id]), set(), set()
+        for i, t in items:
+            v = fold(t)
+            for p in range(len(w) - len(v) + 1):
+                if v and w[p : p + len(v)] == v:
+                    hit.update(range(p, p + len(v)))
+                    found.add(i)
+        assert (r.doc_id, r.n_words, r.n_hit, r.n_items) == (r.doc_id, len(w), len(hit), len(found))
+    assert next(r.n_hit for r in got if r.doc_id == 0) == 1
+
+
 def test_html_text():
     page = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><div id="nav" class="site-nav"><a href=x>Menu</a></div><header>Top</header>
     <div class="cookie-notice">We use cookies, lots, really.</div><article><h1>Head &amp; line</h1><p>First, a   para&shy;graph<br>with &lt;marks&gt;.<p>Second <b>one</b>, yes.<ul><li>x<li>y</ul>
