@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": neardup.ORACLE, "op2_quality_rules": quality.ORACLE, "op4_line_dedup": linedup.ORACLE, "op5_chat_quotes": quotes.ORACLE, "op6_decontamination": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_near_dedup": neardup.ORACLE, "op2_quality_rules": quality.ORACLE, "op3_substring_dedup": substring.ORACLE, "op4_line_dedup": linedup.ORACLE, "op5_chat_quotes": quotes.ORACLE, "op6_decontamination": decontaminate.ORACLE, "op8_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}

@@ -1,26 +1,29 @@
 r"""Substring dedup: normalise units, group their digests globally, keep the earliest occurrence.
 
-A unit may be a line, a paragraph or a run of `WINDOW` words.  Lines and
-paragraphs alone miss passages that start or end inside a line, so the query
-takes the third kind: every run of fifty words is a unit, units overlap, and what
-is removed from a document is the union of its runs that occur earlier, by (id,
-position), in any document, the same one included.  A run that overlaps its own
-first occurrence is part of it and is no repeat: of a passage of fewer words than
-a unit, said over and over, the first unit's worth stays.  So each removed word is
-still somewhere.  Units are compared with ASCII letters lower-cased and white
-space taken as single spaces; removed spans are offsets of the original text in
-code points.
-
-Only runs that can repeat are digested: texts are winnowed (a fingerprint of 25
-words at least every 26 words, so each run of fifty has one), fingerprints found
-at one place only rule their runs out, and the rest are grouped exactly by
+The first pass takes lines, and paragraphs of several lines, of at least
+`LEAST_WORDS` words as units.  Passages that start or end inside a line, or whose
+lines differ by a few words elsewhere, aren't whole units, so a second pass takes
+every run of `WINDOW` words as a unit.  In both, a unit that occurs earlier, by (id,
+text hash, position), in any document, the same one included, is removed; a run
+that overlaps its own first occurrence is part of it and is no repeat: of a passage
+of fewer words than a run, said over and over, the first run's worth stays.  What
+goes is the union of both passes' words; as each points to an earlier occurrence of
+itself, every removed word is still somewhere.
+
+Units are compared with ASCII letters lower-cased and white space taken as single
+spaces; removed spans are offsets of the original text in code points, from the
+first to the last of removed words that stand side by side.
+
+Of runs only those that can repeat are digested: texts are winnowed (a fingerprint
+of 25 words at least every 26 words, so each run of fifty has one), fingerprints
+found at one place only rule their runs out, and the rest are grouped exactly by
 128-bit digests.  Documents of equal words are found first: all but the first lose
 every word.
 
-Defined results: a null text stays null and has no unit; texts of fewer words
-than a unit lose nothing; rows with equal ids are ranked by a hash of their texts, and
-only rows of equal ids and texts are one document; a null id ranks last and its text
-stays; an empty table gives an empty one.
+Defined results: a null text stays null and has no unit; rows with equal ids are
+ranked by a hash of their texts, and only rows of equal ids and texts are one
+document; a null id ranks last; columns other than id and text are not read,
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, scratch, settled
+from .common import LAST, drop_folder, keyed, scratch, settled
 from .hashing import WordHashes, mix, parts, payloads, rolled
 
-WINDOW, PRINT = 50, 25
+WINDOW, PRINT, LEAST_WORDS = 50, 25, 15
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_UNITS = {"line": r"[^\n]+", "paragraph": r"[^\n]+(?:\n[^\n]+)*"}
+_UNIT = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("left", pa.int64()), ("right", pa.int64())])
 
 
 def winnow(prints: np.ndarray, window: int) -> np.ndarray:
@@ -65,18 +68,53 @@ def _twice(words: np.ndarray) -> np.ndarray:
     return values[new]
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for batch in parts(batches, "text"):
-        found, digests = [], []
-        for text in payloads(batch, "text"):
-            words = text.lower().split()
-            long = len(words) >= WINDOW
-            found.append(_twice(known.of(words)) if long else np.empty(0, np.uint64))
-            digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if long else None)
-        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(digests, pa.binary()), prints], ["id", "row", "digest", "prints"])
+def units(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
+    """(first word, words, digest in two halves) of the lines and of the paragraphs of several lines of `least` words or more."""
+    found, at, held = [], 0, []
+
+    def add(place: int, n: int, seed: int, value: bytes) -> None:
+        if n >= least:
+            digest = np.frombuffer(xxhash.xxh3_128_digest(value, seed), np.int64)
+            found.append((place, n, int(digest[0]), int(digest[1])))
+
+    def end() -> None:
+        if len(held) > 1:
+            n = sum(len(x) for x in held)
+            add(at - n, n, 1, b"\n".join(b" ".join(x) for x in held))
+        held.clear()
+
+    for line in text.split(b"\n"):
+        words = line.split()
+        if words:
+            add(at, len(words), 0, b" ".join(words))
+            at += len(words)
+            held.append(words)
+        else:
+            end()
+    end()
+    return found
+
+
+def _signer(least: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in parts(batches, "text"):
+            found, digests, pieces = [], [], []
+            for text in payloads(batch, "text"):
+                plain = text.lower()
+                words = plain.split()
+                long = len(words) >= WINDOW
+                found.append(_twice(known.of(words)) if long else np.empty(0, np.uint64))
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if long else None)
+                pieces.append(units(plain, least))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            prints = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+            ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+            columns = [pa.array([x[i] for piece in pieces for x in piece], kind.type) for i, kind in enumerate(_UNIT)]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(_UNIT)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(digests, pa.binary()), prints, lists], ["id", "row", "digest", "prints", "units"])
+
+    return sign
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,21 +138,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches, "text"):
         kept, starts, ends, words = [], [], [], []
-        for text, at, whole in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), batch.column("whole").to_pylist()):
+        for text, found, whole in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), batch.column("whole").to_pylist()):
             spans = []
             removed = 0
-            if whole and text and not text.isspace():
-                place = [m.span() for m in _WORD.finditer(text)]
-                spans, removed = [(place[0][0], place[-1][1])], len(place)
-            elif at:
-                place = [m.span() for m in _WORD.finditer(text)]
+            if whole or found:
+                place = [m.span() for m in _WORD.finditer(text or "")]
                 runs = []
-                for s in sorted(x for x in at if x + WINDOW <= len(place)):
+                for s, n in [(0, len(place))] if whole else sorted((x["at"], x["n"]) for x in found if x["at"] + x["n"] <= len(place)):
                     if runs and s <= runs[-1][1]:
-                        runs[-1][1] = s + WINDOW
+                        runs[-1][1] = max(runs[-1][1], s + n)
                     else:
-                        runs.append([s, s + WINDOW])
-                spans = [(place[a][0], place[b - 1][1]) for a, b in runs]
+                        runs.append([s, s + n])
+                spans = [(place[a][0], place[b - 1][1]) for a, b in runs if b > a]
                 removed = sum(b - a for a, b in runs)
             kept.append(_without(text, spans))
             starts.append([a for a, _ in spans])
@@ -131,51 +166,83 @@ def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(id, row, at, whole) of the documents that lose words; `docs` is (id, row, text), `row` telling equal ids apart.
+def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(id, row, found, whole) of the documents that lose words; `docs` is (id, row, text), `row` telling equal ids apart.
 
-    `at` has the runs, by the number of their first word, that occur earlier; a
-    document whose words are all those of an earlier one is `whole` and has no `at`.
+    `found` has the units, by the number of their first word and their words, that
+    occur earlier; a document whose words are all those of an earlier one is `whole`.
     """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     place, document = F.struct("id", "row", "at"), F.struct("id", "row")
-    signed = settled(docs.where("id is not null").mapInArrow(_sign, "id long, row long, digest binary, prints array<long>").where("digest is not null"), f"{folder}/signed")
-    firsts = settled(signed.groupBy("digest").agg(F.min(document).alias("first")), f"{folder}/firsts")
+    signed = settled(docs.where("text is not null").mapInArrow(_signer(least), "id long, row long, digest binary, prints array<long>, units array<struct<at: int, n: int, left: long, right: long>>"), f"{folder}/signed")
+    firsts = settled(signed.where("digest is not null").groupBy("digest").agg(F.min(document).alias("first"), F.max(document).alias("last")).where("first < last"), f"{folder}/firsts")
     copies = settled(signed.select("id", "row", "digest").join(firsts, "digest").where(document > F.col("first")).select("id", "row").distinct(), f"{folder}/copies")
-    prints = settled(signed.join(firsts, (signed["digest"] == firsts["digest"]) & (document == F.col("first")), "left_semi").select("id", "row", F.explode("prints").alias("print")), f"{folder}/prints")
-    drop_folder(spark, f"{folder}/signed")
+    # Rows equal in id and text are one document, of which one goes on.
+    rest = signed.drop("digest").dropDuplicates(["id", "row"]).join(copies, ["id", "row"], "left_anti")
+    rest = settled(rest, f"{folder}/rest")
+    drop_folder(spark, f"{folder}/signed", f"{folder}/firsts")
+    # First pass: lines and paragraphs.
+    whole = rest.select("id", "row", F.inline("units"))
+    first = whole.groupBy("left", "right").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    lines = settled(whole.join(first, ["left", "right"]).where(place > F.col("first")).select("id", "row", "at", "n"), f"{folder}/lines")
+    # Second pass: runs of words.
+    prints = rest.select("id", "row", F.explode("prints").alias("print"))
     several = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
     candidates = settled(prints.join(several, "print").groupBy("id", "row").agg(F.collect_set("print").alias("prints")), f"{folder}/candidates")
-    drop_folder(spark, f"{folder}/prints")
-    windows = settled(docs.join(candidates, ["id", "row"]).select("id", "row", "text", "prints").mapInArrow(_windows, "id long, row long, at int, left long, right long"), f"{folder}/windows")
+    drop_folder(spark, f"{folder}/rest")
+    texts = docs.join(candidates, ["id", "row"]).select("id", "row", "text", "prints").dropDuplicates(["id", "row"])
+    windows = settled(texts.mapInArrow(_windows, "id long, row long, at int, left long, right long"), f"{folder}/windows")
+    drop_folder(spark, f"{folder}/candidates")
     first = windows.groupBy("left", "right").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
     later = (document > F.struct("first.id", "first.row")) | (F.col("at") >= F.col("first.at") + WINDOW)
-    found = settled(windows.join(first, ["left", "right"]).where(later).groupBy("id", "row").agg(F.collect_set("at").alias("at")), f"{folder}/found")
-    drop_folder(spark, f"{folder}/windows")
-    return found.select("id", "row", "at", F.lit(False).alias("whole")).union(copies.select("id", "row", F.array().cast("array<int>"), F.lit(True)))
+    runs = windows.join(first, ["left", "right"]).where(later).select("id", "row", "at", F.lit(WINDOW).alias("n"))
+    found = settled(runs.union(lines).groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("found")), f"{folder}/found")
+    drop_folder(spark, f"{folder}/windows", f"{folder}/lines")
+    return found.select("id", "row", "found", F.lit(False).alias("whole")).union(copies.select("id", "row", F.array().cast("array<struct<at: int, n: int>>"), F.lit(True)))
 
 
-def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """One row per row of `docs`: (doc, text, removed_starts, removed_ends, n_removed_words), the text without its repeats."""
-    rows = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
-    out = rows.join(repeats(rows), ["id", "row"], "left").mapInArrow(_cut, "id long, text string, removed_starts array<long>, removed_ends array<long>, n_removed_words long")
-    return out.withColumnRenamed("id", doc)
-
-
-def dedup_units(docs: DataFrame, unit: str = "line", doc: str = "doc_id", text: str = "text", least_words: int = 1) -> DataFrame:
-    """Lines or paragraphs as units: (doc, start, end) of those that occur earlier, by (id, offset), in any document.
-
-    Units are compared trimmed, lower-cased and with white space collapsed; units
-    of fewer than `least_words` words are left alone.
-    """
-    split = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_UNITS[unit]), F.lit(0))
-    placed = docs.select(F.col(doc).alias("id"), F.col(text).alias("whole"), F.posexplode(split).alias("nth", "unit"))
-    plain = F.lower(F.trim(F.regexp_replace("unit", r"[\x20\x09-\x0D]+", " ")))
-    placed = placed.select("id", "nth", F.length("unit").alias("n"), F.sha2(plain, 256).alias("digest"), F.size(F.split(plain, " ")).alias("words"), (F.length(plain) > 0).alias("some"))
-    placed = placed.where(F.col("some") & (F.col("words") >= least_words))
-    first = placed.groupBy("digest").agg(F.min(F.struct("id", "nth")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return placed.join(first, "digest").where(F.struct("id", "nth") > F.col("first")).select(F.col("id").alias(doc), "nth", "n", "digest")
+    rows = keyed(docs, doc, text)
+    out = rows.join(repeats(rows, least), ["id", "row"], "left").mapInArrow(_cut, "id long, text string, removed_starts array<long>, removed_ends array<long>, n_removed_words long")
+    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(doc), "text", "removed_starts", "removed_ends", "n_removed_words")
 
 
 def query(docs: DataFrame) -> DataFrame:
     return dedup(docs)
+
+
+ORACLE = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, unnest(parts) AS tok, unnest(range(1, len(parts) + 1)) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS parts FROM documents)),
+o AS (
+  SELECT *, regexp_matches(tok, '^[^\x20\x09-\x0D]') AS is_word,
+         coalesce(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+         coalesce(sum(CASE WHEN regexp_matches(tok, '^[\x20\x09-\x0D]') THEN length(regexp_replace(tok, '[^\n]+', '', 'g')) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i), 0) AS line,
+         sum(CASE WHEN length(regexp_replace(tok, '[^\n]+', '', 'g')) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS para
+  FROM t),
+w AS (SELECT doc_id, i, start, length(tok) AS n, line, para, translate(tok, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM o WHERE is_word),
+u AS (
+  SELECT doc_id, min(k) AS k, count(*) AS n, 'line ' || string_agg(word, ' ' ORDER BY k) AS unit FROM w GROUP BY doc_id, line HAVING count(*) >= {LEAST_WORDS}
+  UNION ALL
+  SELECT doc_id, min(k), sum(n)::BIGINT, 'para ' || string_agg(unit, chr(10) ORDER BY k) FROM (
+    SELECT doc_id, para, min(k) AS k, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS unit FROM w GROUP BY doc_id, para, line) GROUP BY doc_id, para HAVING count(*) > 1 AND sum(n) >= {LEAST_WORDS}),
+uf AS (SELECT *, min((doc_id, k)) OVER (PARTITION BY unit) AS first FROM u),
+a AS (SELECT doc_id, list(word ORDER BY k) AS ws FROM w GROUP BY doc_id HAVING count(*) >= {WINDOW}),
+g AS (SELECT doc_id, p AS k, md5(array_to_string(ws[p + 1 : p + {WINDOW}], ' ')) AS gram FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {WINDOW} + 1)) AS p FROM a)),
+gf AS (SELECT *, min((doc_id, k)) OVER (PARTITION BY gram) AS first FROM g),
+r AS (
+  SELECT doc_id, k, n FROM uf WHERE (doc_id, k) <> first
+  UNION ALL SELECT doc_id, k, {WINDOW} FROM gf WHERE doc_id <> first[1] OR k >= first[2] + {WINDOW}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS k FROM r),
+v AS (SELECT w.*, gone.k IS NOT NULL AS gone FROM w LEFT JOIN gone USING (doc_id, k)),
+b AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM v WHERE gone),
+s AS (SELECT doc_id, min(start) AS a, max(start + n) AS z, count(*) AS words FROM b GROUP BY doc_id, run),
+c AS (SELECT doc_id, list(a ORDER BY a)::BIGINT[] AS removed_starts, list(z ORDER BY a)::BIGINT[] AS removed_ends, sum(words)::BIGINT AS words FROM s GROUP BY doc_id)
+SELECT d.doc_id,
+       CASE WHEN c.doc_id IS NULL THEN d.text ELSE array_to_string(list_transform(range(0, len(removed_starts) + 1),
+         lambda x: substr(d.text, (CASE WHEN x = 0 THEN 0 ELSE removed_ends[x] END) + 1, (CASE WHEN x = len(removed_starts) THEN length(d.text) ELSE removed_starts[x + 1] END) - (CASE WHEN x = 0 THEN 0 ELSE removed_ends[x] END))), '') END AS text,
+       coalesce(removed_starts, []::BIGINT[]) AS removed_starts, coalesce(removed_ends, []::BIGINT[]) AS removed_ends, coalesce(words, 0) AS n_removed_words
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id
+"""

@@ -188,23 +188,51 @@ def test_quality_rules(docs, odd, empty):
     assert quality.keep_good(docs.withColumn("n_words", F.lit("mine"))).select("n_words").distinct().first()[0] == "mine"
 
 
-def test_substring_dedup(docs, odd, empty):
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    first, want = {}, {}
+def _repeated_words(rows):
+    """The numbers of the words of each (id, text) that stand in a line, paragraph or run of fifty words which occurs earlier."""
+    first, gone = {}, {}
     for i, text in rows:
-        words = (text or "").encode().lower().split()
-        gone = set()
+        gone[i] = set()
+        lines, at = [], 0
+        for line in (text or "").encode().lower().split(b"\n"):
+            words = line.split()
+            lines.append((at, words))
+            at += len(words)
+        blocks = [(k, w, "line") for k, w in lines]
+        for k, (at, words) in enumerate(lines):
+            if words and (k == 0 or not lines[k - 1][1]):
+                block = [words]
+                while k + len(block) < len(lines) and lines[k + len(block)][1]:
+                    block.append(lines[k + len(block)][1])
+                if len(block) > 1:
+                    blocks.append((at, [w for x in block for w in x], tuple(map(len, block))))
+        words = [w for _, x in lines for w in x]
+        for k, w, kind in blocks:
+            if len(w) >= 15 and first.setdefault((kind, tuple(w)), (i, k)) != (i, k):
+                gone[i].update(range(k, k + len(w)))
         for p in range(len(words) - 49):
-            if first.setdefault(b" ".join(words[p : p + 50]), i) != i:
-                gone.update(range(p, p + 50))
-        want[i] = gone
-    got = {r.doc_id: r for r in substring.dedup(docs).collect()}
+            doc, at = first.setdefault(tuple(words[p : p + 50]), (i, p))
+            if doc != i or p >= at + 50:
+                gone[i].update(range(p, p + 50))
+    return gone
+
+
+def test_substring_dedup(spark, docs, odd, empty):
+    rng = random.Random(41)
+    pool = [" ".join(_words(rng, n, 9000)) for n in (3, 14, 15, 16, 30, 60)]
+    more = [(1000 + i, "\n".join(rng.choice([*pool, "", " ".join(_words(rng, 20, 9000))]).replace(" ", rng.choice([" ", "  ", "\t"])) for _ in range(8)), "en", "s", 1) for i in range(25)]
+    table = docs.union(spark.createDataFrame(more, SCHEMA))
+    rows = sorted((r.doc_id, r.text) for r in table.collect())
+    want = _repeated_words(rows)
+    got = {r.doc_id: r for r in substring.dedup(table).collect()}
     texts = dict(rows)
     for i, gone in want.items():
         assert got[i].n_removed_words == len(gone)
         left = [w for k, w in enumerate(WORDS.findall(texts[i] or "")) if k not in gone]
         assert WORDS.findall(got[i].text or "") == left
-    assert sum(map(bool, want.values())) >= 5 and substring.dedup(empty).count() == 0 and substring.dedup(odd).count() == 5
+        removed = "".join(texts[i][a:z] for a, z in zip(got[i].removed_starts, got[i].removed_ends))
+        assert len(removed) == len(texts[i] or "") - len(got[i].text or "")
+    assert sum(map(bool, want.values())) >= 15 and substring.dedup(empty).count() == 0 and substring.dedup(odd).count() == 5
 
 
 def test_substring_dedup_inside_one_document(spark):
@@ -239,10 +267,15 @@ def test_substring_dedup_tells_equal_ids_apart(spark):
     assert {w for r in got for w in r.text.split()} == {w for _, t in rows for w in t.split()}
 
 
-def test_line_and_paragraph_units(spark):
-    rows = spark.createDataFrame([(1, "A line\nother\n\na  LINE"), (2, "a line\nnew\n"), (3, None)], "doc_id long, text string")
-    assert {(r.doc_id, r.nth) for r in substring.dedup_units(rows).collect()} == {(1, 2), (2, 0)}
-    assert substring.dedup_units(rows, "paragraph").count() == 0
+def test_substring_dedup_of_lines_and_paragraphs(spark):
+    rows = [(1, "A line\nother\n\na  LINE"), (2, "a line\nnew\n\n\nA Line\n other"), (3, None), (None, "x y\nnew\nother"), (None, "new\nx y"), (4, "")]
+    table = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, row string")
+    got = {(r.doc_id, r.text): (list(r.removed_starts), list(r.removed_ends), r.n_removed_words) for r in substring.dedup(table, least=1).collect()}
+    assert got[1, "A line\nother\n\n"] == ([14], [21], 2) and got[3, None] == ([], [], 0) and got[4, ""] == ([], [], 0)
+    assert got[2, "\nnew\n\n\n"] == ([0, 13], [6, 26], 5)
+    # Of the two rows without an id the one with the smaller text hash keeps "x y"; "new" and "other" stand in earlier documents.
+    assert sorted(x[2] for (i, _), x in got.items() if i is None) in ([1, 4], [2, 3])
+    assert [x[:2] for x in substring.units(b"a b\nc\n\nd e\n", 2)] == [(0, 2), (0, 3), (3, 2)]
 
 
 def _line_matches(rows):
@@ -299,14 +332,52 @@ def test_word_hashes_of_arrays():
     assert hashes_of(pa.array(["zz", *words]).slice(1)).tolist() == got and len(hashes_of(pa.array([], pa.string()))) == 0
 
 
-def test_chat_quotes(spark, empty):
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def test_chat_quotes(spark):
     rows = [(1, 0, "user", "Hello there\nhow are you"), (1, 1, "a", "> Hello  there\nfine thanks"), (1, 2, "user", "A wrote:\n> fine thanks\n>> hello THERE\nok good"), (1, 3, "a", "nothing"), (1, 4, "b", ">> Hello there\nlate"), (None, 0, "x", "Hello there"), (2, None, "y", None), (2, 1, "z", "> Hello there\nzz"), (2, 1, "z", "> Hello there\nzz")]
-    out = quotes.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    table = spark.createDataFrame([(*r, 7, "mine", 1) for r in rows], CHAT + ", reply_to long, n_linked string, thread int")
+    out = quotes.format_chats(table).collect()
     got = {(r.conv_id, r.turn): (r.text, r.reply_to, r.thread, r.depth) for r in out}
     assert len(out) == 9
     assert got[1, 1] == ("fine thanks", 0, 0, 1) and got[1, 2] == ("ok good", 1, 0, 2) and got[1, 4] == ("late", 0, 0, 1)
     assert got[1, 3] == ("nothing", None, 3, 0) and got[2, 1] == ("zz", None, 1, 0) and got[2, None] == ("", None, None, 0)
-    assert quotes.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    threads = {(r.conv_id, r.thread): [(m.turn, m.text) for m in r.messages] for r in quotes.conversations(table).collect()}
+    assert threads[1, 0] == [(0, "Hello there\nhow are you"), (1, "fine thanks"), (2, "ok good"), (4, "late")] and threads[1, 3] == [(3, "nothing")] and threads[2, None] == [(None, "")] and len(threads[2, 1]) == 2
+    empty = spark.createDataFrame([], CHAT)
+    assert quotes.format_chats(empty).count() == 0 and quotes.conversations(empty).count() == 0
+
+
+def test_chat_quotes_of_generated_threads(spark):
+    """Chains and trees of replies whose quotes are wrapped anew, nested and mixed with quotes of nothing."""
+    duckdb = pytest.importorskip("duckdb")
+    rng, rows, want = random.Random(51), [], {}
+    for c in range(25):
+        bodies = {}
+        for t in range(rng.randrange(1, 9)):
+            lines = [" ".join(_words(rng, rng.randrange(3, 9), 9000)) for _ in range(rng.randrange(1, 4))]
+            parent = rng.choice([None, *bodies])
+            said = list(lines)
+            if parent is not None:
+                words = " ".join(bodies[parent]).split()
+                cut = rng.randrange(1, len(words) + 1)
+                said = [f"{rng.choice(['A', 'Bo'])} wrote:", *(f"{rng.choice(['> ', '>', '  > '])}{' '.join(x).upper()}" for x in (words[:cut], words[cut:]) if x), *said]
+            if rng.random() < 0.4:
+                said = ["> " + " ".join(_words(rng, 4, 9000)), "", *said]
+            bodies[t] = lines
+            rows.append((c, t, "u", "\n".join(said)))
+            want[c, t] = (parent, t if parent is None else want[c, parent][1], 0 if parent is None else want[c, parent][2] + 1, "\n".join(lines))
+    rows += [(100, 0, "u", "thanks\nmore here"), (100, 1, "u", "thanks"), (100, 2, "u", "> thanks\n> more here\nyes"), (100, 3, "u", ">> more\n>> here\n>\n> yes\n" + "long " * 100_000)]
+    table = spark.createDataFrame(rows, CHAT)
+    out = quotes.format_chats(table).collect()
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.depth, r.text) for r in out}
+    assert {k: v for k, v in got.items() if k[0] < 100} == want
+    assert got[100, 1][0] is None and got[100, 2][:3] == (0, 0, 1) and got[100, 3][:3] == (2, 0, 2)
+    db = duckdb.connect()
+    db.register("conversations", table.toArrow())
+    names = ["conv_id", "turn", "role", "text", "n_quoted", "n_linked", "reply_to", "thread", "depth"]
+    assert sorted(map(str, db.sql(quotes.ORACLE).select(", ".join(names)).fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in out)
 
 
 @pytest.mark.parametrize("broadcast", [100_000, 0])
