@@ -448,9 +448,55 @@ def test_html_text():
     assert htmltext.main_text(deep) == "deep down, there"
 
 
+_ARTICLE = "<h1>Head</h1><p>First, a paragraph of some length, with commas, and more.</p><p>Second one, a bit longer than it has to be, really.</p>"
+_TEXT = "Head\nFirst, a paragraph of some length, with commas, and more.\nSecond one, a bit longer than it has to be, really."
+_SIDE = "<div class='sidebar'><p>Other, other, stories, here, there.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='layout with-sidebar'><article>{_ARTICLE}</article>{_SIDE}</div>",
+        f"<div class='no-sidebar'>{_ARTICLE}</div>",
+        f"<div id='sidebar-left-page'><main>{_ARTICLE}</main></div>",
+        f"<article class='post comments-open'>{_ARTICLE}</article>",
+        f"<div class='widget'><article>{_ARTICLE}</article></div>",
+        "<article><div class='article-header'><h1>Head</h1></div>" + _ARTICLE[13:] + "</article>",
+        "<article><header class='header'><h1>Head</h1></header>" + _ARTICLE[13:] + "</article>",
+        f"<article>{_ARTICLE}<section class='comments'>{'<article class=comment><p>Nice, nice, nice, so nice, thanks, all of you!</p></article>' * 30}</section></article>",
+        f"<body class='has-sidebar'><div class='cookie-banner'>We, use, cookies.</div><div class='story'>{_ARTICLE}</div><div class='newsletter'><p>Sign up, now, for free, please.</p></div></body>",
+        f"<div class='comments'>{_ARTICLE.replace('h1', 'h2')}</div>",
+    ],
+)
+def test_html_names_are_weights(page):
+    assert htmltext.main_text(page) == _TEXT
+
+
+def test_html_of_several_articles_and_sections():
+    second = "<p>Third, another article, of its own, as long as the first, or so.</p>"
+    assert htmltext.main_text(f"<body><article>{_ARTICLE}</article><article>{second}</article><article><a href=x>Teaser</a></article></body>") == _TEXT + "\nThird, another article, of its own, as long as the first, or so."
+    assert htmltext.main_text(f"<main><article>{_ARTICLE}</article><article>{second}</article></main>").count("\n") == 3
+    assert htmltext.main_text(f"<div id=content><div>{_ARTICLE}</div><div><p>Short end.</p></div><div><h2>Bye</h2></div><div><a href=x>All the links</a></div></div>") == _TEXT + "\nShort end.\nBye"
+
+
+def test_html_takes_time_by_length():
+    import time
+
+    def seconds(n):
+        pages = ["<blockquote>x, " * n, "<div>" * n + "</span>" * n, "<header>" * n + "x", "<p>a<ul><li>" * n]
+        began = time.process_time()
+        for page in pages:
+            htmltext.main_text(page)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 24 * seconds(1000)  # eight times the length
+
+
 def test_html_query(spark):
     rows = spark.createDataFrame([(1, "u", "<p>one</p>"), (None, None, None), (1, "u", "<p>one</p>")], "page_id long, url string, html string")
-    assert sorted((r.text, r.n_chars) for r in htmltext.query(rows).collect()) == [("", 0), ("one", 3), ("one", 3)]
+    assert sorted((r.text, r.n_chars) for r in htmltext.query(rows.selectExpr("*", "1 AS text", "'x' AS n_chars")).collect()) == [("", 0), ("one", 3), ("one", 3)]
+    assert htmltext.query(rows.where("false")).count() == 0
 
 
 def _targets(sizes, weights):
