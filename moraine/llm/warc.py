@@ -11,10 +11,18 @@ Archives are WARC/1.1, each record a gzip member.  A task writes under a name of
 the names that finished tasks report are read, so lost executors and repeated
 tasks leave nothing behind that counts.
 
+Payloads are never dealt out by what they hold: digests and ids alone are grouped,
+and the verdicts on the rows that are no plain response come back by id and digest.
+
+The reader takes archives of other writers too, packed or not: records of other
+types are passed over, and a record without our own fields has a null page.
+
 Defined results: a null payload is empty; a null url leaves the target out; a
 page with a null id is a record without a page number, never refers to itself by
 number and never is what others refer to; rows with equal ids and payloads are
-all responses; an empty table gives no archive and no rows.
+all responses, each with a record id of its own; columns other than id, url and
+payload are not read, whatever their names; an empty table gives no archive and
+no rows.
 """
 
 from __future__ import annotations
@@ -33,20 +41,37 @@ from pyspark.sql import functions as F
 from .common import scratch, settled
 
 CHUNK, LEAST = 64 * 1024, 100
+#: So many verdicts (of about 100 bytes) are sent to all tasks at most; beyond that rows are dealt out by id to meet them.
+BROADCAST_VERDICTS = 100_000
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _ROWS = "page_id long, chunk long, chunk_bytes long, payload_bytes long, payload_digest string, record_type string, refers_to long, last boolean"
 
 
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder by the name that Spark knows it by, and the folder's path in it."""
+    scheme, _, rest = uri.partition("://")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
 def records(pages: DataFrame, page: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(id, url, payload, digest, refers_to): what each page's record holds."""
+    """(id, url, payload, digest, refers_to, several, named): what each page's record holds.
+
+    `several` says that rows of the same id and payload exist, `named` that the
+    record referred to is the only one of its page and payload.
+    """
     rows = pages.select(F.col(page).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    several = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return rows.join(several, "digest", "left").withColumn("refers_to", F.when(F.col("first") < F.col("id"), F.col("first")).when(F.col("id").isNull(), F.col("first")))
+    each = rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.octet_length("payload")).alias("bytes"))
+    each = settled(each.select("digest", "id", "rows", (F.col("bytes") >= LEAST).alias("long")), f"{scratch(pages.sparkSession)}/digests")
+    first = each.where("long").groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "rows"))).alias("first"), F.count(F.lit(1)).alias("ids")).where("ids > 1 and first is not null").select("digest", "first")
+    verdicts = each.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("id").isNull() | (F.col("first.id") < F.col("id")), F.col("first.id")))
+    verdicts = verdicts.where("refers_to is not null or rows > 1 or id is null").select(F.col("id").alias("vid"), F.col("digest").alias("vdigest"), "refers_to", F.col("rows").alias("vrows"), (F.col("first.rows") == 1).alias("vnamed"))
+    verdicts = settled(verdicts, f"{scratch(pages.sparkSession)}/verdicts")
+    small = verdicts.limit(BROADCAST_VERDICTS + 1).count() <= BROADCAST_VERDICTS
+    met = rows.join(F.broadcast(verdicts) if small else verdicts, rows["id"].eqNullSafe(F.col("vid")) & (rows["digest"] == F.col("vdigest")), "left")
+    return met.select("id", "url", "payload", "digest", "refers_to", (F.col("id").isNull() | (F.coalesce("vrows", F.lit(1)) > 1)).alias("several"), F.coalesce("vnamed", F.lit(False)).alias("named"))
 
 
 def chunks(recorded: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -54,25 +79,31 @@ def chunks(recorded: DataFrame, size: int = CHUNK) -> DataFrame:
     n = F.octet_length("payload")
     count = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.ceil(n / size), F.lit(1))).cast("int")
     data = F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), F.col("chunk") * size + 1, F.lit(size)))
-    split = recorded.select("id", "url", "digest", "refers_to", n.cast("long").alias("total"), "payload", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
-    return split.select("id", "url", "digest", "refers_to", "total", "chunk", data.alias("data"))
+    split = recorded.select("id", "url", "digest", "refers_to", "several", "named", n.cast("long").alias("total"), "payload", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
+    return split.select("id", "url", "digest", "refers_to", "several", "named", "total", "chunk", data.alias("data"))
 
 
 def _clean(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", text)
 
 
+def _name(page: int, digest: str) -> str:
+    """The record id of the only response of a page with a payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page-{page}-{digest}')}>"
+
+
 def _head(row: dict, length: int, kind: str) -> bytes:
     name = "-" if row["id"] is None else str(row["id"])
+    plain = kind == "response" and not row["several"]
     fields = [
-        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, 'page-' + name)}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("WARC-Type", kind), ("WARC-Record-ID", _name(row["id"], row["digest"]) if plain else f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", None if row["url"] is None else _clean(row["url"])), ("WARC-Payload-Digest", f"sha256:{row['digest']}"),
         ("Content-Type", "application/http; msgtype=response"), ("X-Page", name), ("X-Payload-Length", str(row["total"])),
     ]
     if kind == "revisit":
         fields += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, 'page-' + str(row['refers_to']))}>"), ("X-Refers-To-Page", str(row["refers_to"])),
+            ("WARC-Refers-To", _name(row["refers_to"], row["digest"]) if row["named"] else None), ("X-Refers-To-Page", str(row["refers_to"])),
         ]
     fields.append(("Content-Length", str(length)))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None).encode() + b"\r\n"
@@ -98,13 +129,17 @@ class _Members:
 
 
 class _Inflated:
-    """The bytes of a file of gzip members, `size` packed bytes at a time."""
+    """The bytes of a file of gzip members, `size` packed bytes at a time; a file that isn't packed as it is."""
 
     def __init__(self, source, size: int):
-        self.source, self.size, self.member, self.held = source, size, None, b""
+        self.source, self.size, self.member, self.held = source, size, None, source.read(size)
+        self.packed = self.held[:2] == b"\x1f\x8b"
 
     def read(self, most: int) -> bytes:
         while True:
+            if not self.packed:
+                out, self.held = self.held or self.source.read(self.size), b""
+                return out
             if not self.held:
                 self.held = self.source.read(self.size)
                 if not self.held:
@@ -128,7 +163,7 @@ def _writer(folder: str):
         state = hashlib.sha256()
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in ("id", "url", "digest", "refers_to", "total", "chunk")}
+                row = {k: batch.column(k)[i].as_py() for k in ("id", "url", "digest", "refers_to", "several", "named", "total", "chunk")}
                 if sink is None:
                     sink = _Members(store.open_output_stream(name, compression=None))
                 if row["refers_to"] is not None:
@@ -193,21 +228,21 @@ def _stream(source, size: int) -> Iterator[dict]:
             held += source.read(size)
             if not held:
                 return
-        if line() != b"WARC/1.1":
+        if not line().startswith(b"WARC/1."):
             raise ValueError("not a WARC record")
-        fields = {}
+        fields: dict[str, str] = {}
         while text := line():
-            key, _, value = text.decode().partition(": ")
-            fields[key] = value
-        left = int(fields["Content-Length"])
-        about = {
-            "page_id": None if fields["X-Page"] == "-" else int(fields["X-Page"]), "record_type": fields["WARC-Type"],
-            "refers_to": int(fields["X-Refers-To-Page"]) if "X-Refers-To-Page" in fields else None,
-        }
-        if fields["WARC-Type"] == "response":
-            while text := line():
+            key, _, value = text.decode(errors="replace").partition(":")
+            fields[key.strip().lower()] = value.strip()
+        left, kind = int(fields["content-length"]), fields.get("warc-type", "")
+        page, digest = fields.get("x-page", "-"), fields.get("warc-payload-digest", "")
+        about = {"page_id": None if page == "-" else int(page), "record_type": kind, "refers_to": int(fields["x-refers-to-page"]) if "x-refers-to-page" in fields else None}
+        if kind == "response":
+            while left and fields.get("content-type", "").startswith("application/http"):
+                text = line()
                 left -= len(text) + 2
-            left -= 2
+                if not text:
+                    break
             state, seen, chunk = hashlib.sha256(), 0, 0
             if not left:
                 yield about | {"chunk": 0, "chunk_bytes": 0, "payload_bytes": 0, "payload_digest": state.hexdigest(), "last": True}
@@ -216,10 +251,13 @@ def _stream(source, size: int) -> Iterator[dict]:
                 seen += len(part)
                 yield about | {"chunk": chunk, "chunk_bytes": len(part), "payload_bytes": seen, "payload_digest": state.hexdigest(), "last": seen == left}
                 chunk += 1
-            if f"sha256:{state.hexdigest()}" != fields["WARC-Payload-Digest"]:
-                raise ValueError(f"record {fields['WARC-Record-ID']}: its payload differs from its digest")
+            if digest.startswith("sha256:") and digest != f"sha256:{state.hexdigest()}":
+                raise ValueError(f"record {fields.get('warc-record-id')}: its payload differs from its digest")
         else:
-            yield about | {"chunk": 0, "chunk_bytes": 0, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "last": True}
+            for _ in take(left):
+                pass
+            if kind == "revisit":
+                yield about | {"chunk": 0, "chunk_bytes": 0, "payload_bytes": int(fields["x-payload-length"]) if "x-payload-length" in fields else None, "payload_digest": digest.removeprefix("sha256:") or None, "last": True}
         if line() or line():
             raise ValueError("a record doesn't end where it should")
 

@@ -182,8 +182,11 @@ def test_quality_rules(docs, odd, empty):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert all(x.kept for i, x in got.items() if texts[i].startswith("w") and not x.base_failed)
     assert not any(x.kept for i, x in got.items() if "%%%" in texts[i] or "!!" in texts[i])
-    rules = quality.default_rules()
+    rules = [*quality.base_rules(), *quality.default_rules(quality._inline())]
     assert {r.name for r in quality.order_rules(docs, rules)} == {r.name for r in rules}
+    kept = sorted((r.doc_id for r in quality.keep_good(docs).collect()))
+    assert kept == sorted(i for i, x in got.items() if x.kept) and len(kept) > 5
+    assert quality.keep_good(odd).columns == odd.columns and quality.keep_good(empty).count() == 0
     assert quality.query(empty).count() == 0 and quality.judge(odd).count() == 5
     assert quality.keep_good(docs.withColumn("n_words", F.lit("mine"))).select("n_words").distinct().first()[0] == "mine"
 
@@ -550,6 +553,41 @@ def test_warc(spark):
     chunks = warc.read(index, folder).where("page_id = 11").orderBy("chunk").collect()
     assert len(chunks) > 2 and sum(r.chunk_bytes for r in chunks) == 300_000 and max(r.chunk_bytes for r in chunks) <= warc.CHUNK and [r.last for r in chunks][-1]
     assert warc.query(pages.where("false")).count() == 0
+    import glob
+    import gzip
+
+    whole = b"".join(gzip.open(x).read() for x in glob.glob(f"{folder.removeprefix('file://')}/*.warc.gz"))
+    names = re.findall(rb"WARC-Record-ID: (\S+)", whole)
+    assert len(names) == len(set(names)) == len(rows) and set(re.findall(rb"WARC-Refers-To: (\S+)", whole)) <= set(names)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_warc_verdicts_by_broadcast_and_by_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_VERDICTS", most)
+    rows = [(i % 7 if i % 5 else None, "u", ["a" * 150, "b" * 150, "c" * 20][i % 3], 1, "mine") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int, refers_to string")
+    got = sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in warc.query(pages).collect())
+    want = []
+    for i, _, html, *_ in rows:
+        first = min(j for j, _, h, *_ in rows if h == html and j is not None)
+        revisit = len(html) >= 100 and i != first
+        want.append(str((i, len(html), "revisit" if revisit else "response", first if revisit else None)))
+    assert got == sorted(want)
+
+
+def test_warc_reads_other_writers():
+    import io
+
+    def record(kind, body, *fields):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\n" + b"".join(x + b"\r\n" for x in fields) + b"Content-length:%d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+    data = record(b"warcinfo", b"software: x\r\n") + record(b"response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello", b"Content-Type: application/http") + record(b"response", b"raw", b"Content-Type: text/dns") + record(b"revisit", b"HTTP/1.1 200 OK\r\n\r\n") + record(b"metadata", b"")
+    got = list(warc._stream(warc._Inflated(io.BytesIO(data), 7), 7))
+    assert [(r["record_type"], r["payload_bytes"], r["page_id"]) for r in got if r["last"]] == [("response", 5, None), ("response", 3, None), ("revisit", None, None)]
+    assert [r["payload_digest"] for r in got if r["last"]][0] == hashlib.sha256(b"hello").hexdigest()
+    with pytest.raises(ValueError):
+        list(warc._stream(warc._Inflated(io.BytesIO(data[:60]), 7), 7))
+    assert type(warc._store("file:///tmp")[0]).__name__ == "LocalFileSystem"
 
 
 @pytest.mark.parametrize("top", [2, 40, 3000, 49_408, 65_536])
