@@ -11,6 +11,10 @@ HEADER_BYTES, FOOTER_BYTES = 16, 80
 ATTRIBUTES = 0x2007
 DELTA_MAX = 32
 FALLBACKS = 64
+#: The format that markers name, and the oldest that is still read.  Markers without one are of the first.
+FORMAT, OLDEST = 2, 1
+#: A writer's lock that is older than so many seconds may be taken over.
+LOCK_SECONDS = 24 * 3600
 
 #: Codec ids.  3 and 4 are reserved for codecs without a library here and are never written; 64 is ours.
 STORE, ZSTD, LZMA2, PPMD, BWT, BZ2 = 0, 1, 2, 3, 4, 64

@@ -221,33 +221,67 @@ def wav_probe(data: bytes) -> dict | None:
     return None
 
 
-def _gzip_body(data: bytes) -> tuple[int, int] | None:
-    if data[:3] != b"\x1f\x8b\x08" or len(data) < 18:
+def _gzip_head(data: bytes, at: int) -> int | None:
+    """Where the deflate stream of the gzip member at `at` begins."""
+    if data[at : at + 3] != b"\x1f\x8b\x08" or len(data) < at + 18:
         return None
-    flags, at = data[3], 10
+    flags, begin = data[at + 3], at + 10
     if flags & 4:
-        at += 2 + struct.unpack_from("<H", data, at)[0]
+        begin += 2 + struct.unpack_from("<H", data, begin)[0]
     for bit in (8, 16):
         if flags & bit:
-            at = data.find(b"\0", at) + 1
-            if not at:
+            begin = data.find(b"\0", begin) + 1
+            if not begin:
                 return None
-    return at + 2 * bool(flags & 2), len(data) - 8
+    return begin + 2 * bool(flags & 2)
+
+
+def _deflated(data: bytes, at: int) -> int | None:
+    """The length of the raw deflate stream that begins at `at`; what it holds is thrown away piece by piece."""
+    reader, fed = zlib.decompressobj(-15), at
+    try:
+        while not reader.eof:
+            piece = reader.unconsumed_tail or data[fed : fed + (1 << 16)]
+            if not reader.unconsumed_tail:
+                fed += len(piece)
+            if not piece:
+                return None
+            reader.decompress(piece, 1 << 20)
+    except zlib.error:
+        return None
+    return fed - len(reader.unused_data) - at
+
+
+def _gzip_streams(data: bytes) -> list[tuple[int, int, str]]:
+    """One stream for each member of a gzip file."""
+    out, at = [], 0
+    while (begin := _gzip_head(data, at)) is not None and (length := _deflated(data, begin)):
+        if length >= 64:
+            out.append((begin, length, "gzip"))
+        at = begin + length + 8
+    return out
+
+
+def _png_streams(data: bytes) -> list[tuple[int, int, str]]:
+    """The stream of a PNG file with one IDAT chunk, without its zlib wrapper; one cut into several chunks isn't contiguous."""
+    at, found = 8, []
+    while at + 12 <= len(data):
+        size = struct.unpack_from(">I", data, at)[0]
+        if data[at + 4 : at + 8] == b"IDAT":
+            found.append((at + 8, size))
+        at += 12 + size
+    if len(found) != 1 or found[0][1] < 70 or found[0][0] + found[0][1] > len(data):
+        return []
+    begin, size = found[0]
+    return [(begin + 2, size - 6, "png")] if data[begin] & 0x0F == 8 else []
 
 
 def container_streams(data: bytes, depth: int = 0) -> list[tuple[int, int, str]]:
     """(offset, length, kind) of the deflate streams inside gzip, PNG, zip and PDF files, in order."""
     if data[:2] == b"\x1f\x8b":
-        body = _gzip_body(data)
-        return [(body[0], body[1] - body[0], "gzip")] if body and body[1] - body[0] >= 64 else []
+        return _gzip_streams(data)
     if data[:8] == b"\x89PNG\r\n\x1a\n":
-        at, out = 8, []
-        while at + 12 <= len(data):
-            size = struct.unpack_from(">I", data, at)[0]
-            if data[at + 4 : at + 8] == b"IDAT":
-                out.append((at + 8, size))
-            at += 12 + size
-        return [(a, n, "png") for a, n in out]
+        return _png_streams(data)
     if data[:4] == b"PK\3\4":
         return _zip_streams(data, depth)
     if data[:5] == b"%PDF-":
@@ -483,7 +517,7 @@ def classify(head: bytes) -> tuple[str, int]:
         return "jpeg", M.PLAIN
     if head[:4] == b"RIFF" and head[8:12] == b"WAVE":
         return "wav", M.WAV_PREDICT
-    if head[:3] == b"ID3" or all(mp3_frame(head, at) for at in _chain(head)):
+    if is_mp3(head):
         return "mp3", M.MP3_PLANES
     if head.startswith((b"MZ", b"\x7fELF", b"\xcf\xfa\xed\xfe")):
         return "executable", M.X86_SPLIT
@@ -504,15 +538,19 @@ def classify(head: bytes) -> tuple[str, int]:
     return "binary", M.PLAIN
 
 
-def _chain(head: bytes) -> list[int]:
-    out, at = [], 0
+def is_mp3(head: bytes) -> bool:
+    """Whether three Layer III frames stand in a row at the start, or after an ID3v2 tag that ends within `head`."""
+    at = 0
+    if head[:3] == b"ID3" and len(head) >= 10:
+        if max(head[6:10]) >= 0x80 or head[3] == 0xFF:
+            return False
+        at = 10 + sum(x << s for x, s in zip(head[6:10], (21, 14, 7, 0))) + 10 * bool(head[5] & 0x10)
     for _ in range(3):
-        out.append(at)
         frame = mp3_frame(head, at)
-        if frame is None:
-            return [at]
+        if frame is None or not frame[0]:
+            return False
         at += frame[0]
-    return out
+    return True
 
 
 def field(kind: str, level: str) -> list[tuple[int, int]]:

@@ -3,7 +3,7 @@
     root/_commits/N.json     the marker of generation N, written last, by rename
     root/N/files, root/N/units   the catalogue as generation N left it
     root/N/payloads          the packed bytes of the units generation N added
-    root/_lock               held by the one writer
+    root/_lock               held by the one writer: its name and when it began
 
 Readers take the newest marker whose catalogue verifies.  If a newer one doesn't,
 they are told of the damage and writers refuse to go on.  Folders without a marker
@@ -13,6 +13,9 @@ are what a broken write left; nobody reads them, and `vacuum` removes them.
 from __future__ import annotations
 
 import json
+import os
+import socket
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -32,6 +35,10 @@ class Damaged(Exception):
     """The newest generation can't be read."""
 
 
+class Unreadable(Exception):
+    """The newest generation is of a format that this version can't read."""
+
+
 class Store:
     """Small files on the cluster's file system, by way of the JVM."""
 
@@ -64,6 +71,7 @@ class Store:
         fs.mkdirs(path.getParent())
         if exclusive:
             stream = fs.create(path, False)
+            stream.write(bytearray(text.encode()))
             stream.close()
             return
         part = path.suffix(f".{uuid.uuid4().hex}")
@@ -79,6 +87,20 @@ class Store:
         fs.delete(path, True)
 
 
+def _ended(lock: dict) -> bool:
+    if time.time() - lock.get("time", 0) > M.LOCK_SECONDS:
+        return True
+    if lock.get("host") != socket.gethostname():
+        return False
+    try:
+        os.kill(int(lock["process"]), 0)
+    except ProcessLookupError:
+        return True
+    except (OSError, KeyError, ValueError):
+        return False
+    return False
+
+
 def _sum(df: DataFrame) -> str:
     """A checksum of a table's rows, whatever their order."""
     got = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0))).first()
@@ -111,10 +133,17 @@ class Lake:
         for n in found[: M.FALLBACKS]:
             try:
                 marker = json.loads(self.store.read(f"_commits/{n}.json"))
+                version = int(marker.get("format", 1))
+                if version > M.FORMAT:
+                    raise Unreadable(f"{self.root}: generation {n} is of format {version}, and this version reads up to {M.FORMAT}")
+                if version < M.OLDEST:
+                    raise Unreadable(f"{self.root}: generation {n} is of format {version}, and this version reads from {M.OLDEST}")
                 if marker["generation"] == n and _sum(self._table("files", n)) == marker["files"] and _sum(self._table("units", n)) == marker["units"]:
                     self.generation, self.marker = n, marker
                     self.damage = None if n == found[0] else {"lost": found[0], "opened": n}
                     return
+            except Unreadable:
+                raise
             except Exception:  # noqa: BLE001 - any fault of a generation sends us to the one before
                 continue
         raise Damaged(f"{self.root}: no generation verifies")
@@ -148,17 +177,42 @@ class Lake:
     def _writing(self):
         if self.damage:
             raise Damaged(f"generation {self.damage['lost']} can't be read; refusing to write after {self.damage['opened']}")
-        try:
-            self.store.write("_lock", "", exclusive=True)
-        except Exception as error:
-            raise BlockingIOError(f"{self.root} has a writer") from error
+        self._lock()
         try:
             newest = max(int(x[:-5]) for x in self.store.names("_commits") if x.endswith(".json"))
             if newest != self.generation:
                 raise BlockingIOError(f"{self.root} is at generation {newest} by now")
             yield self.generation + 1
         finally:
-            self.store.delete("_lock")
+            if self._holds_lock():
+                self.store.delete("_lock")
+            self.owner = None
+
+    owner: str | None = None
+
+    def _lock(self) -> None:
+        """Takes the writer's lock; one that is older than `M.LOCK_SECONDS`, or whose process on this host has ended, is taken over."""
+        mine = {"owner": uuid.uuid4().hex, "host": socket.gethostname(), "process": os.getpid(), "time": time.time()}
+        for again in (True, False):
+            try:
+                self.store.write("_lock", json.dumps(mine), exclusive=True)
+                self.owner = mine["owner"]
+                return
+            except Exception as error:
+                held = self.lock()
+                if held is None or not again or not _ended(held):
+                    raise BlockingIOError(f"{self.root} has a writer: {held}") from error
+                self.store.delete("_lock")
+
+    def lock(self) -> dict | None:
+        """Who holds the writer's lock, since when."""
+        try:
+            return json.loads(self.store.read("_lock"))
+        except Exception:  # noqa: BLE001 - it is gone, or being written
+            return None
+
+    def _holds_lock(self) -> bool:
+        return self.owner is not None and (self.lock() or {}).get("owner") == self.owner
 
     def _commit(self, files: DataFrame, units: DataFrame, payloads: DataFrame | None = None, only: bool = False, **more) -> None:
         n = self.generation + 1
@@ -169,12 +223,15 @@ class Lake:
         if payloads is not None:
             payloads.select("unit", "data").write.mode("overwrite").parquet(f"{self.root}/{n}/payloads")
             held.append(n)
-        marker = {k: self.marker[k] for k in ("geometry", "level")} | {"generation": n, "payloads": held, "files": _sum(files), "units": _sum(units)} | more
+        marker = {k: self.marker[k] for k in ("geometry", "level")} | {"format": M.FORMAT, "generation": n, "payloads": held, "files": _sum(files), "units": _sum(units)} | more
+        if self.owner is not None and not self._holds_lock():
+            raise BlockingIOError(f"{self.root}: another writer has taken over")
         self.store.write(f"_commits/{n}.json", json.dumps(marker))
         self.generation, self.marker = n, marker
 
     def vacuum(self) -> list[str]:
-        """Removes what broken writes left behind."""
+        """Removes what broken writes and `test` left behind."""
+        self.store.delete("_tests")
         committed = {x[:-5] for x in self.store.names("_commits")}
         gone = [x for x in self.store.names("") if x.isdigit() and x not in committed]
         for x in gone:
@@ -274,8 +331,11 @@ class Lake:
             self._commit(moved.unionByName(still), self.units)
             return count
 
-    def compact(self) -> tuple[int, int]:
-        """Drops dead units; live ones are verified and numbered by their first use.  Bytes before and after."""
+    def compact(self, history: bool = False) -> tuple[int, int]:
+        """Drops dead units; live ones are verified and numbered by their first use.  Bytes before and after.
+
+        Once the new generation is committed, those before it and their bytes go, unless `history` keeps them.
+        """
         with self._writing() as n:
             before = self.units.agg(F.coalesce(F.sum("packed"), F.lit(0))).first()[0]
             first = self.extents.groupBy("unit").agg(F.min(F.struct("file_pos", "pos")).alias("f")).select("unit", "f.file_pos", "f.pos")
@@ -292,6 +352,13 @@ class Lake:
             self._commit(settled(files.select(M.FILES.names), f"{self.root}/{n}/work-files"), units, settled(payloads, f"{self.root}/{n}/work-payloads"), only=True)
             for x in ("work", "work-order", "work-files", "work-payloads"):
                 self.store.delete(f"{n}/{x}")
+            if not history:
+                # Markers first: a reader that finds none of a generation doesn't look for its tables.
+                past = [x for x in self.store.names("_commits") if x.endswith(".json") and x[:-5].isdigit() and int(x[:-5]) < n]
+                for x in past:
+                    self.store.delete(f"_commits/{x}")
+                for x in past:
+                    self.store.delete(x[:-5])
             return before, self.units.agg(F.coalesce(F.sum("packed"), F.lit(0))).first()[0]
 
     # --- reading

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as L
 from ..operators.codecs import entropy, stride
 from ..operators.ordering import running, upper_median
-from ..sources.virtual import EXTENTS, TREE, UNITS, extents, read, tree, units
+from ..sources.virtual import EXTENTS, LIVE, TREE, UNITS, extents, kept, read, tree, units
 from ..store import scratch
 
 QUERIES: dict = {}
@@ -128,9 +128,9 @@ def first_copy(spark, d):
     return keyed.join(first, "hash").select("path", "first_path", (F.col("path") == F.col("first_path")).alias("stored"))
 
 
-@query("extent_offsets", f"WITH {EXTENTS} SELECT path, pos, unit, len, coalesce(sum(len) OVER (PARTITION BY unit ORDER BY path, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM extents")
+@query("extent_offsets", f"WITH {EXTENTS} SELECT path, pos, unit, len, coalesce(sum(len) OVER (PARTITION BY unit ORDER BY path, pos, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM extents")
 def extent_offsets(spark, d):
-    inside = Window.partitionBy("unit").orderBy("path", "pos").rowsBetween(Window.unboundedPreceding, -1)  # a unit is at most 64 MiB
+    inside = Window.partitionBy("unit").orderBy("path", "pos", "len").rowsBetween(Window.unboundedPreceding, -1)  # a unit is at most 64 MiB
     return extents(spark, d).withColumn("off", F.coalesce(F.sum("len").over(inside), F.lit(0)).cast("long"))
 
 
@@ -164,36 +164,33 @@ def entry_solid(spark, d):
 
 
 def live(spark, d):
-    return units(spark, d).join(extents(spark, d).select("unit").distinct(), "unit", "left_semi")
+    return units(spark, d).join(kept(spark, d), "unit", "left_semi")
 
 
-_LIVE = f"{UNITS}, live AS (SELECT * FROM units WHERE unit IN (SELECT unit FROM extents))"
-
-
-@query("live_units", f"WITH {_LIVE} SELECT unit, packed, unpacked FROM live")
+@query("live_units", f"WITH {LIVE} SELECT unit, packed, unpacked FROM live")
 def live_units(spark, d):
     return live(spark, d).select("unit", "packed", "unpacked")
 
 
-@query("dead_units", f"WITH {_LIVE} SELECT unit, packed FROM units WHERE unit NOT IN (SELECT unit FROM live)")
+@query("dead_units", f"WITH {LIVE} SELECT unit, packed FROM units WHERE unit NOT IN (SELECT unit FROM live)")
 def dead_units(spark, d):
-    return units(spark, d).join(extents(spark, d).select("unit"), "unit", "left_anti").select("unit", "packed")
+    return units(spark, d).join(kept(spark, d), "unit", "left_anti").select("unit", "packed")
 
 
-@query("info_summary", f"WITH {_LIVE} SELECT (SELECT count(DISTINCT path) FROM extents) AS files, (SELECT count(*) FROM units) AS units, (SELECT sum(packed) FROM units)::BIGINT AS file_len, (SELECT sum(packed) FROM live)::BIGINT AS live_bytes, greatest(0, (SELECT sum(packed) FROM units) - (SELECT sum(packed) FROM live) - 196)::BIGINT AS reclaimable")
+@query("info_summary", f"WITH {LIVE} SELECT (SELECT count(DISTINCT path) FROM extents) AS files, (SELECT count(*) FROM units) AS units, (SELECT sum(packed) FROM units)::BIGINT AS file_len, (SELECT sum(packed) FROM live)::BIGINT AS live_bytes, greatest(0, (SELECT sum(packed) FROM units) - (SELECT sum(packed) FROM live) - 196)::BIGINT AS reclaimable")
 def info_summary(spark, d):
-    flagged = units(spark, d).join(extents(spark, d).select("unit").distinct().withColumn("live", F.lit(True)), "unit", "left")
+    flagged = units(spark, d).join(kept(spark, d).withColumn("live", F.lit(True)), "unit", "left")
     sums = flagged.agg(F.count(F.lit(1)).alias("units"), F.sum("packed").alias("file_len"), F.sum(F.when(F.col("live"), F.col("packed"))).alias("live_bytes"))
     files = extents(spark, d).agg(F.count_distinct("path").alias("files")).scalar()
     return sums.select(files.alias("files"), "units", "file_len", "live_bytes", F.greatest(F.lit(0), F.col("file_len") - F.col("live_bytes") - (16 + 100 + 80)).cast("long").alias("reclaimable"))
 
 
-@query("bytes_by_codec", f"WITH {_LIVE} SELECT codec, sum(packed)::BIGINT AS bytes, count(*) AS units FROM live GROUP BY codec")
+@query("bytes_by_codec", f"WITH {LIVE} SELECT codec, sum(packed)::BIGINT AS bytes, count(*) AS units FROM live GROUP BY codec")
 def bytes_by_codec(spark, d):
     return live(spark, d).groupBy("codec").agg(F.sum("packed").alias("bytes"), F.count(F.lit(1)).alias("units"))
 
 
-@query("unit_sizes", f"WITH {_LIVE}, s AS (SELECT list_sort(list(unpacked)) AS s FROM live) SELECT coalesce(s[1], 0) AS smallest, coalesce(s[len(s) // 2 + 1], 0) AS median, coalesce(s[len(s)], 0) AS largest FROM s")
+@query("unit_sizes", f"WITH {LIVE}, s AS (SELECT list_sort(list(unpacked)) AS s FROM live) SELECT coalesce(s[1], 0) AS smallest, coalesce(s[len(s) // 2 + 1], 0) AS median, coalesce(s[len(s)], 0) AS largest FROM s")
 def unit_sizes(spark, d):
     known = live(spark, d)
     zero = F.lit(0).cast("long")
@@ -250,11 +247,12 @@ def rename_prefix(spark, d):
     return tree(spark, d).select("path", F.when(hit, F.concat(F.lit("moved/three"), F.substring(path, 5, 1 << 20))).otherwise(path).alias("renamed"))
 
 
-@query("rename_conflicts", f"WITH {TREE}, r AS (SELECT path, 'SRC2' || substr(path, 5) AS target FROM tree WHERE starts_with(path, 'src3/')) SELECT r.path, target FROM r WHERE lower(target) IN (SELECT lower(path) FROM tree WHERE NOT starts_with(path, 'src3/'))")
+@query("rename_conflicts", f"WITH {TREE}, r AS (SELECT path, 'CONV/2' || substr(path, 7) AS target FROM tree WHERE starts_with(path, 'conv/1/')) SELECT r.path, target FROM r WHERE lower(target) IN (SELECT lower(path) FROM tree WHERE NOT starts_with(path, 'conv/1/'))")
 def rename_conflicts(spark, d):
-    entries = tree(spark, d)
-    moved = entries.where(F.col("path").startswith("src3/")).select("path", F.concat(F.lit("SRC2"), F.substring("path", 5, 1 << 20)).alias("target")).withColumn("key", F.lower("target"))
-    still = entries.where(~F.col("path").startswith("src3/")).select(F.lower("path").alias("key"))
+    """Entries of conv/1 that a move to CONV/2 would put where conv/2 has one already."""
+    entries, inside = tree(spark, d), F.col("path").startswith("conv/1/")
+    moved = entries.where(inside).select("path", F.concat(F.lit("CONV/2"), F.substring("path", 7, 1 << 20)).alias("target")).withColumn("key", F.lower("target"))
+    still = entries.where(~inside).select(F.lower("path").alias("key"))
     return moved.join(still, "key", "left_semi").select("path", "target")
 
 
@@ -296,7 +294,7 @@ def generation_asof(spark, d):
     return latest(rows.where(F.col("generation") <= half))
 
 
-@query("damage_report", f"WITH {_LIVE} SELECT count(*) AS units, count(*) FILTER (WHERE unit % 97 <> 0) AS ok, coalesce(sum(unpacked) FILTER (WHERE unit % 97 <> 0), 0)::BIGINT AS bytes_ok, coalesce(string_agg(unit, ',' ORDER BY unit) FILTER (WHERE unit % 97 = 0), '') AS bad FROM live")
+@query("damage_report", f"WITH {LIVE} SELECT count(*) AS units, count(*) FILTER (WHERE unit % 97 <> 0) AS ok, coalesce(sum(unpacked) FILTER (WHERE unit % 97 <> 0), 0)::BIGINT AS bytes_ok, coalesce(string_agg(unit, ',' ORDER BY unit) FILTER (WHERE unit % 97 = 0), '') AS bad FROM live")
 def damage_report(spark, d):
     bad = F.col("unit") % 97 == 0
     return live(spark, d).agg(
@@ -484,16 +482,18 @@ def _lake(spark, d, root):
     return lake
 
 
-@query("lake_listing")
+@query("lake_listing", f"WITH {TREE} SELECT path, size, false AS dir, CASE WHEN size = 0 THEN false END AS empty_solid FROM tree")
 def lake_listing(spark, d):
-    """A lake made of the whole tree, listed."""
-    return _lake(spark, d, scratch(spark)).listing()
+    """A lake made of the whole tree, listed; stored sizes depend on codecs, and an empty file is in no shared unit."""
+    return _lake(spark, d, scratch(spark)).listing().select("path", "size", "dir", F.when(F.col("size") == 0, F.col("solid")).alias("empty_solid"))
 
 
-@query("verify_all")
+@query("verify_all", f"WITH {TREE} SELECT path, size AS bytes_ok, 0::BIGINT AS bytes_lost FROM tree WHERE size > 0")
 def verify_all(spark, d):
-    """A lake made of the whole tree, each unit opened and checked."""
-    return _lake(spark, d, scratch(spark)).verdicts()
+    """A lake made of the whole tree, each unit opened and checked: the bytes of each file in units that verify."""
+    lake = _lake(spark, d, scratch(spark))
+    met = lake.extents.join(lake.verdicts().select("unit", "why"), "unit", "left")
+    return met.groupBy("path").agg(F.sum(F.when(F.col("why").isNull(), F.col("len")).otherwise(0)).alias("bytes_ok"), F.sum(F.when(F.col("why").isNull(), 0).otherwise(F.col("len"))).alias("bytes_lost"))
 
 
 @query("extract_all", f"WITH {TREE} SELECT path, size, hash, NULL::VARCHAR AS why FROM tree")
@@ -503,14 +503,14 @@ def extract_all(spark, d):
     return got.select("path", "size", F.substring(F.sha2("content", 256), 1, 32).alias("hash"), "why")
 
 
-@query("zip_round_trip", "SELECT 'bench/item_' || item_id || '.txt' AS path, strlen(coalesce(text, ''))::BIGINT AS size, substr(sha256(coalesce(text, '')), 1, 32) AS hash FROM benchmark")
+@query("zip_round_trip", f"WITH {TREE} SELECT path, size, hash FROM tree")
 def zip_round_trip(spark, d):
-    """The benchmark's files written as zip archives and read back."""
+    """The whole tree written as zip archives and read back."""
     from ..sources.archives import create_zips, read_archives
     from ..store import settled
 
     root = scratch(spark)
-    entries = tree(spark, d, content=True).where(F.col("path").startswith("bench/")).withColumn("archive", F.concat(F.lit("part-"), F.pmod(F.xxhash64("path"), F.lit(4)), F.lit(".zip")))
+    entries = tree(spark, d, content=True).withColumn("archive", F.concat(F.lit("part-"), F.pmod(F.xxhash64("path"), F.lit(16)), F.lit(".zip")))
     settled(create_zips(entries, f"{root}/zips"), f"{root}/index")
     return read_archives(spark, f"{root}/zips").select("path", "size", F.substring(F.sha2("content", 256), 1, 32).alias("hash"))
 

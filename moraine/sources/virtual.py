@@ -37,12 +37,20 @@ TREE = """tree AS (
 
 
 def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, pos, unit, len): returned order lines of a file per order."""
-    return read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount >= 0.08").select(
+    """(path, pos, unit, len): all order lines, of a file per order."""
+    return read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("orders/"), "l_orderkey", F.lit(".rec")).alias("path"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_partkey").alias("unit"), F.col("l_quantity").cast("long").alias("len")
     )
 
 
+_KEPT = "l_returnflag = 'R' AND l_discount >= 0.08"
+
+
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit): units with extents of files that are still there.  The lines of removed files are left out, so some units are dead."""
+    return read(spark, sf_dir, "lineitem").where(_KEPT).select(F.col("l_partkey").alias("unit")).distinct()
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(unit, packed, unpacked, codec): one unit per part; it holds the bytes its extents name and some that nothing names."""
     held = extents(spark, sf_dir).groupBy("unit").agg(F.sum("len").alias("named"))
@@ -51,10 +59,11 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXTENTS = """extents AS (
-  SELECT 'orders/' || l_orderkey || '.rec' AS path, l_linenumber::BIGINT AS pos, l_partkey AS unit, l_quantity::BIGINT AS len FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.08)"""
+  SELECT 'orders/' || l_orderkey || '.rec' AS path, l_linenumber::BIGINT AS pos, l_partkey AS unit, l_quantity::BIGINT AS len FROM lineitem)"""
 UNITS = (
     EXTENTS
     + """, named AS (SELECT unit, sum(len)::BIGINT AS named FROM extents GROUP BY unit), units AS (
   SELECT p_partkey AS unit, p_size::BIGINT + floor(p_retailprice)::BIGINT % 97 AS packed, coalesce(named, 0) + p_size::BIGINT % 4 AS unpacked, (p_size % 5)::INT AS codec
   FROM part LEFT JOIN named ON unit = p_partkey)"""
 )
+LIVE = UNITS + f", live AS (SELECT * FROM units WHERE unit IN (SELECT l_partkey FROM lineitem WHERE {_KEPT}))"

@@ -11,9 +11,12 @@ def scratch(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
-        root = f"file://{tempfile.gettempdir()}/moraine-checkpoints"  # only where none is set: local tests
+        root = f"file://{tempfile.gettempdir()}/moraine-checkpoints"  # one machine, one process
     return f"{root.rstrip('/')}/lake-{uuid.uuid4().hex}"
 
 

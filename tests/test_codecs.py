@@ -119,3 +119,38 @@ def test_damage_is_an_error():
 def test_strides():
     assert C.stride(b"".join(struct.pack("<III", i, 2 * i, 7) for i in range(1000))) in (4, 8, 12)
     assert C.stride(b"short") == 0 and C.entropy(b"") == 0.0 and C.entropy(bytes(range(256))) == 8.0
+
+
+def test_streams_of_concatenated_gzip_and_png():
+    import gzip
+    import struct
+    import zlib
+
+    from moraine.operators import codecs as C
+
+    texts = [bytes(f"line {n} of member {m}\n" * 1, "ascii") for m in range(2) for n in range(200)]
+    members = [gzip.compress(b"".join(texts[:200])), gzip.compress(b"".join(texts[200:]))]
+    data = b"".join(members)
+    found = C.container_streams(data)
+    assert [zlib.decompress(data[a : a + n], -15) for a, n, _ in found] == [b"".join(texts[:200]), b"".join(texts[200:])]
+    assert C.container_streams(data[:-20])[:1] == found[:1] and C.container_streams(b"\x1f\x8b\x08" + b"x" * 40) == []
+
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    pixels = bytes(range(256)) * 40
+    packed = zlib.compress(pixels)
+    head = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 40, 8, 6, 0, 0, 0))
+    png = head + chunk(b"IDAT", packed) + chunk(b"IEND", b"")
+    ((at, n, kind),) = C.container_streams(png)
+    assert kind == "png" and zlib.decompress(png[at : at + n], -15) == pixels
+    assert C.container_streams(head + chunk(b"IDAT", packed[:90]) + chunk(b"IDAT", packed[90:])) == []
+
+
+def test_mp3_is_told_by_a_chain_of_frames():
+    from moraine.operators import codecs as C
+
+    frame = b"\xff\xfb\x90\x00"
+    whole = frame + bytes(C.mp3_frame(frame, 0)[0] - 4)
+    tag = b"ID3\x04\x00\x00\x00\x00\x01\x00" + bytes(128)
+    assert C.is_mp3(whole * 3) and C.is_mp3(tag + whole * 3)
+    assert not any(C.is_mp3(x) for x in (b"", b"ID3", b"ID3 is a format of tags, and this is a text about it. " * 40, whole * 2, tag + b"text", b"ID3\x04\x00\x00\xff\x00\x01\x00" + whole * 3))
+    assert C.classify(b"ID3 is a format of tags, and this is a text about it. " * 40)[0] == "text"

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from moraine.plans.lake import Damaged, Lake
+from moraine.plans.lake import Damaged, Lake, Unreadable
 from moraine.sources.archives import create_zips, extract, read_archives, scan
 from moraine.streaming.ingest import files, ingest
 
@@ -135,3 +135,69 @@ def test_stream_replays_do_nothing(spark, tmp_path):
     _entries(spark, [("late.txt", b"late")]).repartition(1).write.mode("append").parquet(arriving)
     ingest(files(spark, arriving), root, f"{tmp_path}/state").awaitTermination()
     assert Lake(spark, root).files.count() == 4 and Lake(spark, root).generation == lake.generation + 1
+
+
+def _bytes_under(root):
+    return sum(os.path.getsize(os.path.join(folder, x)) for folder, _, names in os.walk(root.removeprefix("file://")) for x in names if "payloads" in folder)
+
+
+def test_compaction_frees_bytes(spark, tmp_path):
+    lake = Lake.create(spark, f"file://{tmp_path}/freed", "fast", target=65_536)
+    kept = [(f"keep/{n}.bin", os.urandom(40_000)) for n in range(4)]
+    lake.add(_entries(spark, [*kept, *((f"drop/{n}.bin", os.urandom(40_000)) for n in range(12))]))
+    whole = _bytes_under(lake.root)
+    lake.remove(["drop"])
+    assert _bytes_under(lake.root) == whole
+    before, after = lake.compact()
+    assert after < before / 2 and _bytes_under(lake.root) < whole / 2
+    again = Lake(spark, lake.root)
+    assert again.damage is None and _contents(again) == dict(kept) and again.store.names("_commits") == [f"{again.generation}.json"]
+    held = Lake.create(spark, f"file://{tmp_path}/held", "fast", target=65_536)
+    held.add(_entries(spark, kept[:1]))
+    held.compact(history=True)
+    assert held.as_of(2)[0].count() == 1
+
+
+def test_locks_end_with_their_owners(spark, tmp_path):
+    import json
+    import socket
+    import subprocess
+    import sys
+    import time
+
+    lake = Lake.create(spark, f"file://{tmp_path}/locked", "fast", target=65_536)
+    ended = subprocess.Popen([sys.executable, "-c", ""])
+    ended.wait()
+    now = time.time()
+    for held, free in (
+        ({"owner": "x", "host": socket.gethostname(), "process": ended.pid, "time": now}, True),
+        ({"owner": "x", "host": "elsewhere", "process": 1, "time": now}, False),
+        ({"owner": "x", "host": "elsewhere", "process": 1, "time": now - 10**6}, True),
+        ({"owner": "x", "host": socket.gethostname(), "process": os.getpid(), "time": now}, False),
+    ):
+        lake.store.write("_lock", json.dumps(held), exclusive=True)
+        if free:
+            with lake._writing():
+                assert lake.lock()["process"] == os.getpid()
+            assert lake.lock() is None
+        else:
+            with pytest.raises(BlockingIOError):
+                lake.remove([])
+            assert lake.lock() == held
+            lake.store.delete("_lock")
+    with pytest.raises(BlockingIOError), lake._writing():
+        lake.store.delete("_lock")
+        lake.store.write("_lock", json.dumps({"owner": "other"}), exclusive=True)
+        lake._commit(lake.files, lake.units)
+    assert lake.lock() == {"owner": "other"}
+
+
+@pytest.mark.parametrize("version, words", [(99, "reads up to"), (0, "reads from")])
+def test_other_formats_are_refused(spark, tmp_path, version, words):
+    import json
+
+    lake = Lake.create(spark, f"file://{tmp_path}/formats", "fast", target=65_536)
+    marker = json.loads(lake.store.read("_commits/1.json")) | {"format": version, "generation": 2}
+    lake.store.write("_commits/2.json", json.dumps(marker))
+    with pytest.raises(Unreadable, match=words):
+        Lake(spark, lake.root)
