@@ -254,6 +254,7 @@ class Lake:
             rows = entries.select(L.normalize_rel(F.col("path")).alias("path"), F.col("path").alias("given"), F.coalesce("content", F.lit(b"")).alias("content"), col("mtime", "long", 0), col("mtime_nanos", "long", 0), F.col("attrs").bitwiseAND(M.ATTRIBUTES).cast("long").alias("attrs") if "attrs" in have else F.lit(0).cast("long").alias("attrs"), col("dir", "boolean", False))
             refused = rows.where("path is null").count()
             rows = rows.where("path is not null").groupBy("path").agg(F.max_by(F.struct("content", "mtime", "mtime_nanos", "attrs", "dir"), F.struct("mtime", "mtime_nanos", F.sha2("content", 256))).alias("r")).select("path", "r.*")
+            rows = settled(rows, f"{work}/rows")  # read several times below
             shape = self.marker["geometry"]
             parts = settled(items(rows.where("not dir"), shape), f"{work}/items")
             placed = settled(assemble(parts, shape["target"]), f"{work}/placed")
@@ -261,7 +262,7 @@ class Lake:
             numbered = settled(running(local, ["group", "deal", "local"], f"{work}/order", number="seq"), f"{work}/numbered")
             unit_of = placed.join(numbered, ["group", "deal", "local"]).select("path", "nth", "seq", "off", "len")
             data = parts.select("path", "nth", "content").join(unit_of.select("path", "nth", "seq", "off"), ["path", "nth"])
-            joined = data.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("off", "content"))).alias("parts")).select(F.col("seq").alias("unit"), F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["content"])), "")).alias("data"))
+            joined = data.groupBy(F.col("seq").alias("unit")).agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY off)").alias("data"))
             staged = settled(joined.withColumn("hash", F.substring(F.sha2("data", 256), 1, 32)), f"{work}/staged")
             # The last of equal units in the lake stands for a hash; else the first of this run does.
             known = self.units.groupBy("hash").agg(F.max("unit").alias("known"))
@@ -409,9 +410,9 @@ class Lake:
         pieces = picked.select("path", F.posexplode("extents").alias("pos", "e")).select("path", "pos", "e.unit", "e.off", "e.len")
         needed = self.units.join(pieces.select("unit").distinct(), "unit", "left_semi").join(self.payloads, "unit", "left")
         opened = unpack_units(needed)
-        cut = pieces.join(opened, "unit", "left").select("path", "pos", F.when(F.col("data").isNotNull(), F.hex(F.substring(F.col("data"), (F.col("off") + 1).cast("int"), F.col("len").cast("int")))).alias("hex"), F.when(F.col("data").isNull(), F.coalesce("why", F.lit("a unit is not in the catalogue"))).alias("why"))
-        whole = cut.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("p"), F.min("why").alias("why"))
+        cut = pieces.join(opened, "unit", "left").select("path", "pos", F.substring(F.col("data"), (F.col("off") + 1).cast("int"), F.col("len").cast("int")).alias("piece"), F.when(F.col("data").isNull(), F.coalesce("why", F.lit("a unit is not in the catalogue"))).alias("why"))
+        whole = cut.groupBy("path").agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY pos)").alias("whole"), F.min("why").alias("why"))
         joined = picked.select("path", "size", "pos", "mtime", "mtime_nanos", "attrs").join(whole, "path", "left")
-        content = F.when(F.col("why").isNull(), F.unhex(F.array_join(F.transform(F.coalesce("p", F.array().cast("array<struct<pos:int,hex:string>>")), lambda x: x["hex"]), "")))
+        content = F.when(F.col("why").isNull(), F.coalesce("whole", F.lit(b"")))
         out = joined.select("path", "size", "pos", "mtime", "mtime_nanos", "attrs", content.alias("content"), "why")
         return out.withColumn("why", F.when(F.col("why").isNull() & (F.octet_length("content") != F.col("size")), "its length differs").otherwise(F.col("why")))
