@@ -96,3 +96,49 @@ def spread_sample(data: Column, size: Column, runs: int = 8, share: int = 16) ->
     run = F.floor(size / (share * runs)).cast("int")
     step = F.floor(size / runs).cast("int")
     return F.concat(*[F.substring(data, step * i + 1, run) for i in range(runs)])
+
+
+#: Kinds of files by extension (fixed values).
+KINDS = {
+    "image": "jpg jpeg png gif bmp webp heic avif tif tiff svg dds tga",
+    "audio": "mp3 flac wav ogg m4a aac opus mid",
+    "video": "mp4 mkv avi mov webm wmv m4v",
+    "archive": "zip 7z rar gz xz bz2 zst nva tar cab iso",
+    "exe": "exe dll so dylib msi sys bin elf",
+    "doc": "pdf doc docx odt rtf txt md log",
+    "code": "rs c h hpp cpp py js ts tsx java go cs rb php json toml yaml yml xml html css sh ps1 bat",
+}
+
+
+def icon_kind(path: Column) -> Column:
+    """The kind of a file by what follows its last dot; all of a path without one."""
+    ext, out = F.lower(F.substring_index(path, ".", -1)), F
+    for kind, names in KINDS.items():
+        out = out.when(ext.isin(*names.split()), kind)
+    return F.when(path.isNotNull(), out.otherwise("generic"))
+
+
+def parent_of(path: Column) -> Column:
+    """What stands before the last slash of either kind; a path without one, or with one at its start only, stays."""
+    return F.regexp_replace(path, r"(?s)^(.+)[/\\\\][^/\\\\]*$", "$1")
+
+
+def strip_ext(path: Column) -> Column:
+    """A path without its extension: the last dot of the last part and what follows."""
+    return F.regexp_replace(path, r"(?s)\.[^./\\\\]*$", "")
+
+
+def when_text(seconds: Column) -> Column:
+    """A time in the session's zone as day.month.year hour:minute; a dash for none."""
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "\u2014").otherwise(F.date_format(F.timestamp_seconds(seconds), "dd.MM.yyyy HH:mm"))
+
+
+def hhmmss(seconds: Column) -> Column:
+    """A duration in its two largest units (labels are fixed values)."""
+    s = F.greatest(F.lit(0), F.floor(seconds + F.lit(0.5))).cast("long")
+    minutes, two = F.floor(s / 60), lambda x: F.lpad(x.cast("string"), 2, "0")
+    return (
+        F.when(s < 60, F.concat(s.cast("string"), F.lit(" \u0441")))
+        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" \u043c\u0438\u043d "), two(s % 60), F.lit(" \u0441")))
+        .otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(" \u0447 "), two(minutes % 60), F.lit(" \u043c\u0438\u043d")))
+    )

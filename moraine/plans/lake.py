@@ -377,10 +377,10 @@ class Lake:
 
     def info(self) -> DataFrame:
         live, length = self.live(), self.units.agg(F.coalesce(F.sum("packed"), F.lit(0)).alias("n")).scalar()
-        sums = live.agg(F.count(F.lit(1)).alias("live_units"), F.coalesce(F.sum("packed"), F.lit(0)).alias("live_bytes"), F.coalesce(F.min("unpacked"), F.lit(0)).alias("smallest"), F.coalesce(F.max("unpacked"), F.lit(0)).alias("largest"))
+        sums = live.agg(F.count(F.lit(1)).alias("live_units"), F.coalesce(F.sum("packed"), F.lit(0)).alias("live_bytes"), F.coalesce(F.min("unpacked"), F.lit(0)).alias("smallest"), F.coalesce(F.max("unpacked"), F.lit(0)).alias("largest"), F.coalesce(F.bool_or(F.col("codec").between(2, 4)), F.lit(False)).alias("slow"), F.coalesce(F.bool_or(F.col("codec") == M.BWT), F.lit(False)).alias("hungry"))
         files = self.files.agg(F.count_if(~F.col("dir")).alias("n")).scalar()
         dirs = self.files.agg(F.count_if("dir").alias("n")).scalar()
-        return sums.select(F.lit(self.generation).cast("long").alias("generation"), files.alias("files"), dirs.alias("dirs"), "live_units", length.alias("stored_bytes"), "live_bytes", (length - F.col("live_bytes")).alias("reclaimable"), "smallest", upper_median(live, "unpacked").alias("median"), "largest")
+        return sums.select(F.lit(self.generation).cast("long").alias("generation"), files.alias("files"), dirs.alias("dirs"), "live_units", length.alias("stored_bytes"), "live_bytes", (length - F.col("live_bytes")).alias("reclaimable"), "smallest", upper_median(live, "unpacked").alias("median"), "largest", "slow", "hungry")
 
     def unit_report(self) -> DataFrame:
         """One row per live unit, with its members and the commonest extension."""

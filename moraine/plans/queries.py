@@ -256,6 +256,18 @@ def rename_conflicts(spark, d):
     return moved.join(still, "key", "left_semi").select("path", "target")
 
 
+@query("path_parts", f"WITH {TREE} SELECT path, regexp_replace(path, '/[^/]*$', '') AS parent, regexp_replace(path, '\\.[^.]*$', '') AS stem, CASE WHEN ends_with(path, '.html') THEN 'code' ELSE 'doc' END AS kind FROM tree")
+def path_parts(spark, d):
+    """Each path's folder, the path without its extension, and the kind of file."""
+    return tree(spark, d).select("path", L.parent_of(F.col("path")).alias("parent"), L.strip_ext(F.col("path")).alias("stem"), L.icon_kind(F.col("path")).alias("kind"))
+
+
+@query("decode_cost", f"WITH {LIVE} SELECT bool_or(codec BETWEEN 2 AND 4) AS slow, bool_or(codec = 4) AS hungry FROM live")
+def decode_cost(spark, d):
+    """Whether some live unit is slow to decode, and whether some takes much memory."""
+    return live(spark, d).agg(F.bool_or(F.col("codec").between(2, 4)).alias("slow"), F.bool_or(F.col("codec") == 4).alias("hungry"))
+
+
 @query("remove_prefix", f"WITH {TREE} SELECT path FROM tree WHERE NOT (path = 'conv/1' OR starts_with(path, 'conv/1/') OR path = 'src5' OR starts_with(path, 'src5/'))")
 def remove_prefix(spark, d):
     entries = tree(spark, d).select("path")

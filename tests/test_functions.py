@@ -115,3 +115,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "out/in/below/b.txt").read_text() == "other text"
     assert run(spark, ["create", f"file://{tmp_path}/z.zip", source]) == 0 and run(spark, ["list", f"file://{tmp_path}/z.zip"]) == 0
     assert "in/below/b.txt" in capsys.readouterr().out
+
+
+def test_parts_of_paths_and_times(spark):
+    rows = [("a/b.c/d.Txt", 0, 0.4), ("x\\y.tar.GZ", 1_700_000_000, 59.5), ("/root", None, 3599.0), ("plain", 60, 3600.0), (".hid", -14_182_980, 90_061.0), (None, 1, -5.0)]
+    table = spark.createDataFrame(rows, "p string, t long, d double")
+    got = [tuple(r) for r in table.select(L.parent_of(F.col("p")), L.strip_ext(F.col("p")), L.icon_kind(F.col("p")), L.when_text(F.col("t")), L.hhmmss(F.col("d"))).collect()]
+    s, m, h = "\u0441", "\u043c\u0438\u043d", "\u0447"
+    assert got == [
+        ("a/b.c", "a/b.c/d", "doc", "\u2014", f"0 {s}"), ("x", "x\\y.tar", "archive", "14.11.2023 22:13", f"1 {m} 00 {s}"), ("/root", "/root", "generic", "\u2014", f"59 {m} 59 {s}"),
+        ("plain", "plain", "generic", "01.01.1970 00:01", f"1 {h} 00 {m}"), (".hid", "", "generic", "20.07.1969 20:17", f"25 {h} 01 {m}"), (None, None, None, "01.01.1970 00:00", f"0 {s}"),
+    ]
