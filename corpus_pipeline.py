@@ -3,6 +3,11 @@
 Each stage reads what its predecessor kept, decides with one operator, and returns
 the columns of `documents`; the last returns what the token files hold.  A stage's
 rows are written and read again before the next, so no lineage crosses stages.
+
+Defined results are the operators' own: null, empty and blank texts fail the rules;
+rows with equal or null ids are judged by their own texts, and of rows equal in both
+one goes on from near-dedup; an empty table gives no rows; other columns pass through
+to the last stage, whatever their names.
 """
 
 from __future__ import annotations
