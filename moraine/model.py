@@ -22,7 +22,7 @@ CODECS = {STORE: "store", ZSTD: "zstd", LZMA2: "lzma2", PPMD: "ppmd7", BWT: "bwt
 WRITTEN = (STORE, ZSTD, LZMA2, BZ2)
 
 #: Filter ids.  2 to 33 are delta distances 1 to 32; 34, 35 and 37 are reserved; ids from 64 are ours.
-PLAIN, X86, DELTA_1, X86_SPLIT, MP3_PLANES, WAV_PREDICT, INFLATE = 0, 1, 2, 36, 39, 64, 65
+PLAIN, X86, DELTA_1, X86_SPLIT, MP3_PLANES, WAV_PREDICT, INFLATE, PNG_JOIN = 0, 1, 2, 36, 39, 64, 65, 66
 
 #: Unit targets and zstd levels of the three levels.
 TARGETS = {"fast": 4 << 20, "normal": 16 << 20, "max": 32 << 20}

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .. import functions as L
 from .. import model as M
-from .codecs import classify, wav_probe
+from .codecs import batched, classify, wav_probe
 
 CROWD = 100_000
+_ITEM = pa.schema([("path", pa.string()), ("nth", pa.int32()), ("len", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("kind", pa.string()), ("alone", pa.bool_()), ("filter", pa.int32()), ("content", pa.binary())])
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear %d" % i).digest()[:8] for i in range(256)), "<u8")
 
 
@@ -70,27 +71,30 @@ def wav_runs(data: bytes, unit: int) -> list[int] | None:
 
 
 def items(entries: DataFrame, geometry: dict[str, int]) -> DataFrame:
-    """(path, content) -> (path, nth, len, digest, kind, alone, content): the items of each file that is not empty."""
+    """(path, content) -> (path, nth, len, size, digest, kind, alone, filter, content): the items of each file that is not empty."""
     shape = dict(geometry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data, path = batch.column("content")[i].as_py(), batch.column("path")[i].as_py()
-                if not data:
-                    continue
-                kind, _ = classify(data[: 1 << 20])
-                whole = kind in ("container", "jpeg", "wav", "mp3") and len(data) <= min(2 * shape["target"], M.STORED_MAX)
-                pcm = wav_runs(data, shape["target"]) if kind == "wav" and not whole else None
-                ends = pcm if pcm else [len(data)] if len(data) < shape["chunked_from"] or whole else cuts(data, shape["chunk_min"], shape["chunk_avg"], shape["chunk_max"])
-                alone = (kind == "store" and len(data) >= shape["chunked_from"]) or len(data) >= shape["target"] // 2 or (whole and len(data) >= M.OWN_UNIT)
-                start = 0
-                for nth, end in enumerate(ends):
-                    part = data[start:end]
-                    yield pa.RecordBatch.from_pydict({"path": [path], "nth": pa.array([nth], pa.int32()), "len": pa.array([len(part)], pa.int64()), "size": pa.array([len(data)], pa.int64()), "digest": [hashlib.sha256(part).hexdigest()], "kind": [kind], "alone": [alone], "content": pa.array([part], pa.binary())})
-                    start = end
-
-    return entries.select("path", "content").mapInArrow(run, "path string, nth int, len long, size long, digest string, kind string, alone boolean, content binary")
+        def cut() -> Iterator[dict]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    data, path = batch.column("content")[i].as_py(), batch.column("path")[i].as_py()
+                    if not data:
+                        continue
+                    kind, wanted = classify(data[: 1 << 20])
+                    whole = kind in ("container", "jpeg", "wav", "mp3") and len(data) <= min(2 * shape["target"], M.STORED_MAX)
+                    pcm = wav_runs(data, shape["target"]) if kind == "wav" and not whole else None
+                    ends = pcm if pcm else [len(data)] if len(data) < shape["chunked_from"] or whole else cuts(data, shape["chunk_min"], shape["chunk_avg"], shape["chunk_max"])
+                    alone = (kind == "store" and len(data) >= shape["chunked_from"]) or len(data) >= shape["target"] // 2 or (whole and len(data) >= M.OWN_UNIT)
+                    start = 0
+                    for nth, end in enumerate(ends):
+                        part = data[start:end]
+                        yield {"path": path, "nth": nth, "len": len(part), "size": len(data), "digest": hashlib.sha256(part).hexdigest(), "kind": kind, "alone": alone, "filter": wanted, "content": part}
+                        start = end
+
+        yield from batched(cut(), _ITEM, "content")
+
+    return entries.select("path", "content").mapInArrow(run, "path string, nth int, len long, size long, digest string, kind string, alone boolean, filter int, content binary")
 
 
 def fold(rows: list[tuple[str, int, int, str, str, bool]], target: int) -> list[tuple[int, int, str]]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bz2
 import lzma
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -79,17 +80,14 @@ def undelta(data: bytes, distance: int) -> bytes:
 
 
 def _sites(data: bytes) -> Iterator[int]:
-    """Places of call and jump operands: after E8 or E9, or 0F 80 to 0F 8F; none inside another."""
+    """Places that may hold a call's or jump's operand: after E8 or E9, or 0F 80 to 0F 8F.
+
+    Whoever walks them passes over those whose opcode ends inside an operand.
+    """
     x = np.frombuffer(data, np.uint8)
-    near = (x == 0xE8) | (x == 0xE9)
-    far = np.zeros(len(x), bool)
-    far[1:] = (x[:-1] == 0x0F) & ((x[1:] & 0xF0) == 0x80)
-    free = 0
-    for at in (np.flatnonzero(near | far) + 1).tolist():
-        if at > free and at + 4 <= len(x) or at == free == 1:
-            if at + 4 <= len(x):
-                yield at
-                free = at + 3
+    found = (x == 0xE8) | (x == 0xE9)
+    found[1:] |= (x[:-1] == 0x0F) & ((x[1:] & 0xF0) == 0x80)
+    yield from (np.flatnonzero(found) + 1).tolist()
 
 
 def x86(data: bytes) -> bytes:
@@ -123,15 +121,18 @@ def _turn(data: bytes, sign: int) -> bytes:
 
 def x86_split(data: bytes) -> bytes | None:
     """Code, targets and flags apart: `<code length><site count>` code, big-endian targets, one bit per site."""
-    code, targets, flags, done = bytearray(), bytearray(), [], 0
+    code, targets, flags, done, free = bytearray(), bytearray(), [], 0, 0
     for at in _sites(data):
-        target = at + 4 + struct.unpack_from("<i", data, at)[0]
+        if at <= free or at + 4 > len(data):
+            continue
+        free = at + 4
+        target = free + struct.unpack_from("<i", data, at)[0]
         inside = 0 <= target < len(data)
         flags.append(inside)
         if inside:
             code += data[done:at]
             targets += struct.pack(">I", target)
-            done = at + 4
+            done = free
     code += data[done:]
     if not targets:
         return None
@@ -139,66 +140,62 @@ def x86_split(data: bytes) -> bytes | None:
 
 
 def unx86_split(data: bytes, length: int) -> bytes:
+    """The code's sites are those of the whole: a target inside a unit has a top byte that completes no opcode."""
     n, sites = struct.unpack_from("<II", data)
-    code = data[8 : 8 + n]
-    flags = np.unpackbits(np.frombuffer(data, np.uint8, offset=len(data) - (sites + 7) // 8))[:sites] if sites else np.empty(0, np.uint8)
-    moved = int(flags.sum())
+    code, marks = data[8 : 8 + n], (sites + 7) // 8
+    flags = np.unpackbits(np.frombuffer(data, np.uint8, marks, len(data) - marks))[:sites].tolist()
+    moved = sum(flags)
     targets = struct.unpack_from(f">{moved}I", data, 8 + n)
-    out, used, taken, free, at = bytearray(), 0, 0, 0, 0
-    before = 0
-    site = 0
-    while used < n:
-        out.append(code[used])
-        used += 1
-        at = len(out)
-        last = out[-1]
-        is_site = last in (0xE8, 0xE9) or (at >= 2 and before == 0x0F and last & 0xF0 == 0x80)
-        before = last
-        if is_site and (at > free or at == free == 1) and at + 4 <= length:
-            if site >= sites:
-                raise ValueError("more sites than flags")
-            if flags[site]:
-                out += struct.pack("<i", targets[taken] - at - 4)
-                taken += 1
-                before = out[-1]
-            else:
-                out += code[used : used + 4]
-                used += 4
-                before = out[-1]
-            site += 1
-            free = at + 3
-            # An operand's last byte may itself open a site.
-            last = out[-1]
-            if last in (0xE8, 0xE9) or (out[-2] == 0x0F and last & 0xF0 == 0x80):
-                raise ValueError("an operand ends in an opcode")
-    return bytes(out)
+    out, done, free, taken, site = [], 0, 0, 0, 0
+    for at in _sites(code):
+        place = at + 4 * taken
+        if at <= free or place + 4 > length:
+            continue
+        if site >= sites:
+            raise ValueError("more sites than flags")
+        if flags[site]:
+            out += [code[done:at], struct.pack("<i", targets[taken] - place - 4)]
+            taken, done, free = taken + 1, at, at
+        else:
+            free = at + 4
+        site += 1
+    if site != sites:
+        raise ValueError("more flags than sites")
+    return b"".join([*out, code[done:]])
 
 
 def wav_predict(data: bytes) -> bytes | None:
-    """16-bit integer PCM: the wrapper as it is, then each channel's second differences as split byte planes."""
+    """16- or 24-bit integer PCM: the wrapper as it is, then each channel's second differences as split byte planes."""
     found = wav_probe(data)
-    if found is None or found["bits"] != 16:
+    if found is None:
         return None
-    first, size, channels = found["data"], found["size"] - found["size"] % (2 * found["channels"]), found["channels"]
-    samples = np.frombuffer(data, "<i2", size // 2, first).reshape(-1, channels).astype(np.uint16)
+    width, channels, first = found["bits"] // 8, found["channels"], found["data"]
+    size = found["size"] - found["size"] % (width * channels)
+    wide = np.zeros((size // width, 4), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, size, first).reshape(-1, width)
+    samples = wide.view("<u4").reshape(-1, channels)
     for _ in range(2):
-        samples = np.diff(samples, axis=0, prepend=np.zeros((1, channels), np.uint16))
-    folded = ((samples << 1) ^ (0 - (samples >> 15)).astype(np.uint16)).T.reshape(-1)
-    planes = folded.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
-    return struct.pack("<III", first, size, channels) + data[:first] + data[first + size :] + planes
+        samples = np.diff(samples, axis=0, prepend=np.zeros((1, channels), np.uint32))
+    folded = ((samples << 1) ^ (0 - (samples >> np.uint32(found["bits"] - 1) & 1))).T.reshape(-1)
+    planes = folded.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+    # The width stands above the number of channels, 0 meaning two bytes.
+    return struct.pack("<III", first, size, channels | (width << 8 if width != 2 else 0)) + data[:first] + data[first + size :] + planes
 
 
 def unwav_predict(data: bytes, length: int) -> bytes:
-    first, size, channels = struct.unpack_from("<III", data)
-    if size > length or first + size > length or not 1 <= channels <= 8:
+    first, size, shape = struct.unpack_from("<III", data)
+    channels, width = shape & 0xFF, shape >> 8 or 2
+    if size > length or first + size > length or not 1 <= channels <= 8 or width not in (2, 3) or size % (width * channels):
         raise ValueError("a wrapper's sizes don't fit")
-    rest = length - size
-    planes = np.frombuffer(data, np.uint8, size, 12 + rest).reshape(2, -1).T
-    folded = np.ascontiguousarray(planes).view("<u2").reshape(channels, -1).T
-    samples = (folded >> 1) ^ (0 - (folded & 1)).astype(np.uint16)
+    rest, limit = length - size, np.uint32((1 << 8 * width) - 1)
+    wide = np.zeros((size // width, 4), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, size, 12 + rest).reshape(width, -1).T
+    folded = wide.view("<u4").reshape(channels, -1).T
+    samples = (folded >> 1) ^ (0 - (folded & 1))
     for _ in range(2):
-        samples = np.cumsum(samples, axis=0, dtype=np.uint16)
-    return data[12 : 12 + first] + samples.astype("<u2").tobytes() + data[12 + first : 12 + rest]
+        samples = np.cumsum(samples, axis=0, dtype=np.uint32)
+    plain = np.ascontiguousarray(samples & limit).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+    return data[12 : 12 + first] + plain + data[12 + first : 12 + rest]
 
 
 def wav_probe(data: bytes) -> dict | None:
@@ -262,20 +259,56 @@ def _gzip_streams(data: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
-def _png_streams(data: bytes) -> list[tuple[int, int, str]]:
-    """The stream of a PNG file with one IDAT chunk, without its zlib wrapper; one cut into several chunks isn't contiguous."""
+def _png_parts(data: bytes) -> list[tuple[int, int]]:
+    """(offset, length) of what the IDAT chunks of a PNG file hold."""
     at, found = 8, []
     while at + 12 <= len(data):
         size = struct.unpack_from(">I", data, at)[0]
         if data[at + 4 : at + 8] == b"IDAT":
             found.append((at + 8, size))
         at += 12 + size
+    return found
+
+
+def _png_streams(data: bytes) -> list[tuple[int, int, str]]:
+    """The stream of a PNG file with one IDAT chunk, without its zlib wrapper; `png_join` opens one cut into several."""
+    found = _png_parts(data)
     if len(found) != 1 or found[0][1] < 70 or found[0][0] + found[0][1] > len(data):
         return []
     begin, size = found[0]
     return [(begin + 2, size - 6, "png")] if data[begin] & 0x0F == 8 else []
 
 
+def png_join(data: bytes) -> bytes | None:
+    """A PNG file with several IDAT chunks in a row: their contents joined and opened, what stood between them behind.
+
+    `<parts><first><part lengths>`, then what `inflate` makes of the joined file.
+    """
+    parts = _png_parts(data) if data[:8] == b"\x89PNG\r\n\x1a\n" else []
+    if len(parts) < 2 or any(a + n + 12 != b for (a, n), (b, _) in zip(parts, parts[1:])) or sum(parts[-1]) > len(data):
+        return None
+    first, size = parts[0][0], sum(n for _, n in parts)
+    if size < 70 or data[first] & 0x0F != 8:
+        return None
+    joined = data[:first] + b"".join(data[a : a + n] for a, n in parts) + b"".join(data[a + n : a + n + 12] for a, n in parts[:-1]) + data[sum(parts[-1]) :]
+    made = inflate(joined, [(first + 2, size - 6, "png")])
+    return None if made is None else struct.pack("<II", len(parts), first) + np.array([n for _, n in parts], "<u4").tobytes() + made
+
+
+def unpng_join(data: bytes, length: int) -> bytes:
+    count, first = struct.unpack_from("<II", data)
+    sizes = np.frombuffer(data, "<u4", count, 8).tolist()
+    joined, out = deflate_again(data[8 + 4 * count :], length), []
+    body, gap = first, first + sum(sizes)
+    for i, n in enumerate(sizes):
+        out.append(joined[body : body + n])
+        body += n
+        if i + 1 < count:
+            out.append(joined[gap : gap + 12])
+            gap += 12
+    return joined[:first] + b"".join(out) + joined[gap:]
+
+
 def container_streams(data: bytes, depth: int = 0) -> list[tuple[int, int, str]]:
     """(offset, length, kind) of the deflate streams inside gzip, PNG, zip and PDF files, in order."""
     if data[:2] == b"\x1f\x8b":
@@ -308,6 +341,14 @@ def _zip_streams(data: bytes, depth: int) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def _pdf_end(data: bytes, begin: int, head: bytes) -> int:
+    """Where a stream ends: after its direct length if that leads to its end mark, else at the next such mark."""
+    told = re.search(rb"/Length\s+(\d{1,10})(?!\d|\s+\d+\s+R)", head)
+    if told and data[begin + int(told[1]) : begin + int(told[1]) + 11].lstrip(b"\r\n").startswith(b"endstream"):
+        return begin + int(told[1])
+    return data.find(b"endstream", begin)
+
+
 def _pdf_streams(data: bytes) -> list[tuple[int, int, str]]:
     out, at = [], 0
     while (at := data.find(b"stream", at)) >= 0:
@@ -316,19 +357,19 @@ def _pdf_streams(data: bytes) -> list[tuple[int, int, str]]:
             at = begin
             continue
         begin += 2 if data[begin : begin + 2] == b"\r\n" else data[begin : begin + 1] == b"\n"
-        end = data.find(b"endstream", begin)
         head = data[max(0, at - 16_384) : at]
         head = head[head.rfind(b"obj") :]
+        end = _pdf_end(data, begin, head)
         if end > begin and b"/FlateDecode" in head and data[begin] & 0x0F == 8 and end - begin > 70:
             out.append((begin + 2, end - begin - 2, "pdf"))
         at = max(begin, end)
     return out
 
 
-def inflate(data: bytes) -> bytes | None:
+def inflate(data: bytes, streams: list[tuple[int, int, str]] | None = None) -> bytes | None:
     """Deflate streams opened: only those that a level, memory size and strategy of zlib gives back exactly."""
     opened = []
-    for at, size, _ in container_streams(data):
+    for at, size, _ in container_streams(data) if streams is None else streams:
         stream = zlib.decompressobj(-15)
         try:
             raw = stream.decompress(data[at : at + size], M.CODED_MAX)
@@ -452,7 +493,7 @@ def apply_filter(kind: int, data: bytes) -> bytes | None:
         return data
     if M.DELTA_1 <= kind <= M.DELTA_1 + 31:
         return delta(data, kind - 1)
-    return {M.X86: x86, M.X86_SPLIT: x86_split, M.MP3_PLANES: mp3_planes, M.WAV_PREDICT: wav_predict, M.INFLATE: inflate}[kind](data)
+    return {M.X86: x86, M.X86_SPLIT: x86_split, M.MP3_PLANES: mp3_planes, M.WAV_PREDICT: wav_predict, M.INFLATE: inflate, M.PNG_JOIN: png_join}[kind](data)
 
 
 def undo_filter(kind: int, data: bytes, length: int) -> bytes:
@@ -462,7 +503,7 @@ def undo_filter(kind: int, data: bytes, length: int) -> bytes:
         return undelta(data, kind - 1)
     if kind == M.X86:
         return unx86(data)
-    undo: dict[int, Callable[[bytes, int], bytes]] = {M.X86_SPLIT: unx86_split, M.MP3_PLANES: unmp3_planes, M.WAV_PREDICT: unwav_predict, M.INFLATE: deflate_again}
+    undo: dict[int, Callable[[bytes, int], bytes]] = {M.X86_SPLIT: unx86_split, M.MP3_PLANES: unmp3_planes, M.WAV_PREDICT: unwav_predict, M.INFLATE: deflate_again, M.PNG_JOIN: unpng_join}
     if kind not in undo:
         raise ValueError(f"no such filter: {kind}")
     return undo[kind](data, length)
@@ -570,9 +611,14 @@ def spread(data: bytes, runs: int = 8, share: int = 16) -> bytes:
     return b"".join(data[step * i : step * i + run] for i in range(runs))
 
 
-def pack(data: bytes, level: str = "normal") -> tuple[int, int, int, int, bytes]:
-    """(codec, param, filter, filtered length or 0, packed bytes) of a unit: the smallest form that gives it back."""
-    kind, wanted = classify(data)
+def pack(data: bytes, level: str = "normal", vote: tuple[str, int] | None = None) -> tuple[int, int, int, int, bytes]:
+    """(codec, param, filter, filtered length or 0, packed bytes) of a unit: the smallest form that gives it back.
+
+    `vote` is the (kind, filter) of most of its bytes, if its files are large enough to tell; else its head tells.
+    """
+    kind, wanted = vote or classify(data)
+    if wanted == M.INFLATE and len(_png_parts(data) if data[:4] == b"\x89PNG" else ()) > 1:
+        wanted = M.PNG_JOIN
     made = proven(wanted, data)
     if made is None:
         wanted, made = M.PLAIN, data
@@ -601,22 +647,45 @@ def unpack(codec: int, param: int, kind: int, filtered: int, unpacked: int, pack
 # --- over DataFrames
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def batched(rows: Iterator[dict], schema: pa.Schema, *held: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches that end once their columns `held` have `limit` bytes, or at 1000 rows."""
+    kept, size = [], 0
+    for row in rows:
+        kept.append(row)
+        size += sum(len(row[x] or b"") for x in held)
+        if size >= limit or len(kept) == 1000:
+            yield pa.RecordBatch.from_pylist(kept, schema)
+            kept, size = [], 0
+    if kept:
+        yield pa.RecordBatch.from_pylist(kept, schema)
+
+
+_PACKED_UNIT = pa.schema([("unit", pa.int64()), ("hash", pa.string()), *((x, pa.int64()) for x in ("packed", "unpacked", "filtered")), *((x, pa.int32()) for x in ("codec", "param", "filter")), ("data", pa.binary())])
+
+
 def pack_units(units: DataFrame, level: str = "normal") -> DataFrame:
-    """(unit, data) -> (unit, hash, packed, unpacked, filtered, codec, param, filter, data)."""
+    """(unit, data, and if there are votes kind, filter) -> (unit, hash, packed, unpacked, filtered, codec, param, filter, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = batch.column("data")[i].as_py() or b""
-                codec, param, kind, filtered, packed = pack(data, level)
-                yield pa.RecordBatch.from_pydict(
-                    {"unit": pa.array([batch.column("unit")[i].as_py()], pa.int64()), "hash": [hashlib.sha256(data).hexdigest()[:32]], "packed": pa.array([len(packed)], pa.int64()), "unpacked": pa.array([len(data)], pa.int64()), "filtered": pa.array([filtered], pa.int64()),
-                     "codec": pa.array([codec], pa.int32()), "param": pa.array([param], pa.int32()), "filter": pa.array([kind], pa.int32()), "data": pa.array([packed], pa.binary())}
-                )
+        def packed_rows() -> Iterator[dict]:
+            for row in _rows(batches):
+                data = row["data"] or b""
+                codec, param, kind, filtered, packed = pack(data, level, (row["kind"], row["filter"]) if row["kind"] is not None else None)
+                yield {"unit": row["unit"], "hash": hashlib.sha256(data).hexdigest()[:32], "packed": len(packed), "unpacked": len(data), "filtered": filtered, "codec": codec, "param": param, "filter": kind, "data": packed}
 
-    return units.select("unit", "data").mapInArrow(run, "unit long, hash string, packed long, unpacked long, filtered long, codec int, param int, filter int, data binary")
+        yield from batched(packed_rows(), _PACKED_UNIT, "data")
+
+    voted = "kind" in units.columns
+    given = units.select("unit", "data", *(["kind", "filter"] if voted else [F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("filter")]))
+    return given.mapInArrow(run, "unit long, hash string, packed long, unpacked long, filtered long, codec int, param int, filter int, data binary")
 
 
 def unpack_units(units: DataFrame) -> DataFrame:
@@ -625,8 +694,8 @@ def unpack_units(units: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+        def opened() -> Iterator[dict]:
+            for row in _rows(batches):
                 data, why = None, None
                 try:
                     if row["data"] is None:
@@ -636,7 +705,9 @@ def unpack_units(units: DataFrame) -> DataFrame:
                         raise ValueError("its bytes differ from its hash")
                 except (ValueError, struct.error, IndexError) as error:
                     data, why = None, str(error)
-                yield pa.RecordBatch.from_pydict({"unit": pa.array([row["unit"]], pa.int64()), "data": pa.array([data], pa.binary()), "why": pa.array([why], pa.string())})
+                yield {"unit": row["unit"], "data": data, "why": why}
+
+        yield from batched(opened(), pa.schema([("unit", pa.int64()), ("data", pa.binary()), ("why", pa.string())]), "data")
 
     return units.select("unit", "hash", "unpacked", "filtered", "codec", "param", "filter", "data").mapInArrow(run, "unit long, data binary, why string")
 

@@ -271,6 +271,10 @@ class Lake:
             fresh = settled(running(first.where("known is null").select("hash", "first"), ["first"], f"{work}/fresh-order", number="rank"), f"{work}/fresh")
             mapping = staged.select(F.col("unit").alias("seq"), "hash").join(first.select("hash", "known"), "hash").join(fresh.select("hash", "rank"), "hash", "left").select("seq", F.coalesce("known", F.col("rank") + base).alias("unit"))
             packed = staged.join(fresh.select(F.col("first").alias("unit"), "rank"), "unit").select((F.col("rank") + base).alias("unit"), "data")
+            # Every chunk of a file that is large enough votes for its unit's kind and filter, by its bytes.
+            votes = parts.where(F.col("size") >= M.CONFIDENT).select("path", "nth", "len", "kind", "filter").join(unit_of.select("path", "nth", "seq"), ["path", "nth"]).groupBy("seq", "kind", "filter").agg(F.sum("len").alias("n"))
+            vote = votes.groupBy(F.col("seq").alias("first")).agg(F.min(F.struct((-F.col("n")).alias("n"), "filter", "kind")).alias("v")).select("first", "v.kind", "v.filter")
+            packed = packed.join(vote.join(fresh.select("first", "rank"), "first").select((F.col("rank") + base).alias("unit"), "kind", "filter"), "unit", "left")
             packed = settled(pack_units(packed.repartition("unit"), self.marker["level"]), f"{work}/packed")
             extents = unit_of.join(mapping, "seq").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("nth", F.struct("unit", "off", "len").alias("e")))).alias("x")).select("path", F.transform("x", lambda x: x["e"]).alias("extents"))
             new = rows.select("path", F.octet_length("content").cast("long").alias("size"), "mtime", "mtime_nanos", "attrs", "dir").join(extents, "path", "left").withColumn("extents", F.coalesce("extents", F.array().cast(M.FILES["extents"].dataType)))

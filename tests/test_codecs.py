@@ -154,3 +154,77 @@ def test_mp3_is_told_by_a_chain_of_frames():
     assert C.is_mp3(whole * 3) and C.is_mp3(tag + whole * 3)
     assert not any(C.is_mp3(x) for x in (b"", b"ID3", b"ID3 is a format of tags, and this is a text about it. " * 40, whole * 2, tag + b"text", b"ID3\x04\x00\x00\xff\x00\x01\x00" + whole * 3))
     assert C.classify(b"ID3 is a format of tags, and this is a text about it. " * 40)[0] == "text"
+
+
+def _near_calls(rng, n=3000, last=None):
+    """Code with calls and far jumps, some operands ending in an opcode's first or last byte."""
+    out = bytearray()
+    for _ in range(n):
+        out += bytes(rng.randrange(256) for _ in range(rng.randrange(6))) + rng.choice([b"\xe8", b"\xe9", b"\x0f\x84", b"\x0f\x8f"])
+        out += rng.randrange(-3000, 9000).to_bytes(4, "little", signed=True) if rng.random() < 0.7 else bytes(rng.randrange(256) for _ in range(3)) + rng.choice([b"\xe8", b"\x0f", b"\x85"])
+    return bytes(out)
+
+
+def test_x86_split_takes_real_code():
+    for seed in range(5):
+        code = _near_calls(random.Random(seed))
+        made = C.x86_split(code)
+        assert made is not None and C.unx86_split(made, len(code)) == code
+    for name in ("/bin/ls", "/bin/bash"):
+        try:
+            real = open(name, "rb").read()
+        except OSError:
+            continue
+        made = C.proven(M.X86_SPLIT, real)
+        assert made is not None and len(C.compress(M.LZMA2, 2, made)) < len(C.compress(M.LZMA2, 2, real))
+    made = C.x86_split(_near_calls(random.Random(9)))
+    with pytest.raises((ValueError, struct.error)):
+        C.unx86_split(made[:-300], 10)
+
+
+@pytest.mark.parametrize("channels, extra", [(1, 0), (2, 0), (2, 5)])
+def test_24_bit_sound_is_predicted(channels, extra):
+    samples = [int(4_000_000 * math.sin(i / 50 + c)) for i in range(5000) for c in range(channels)]
+    frames = b"".join((x & 0xFFFFFF).to_bytes(3, "little") for x in samples) + bytes(extra)
+    head = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, 48_000, 48_000 * 3 * channels, 3 * channels, 24) + b"data" + struct.pack("<I", len(frames)) + frames
+    data = b"RIFF" + struct.pack("<I", len(head)) + head
+    made = C.proven(M.WAV_PREDICT, data)
+    assert made is not None and len(C.compress(M.ZSTD, 3, made)) < len(C.compress(M.ZSTD, 3, data)) * 0.7
+
+
+def test_png_in_several_chunks_is_opened():
+    import zlib
+
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    packed = zlib.compress(b"".join(bytes([i % 251, i % 7, 0, 255]) for i in range(30_000)), 9)
+    cut = [packed[i : i + 100] for i in range(0, len(packed), 100)]
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + b"".join(chunk(b"IDAT", x) for x in cut) + chunk(b"IEND", b"")
+    made = C.proven(M.PNG_JOIN, png)
+    assert len(cut) > 2 and made is not None and len(made) > len(png)
+    codec, param, kind, filtered, small = C.pack(png)
+    assert C.unpack(codec, param, kind, filtered, len(png), small) == png and kind == M.PNG_JOIN
+    assert C.png_join(png[:-300]) is None and C.png_join(b"\x89PNG") is None
+    apart = png.replace(chunk(b"IDAT", cut[1]), chunk(b"IDAT", cut[1]) + chunk(b"tEXt", b"x"))
+    assert C.png_join(apart) is None
+
+
+def test_pdf_streams_end_after_their_direct_length():
+    import zlib
+
+    for text in (b"".join(b"word %d in a page " % i for i in range(400)), bytes(range(256)) * 30 + b"endstream in a text"):
+        body = zlib.compress(text, 0 if b"endstream" in text else 6)
+        for told in (b"/Length %d" % len(body), b"/Length 9 0 R"):
+            pdf = b"%PDF-1.4\n1 0 obj\n<< " + told + b" /Filter /FlateDecode >>\nstream\n" + body + b"\nendstream\nendobj\n"
+            found = C.container_streams(pdf)
+            if b"R" not in told:
+                (at, n, _), = found
+                assert zlib.decompress(pdf[at - 2 : at + n]) == text and n == len(body) - 2
+            elif b"endstream" not in text:
+                assert len(found) == 1
+
+
+def test_votes_decide_a_units_filter():
+    records = b"".join(struct.pack("<IHHI", i * 7, i % 9, 1, i * 3) for i in range(3000))
+    for vote, kind in ((("binary", M.DELTA_1 + 11), M.DELTA_1 + 11), (("binary", M.PLAIN), M.PLAIN)):
+        *how, packed = C.pack(records, "fast", vote)
+        assert how[2] == kind and C.unpack(*how, len(records), packed) == records
