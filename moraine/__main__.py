@@ -9,8 +9,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as L
-from .plans.lake import Lake
-from .sources.archives import create_zips, extract, read_archives, scan
+from .plans.lake import Lake, ordered
+from .sources.archives import create_zips, extract, extract_folders, read_archives, scan
+
+#: What of a report is shown; the rest is counted.
+UNITS_SHOWN, FILES_SHOWN, LISTED = 10, 20, 10_000
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,11 +28,13 @@ def parser() -> argparse.ArgumentParser:
         for flag, options in flags.items():
             sub.add_argument(f"--{flag.replace('_', '-')}", **options)
 
+    top.add_argument("-j", "--jobs", type=int, help="shuffle partitions, so tasks, of one step")
+    top.add_argument("--full", action="store_true", help="use the cluster's own degree of parallelism (as without -j)")
     level = {"choices": ["fast", "normal", "max"], "default": "normal"}
     verb("create", "c", "root", "inputs+", level=level)
     verb("add", "a", "root", "inputs+")
     verb("extract", "x", "root", "target", "selectors*", force={"action": "store_true"}, skip_existing={"action": "store_true"})
-    verb("list", "l", "root")
+    verb("list", "l", "root", sort={"choices": ["path", "size", "stored", "solid", "dir"], "default": "path"}, descending={"action": "store_true"})
     verb("remove", "rm", "root", "selectors+")
     verb("rename", "mv", "root", "source", "target")
     verb("test", "t", "root")
@@ -38,6 +43,14 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _show(rows, limit: int) -> None:
+    """The first rows, and how many more there are."""
+    rows.show(limit, truncate=False)
+    more = rows.count() - limit
+    if more > 0:
+        print(f"\u2026 and {more} more")
+
+
 def _entries(spark: SparkSession, inputs: list[str]):
     out = None
     for x in inputs:
@@ -48,6 +61,8 @@ def _entries(spark: SparkSession, inputs: list[str]):
 
 def run(spark: SparkSession, given: list[str]) -> int:
     a = parser().parse_args(given)
+    if a.jobs and not a.full:
+        spark.conf.set("spark.sql.shuffle.partitions", str(a.jobs))
     if a.verb == "create" and a.root.endswith(".zip"):
         folder, name = a.root.rsplit("/", 1)
         entries = _entries(spark, a.inputs).where("not dir").withColumn("archive", F.lit(name))
@@ -59,7 +74,7 @@ def run(spark: SparkSession, given: list[str]) -> int:
         if a.verb == "add":
             raise SystemExit("foreign archives are read and created, not changed")
         if a.verb == "list":
-            members.select("path", "size", "why").show(1 << 20, truncate=False)
+            _show(members.select("path", "size", "why"), LISTED)
             return 2 if members.where("path = ''").count() else 0
         outcomes = extract(members.select("path", "content", "why"), a.target, "force" if a.force else "skip" if a.skip_existing else "fail")
         return _report(outcomes)
@@ -70,7 +85,7 @@ def run(spark: SparkSession, given: list[str]) -> int:
         print(lake.add(_entries(spark, a.inputs)))
     elif a.verb == "list":
         rows = lake.listing()
-        rows.orderBy("path").select(L.human(F.col("size")).alias("size"), L.human(F.col("stored")).alias("stored"), "path").show(1 << 20, truncate=False)
+        _show(ordered(rows, a.sort, a.descending).select(L.human(F.col("size")).alias("size"), L.human(F.col("stored")).alias("stored"), "path"), LISTED)
         rows.where("not dir").agg(F.sum("size").alias("size"), F.sum("stored").alias("stored"), F.count(F.lit(1)).alias("files")).show()
     elif a.verb == "remove":
         print(lake.remove(a.selectors))
@@ -81,16 +96,19 @@ def run(spark: SparkSession, given: list[str]) -> int:
     elif a.verb == "info":
         lake.info().show(truncate=False)
         if a.units:
-            lake.unit_report().orderBy("unit").show(1 << 20, truncate=False)
+            _show(lake.unit_report().orderBy("unit"), LISTED)
     elif a.verb == "test":
         totals, lost = lake.test()
         totals.show()
         lost = lost.orderBy("file_pos")
-        lost.show(20, truncate=False)
+        _show(lost, FILES_SHOWN)
+        _show(lake.bad_units(), UNITS_SHOWN)
         return 2 if not lost.isEmpty() or lake.damage else 0
     elif a.verb == "extract":
-        outcomes = extract(lake.contents(a.selectors or None).select("path", "content", "why"), a.target, "force" if a.force else "skip" if a.skip_existing else "fail")
-        return max(_report(outcomes), 2 if lake.damage else 0)
+        outcomes = extract(lake.contents(a.selectors or None).drop("size", "pos"), a.target, "force" if a.force else "skip" if a.skip_existing else "fail")
+        lost = _report(outcomes)
+        extract_folders(lake.folders(a.selectors or None), a.target)
+        return max(lost, 2 if lake.damage else 0)
     return 2 if lake.damage else 0
 
 

@@ -30,6 +30,10 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
+def depth(path: Column) -> Column:
+    return F.size(F.split(path, "/"))
+
+
 def component_ok(part: Column) -> Column:
     stem = F.lower(F.substring_index(part, ".", 1))
     return (
@@ -72,17 +76,21 @@ def codec_name(codec: Column) -> Column:
     return out
 
 
+#: First bytes, in hexadecimal digits, and the kinds of files they tell (fixed values).
+MAGIC = (
+    ("504B0304", "zip"), ("377ABCAF271C", "7z"), ("526172211A0700", "rar"), ("526172211A070100", "rar"), ("89504E470D0A1A0A", "png"),
+    ("1F8B", "gzip"), ("25504446", "pdf"), ("FFD8FF", "jpeg"), ("494433", "mp3"), ("4D5A", "executable"), ("7F454C46", "executable"),
+    ("CFFAEDFE", "executable"), ("28B52FFD", "zstd"), ("FD377A585A00", "xz"),
+)
+
+
 def sniff(head: Column) -> Column:
     """The kind of a file from its first bytes."""
     h = F.hex(F.substring(head, 1, 16))
-    return (
-        F.when(h.startswith("504B0304"), "zip").when(h.startswith("377ABCAF271C"), "7z")
-        .when(h.startswith("526172211A0700") | h.startswith("526172211A070100"), "rar").when(h.startswith("89504E470D0A1A0A"), "png")
-        .when(h.startswith("1F8B"), "gzip").when(h.startswith("25504446"), "pdf").when(h.startswith("FFD8FF"), "jpeg")
-        .when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57415645"), "wav").when(h.startswith("494433"), "mp3")
-        .when(h.startswith("4D5A") | h.startswith("7F454C46") | h.startswith("CFFAEDFE"), "executable")
-        .when(h.startswith("28B52FFD"), "zstd").when(h.startswith("FD377A585A00"), "xz").otherwise("other")
-    )
+    out = F.when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57415645"), "wav")
+    for digits, kind in MAGIC:
+        out = out.when(h.startswith(digits), kind)
+    return out.otherwise("other")
 
 
 def stored_bytes(packed: Column, unpacked: Column, length: Column) -> Column:

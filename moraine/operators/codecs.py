@@ -10,6 +10,7 @@ import bz2
 import lzma
 import re
 import struct
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -729,3 +730,26 @@ def race(units: DataFrame, level: str = "max") -> DataFrame:
     """The winner of each unit: least bytes, the earliest in the field among equals."""
     order = Window.partitionBy("unit").orderBy("coded", "place")
     return race_table(units, level).withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "place")
+
+
+_RACED = pa.schema([("unit", pa.int64()), ("kind", pa.string()), ("filter", pa.int32()), ("unpacked", pa.int64()), ("fed", pa.int64()), ("codec", pa.int32()), ("param", pa.int32()), ("coded", pa.int64()), ("ms", pa.float64())])
+
+
+def tourney(units: DataFrame, level: str) -> DataFrame:
+    """(unit, data, filter) -> (unit, kind, filter, unpacked, fed, codec, param, coded, ms): each codec's run over a unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def raced() -> Iterator[dict]:
+            for row in _rows(batches):
+                data = row["data"] or b""
+                kind, _ = classify(data)
+                fed = apply_filter(row["filter"], data)
+                fed = data if fed is None else fed
+                for codec, param in field(kind, level):
+                    begun = time.perf_counter()
+                    coded = len(compress(codec, param, fed))
+                    yield {"unit": row["unit"], "kind": kind, "filter": row["filter"], "unpacked": len(data), "fed": len(fed), "codec": codec, "param": param, "coded": coded, "ms": (time.perf_counter() - begun) * 1000}
+
+        yield from batched(raced(), _RACED)
+
+    return units.select("unit", "data", "filter").mapInArrow(run, "unit long, kind string, filter int, unpacked long, fed long, codec int, param int, coded long, ms double")

@@ -17,6 +17,7 @@ import os
 import socket
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .. import functions as L
 from .. import model as M
 from ..operators.chunking import assemble, items
-from ..operators.codecs import pack_units, unpack_units
+from ..operators.codecs import pack_units, tourney, unpack_units
 from ..operators.ordering import running, upper_median
 from ..store import settled
 from .queries import selected
@@ -82,6 +83,10 @@ class Store:
             fs.delete(part, False)
             raise FileExistsError(name)
 
+    def size(self, name: str) -> int:
+        fs, path = self._at(name)
+        return fs.getContentSummary(path).getLength()
+
     def delete(self, name: str) -> None:
         fs, path = self._at(name)
         fs.delete(path, True)
@@ -107,6 +112,12 @@ def _sum(df: DataFrame) -> str:
     return f"{got[0]}:{got[1]}"
 
 
+def ordered(rows: DataFrame, column: str = "path", descending: bool = False) -> DataFrame:
+    """A listing by any of its columns; names by case-insensitive order first, ties by path."""
+    keys = [F.lower("path"), F.col("path")] if column == "path" else [F.col(column)]
+    return rows.orderBy(*[k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys], "path")
+
+
 class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.store = spark, root.rstrip("/"), Store(spark, root)
@@ -240,14 +251,18 @@ class Lake:
 
     # --- writing
 
-    def add(self, entries: DataFrame, batch: int | None = None) -> dict:
+    def add(self, entries: DataFrame, batch: int | None = None, trace: bool = False, progress: Callable[[dict], None] | None = None) -> dict:
         """Adds or replaces entries (path, content, and if there are any mtime, mtime_nanos, attrs, dir).
 
-        A batch number makes a replay of the same batch do nothing.
+        A batch number makes a replay of the same batch do nothing.  With `trace` the
+        generation keeps a table of its units.  `progress` is told of each phase as it
+        begins (scan, work, drain, commit, done) with what is known by then.
         """
+        tell = lambda phase, **known: progress({"phase": phase, "generation": self.generation, **known}) if progress else None
         if batch is not None and self.marker.get("batch", -1) >= batch:
             return {"files": 0, "dirs": 0, "bytes_in": 0, "bytes_stored": 0, "bytes_deduped": 0, "warnings": 0}
         with self._writing() as n:
+            tell("scan")
             work = f"{self.root}/{n}/work"
             have = set(entries.columns)
             col = lambda name, kind, default: (F.coalesce(F.col(name), F.lit(default)) if name in have else F.lit(default)).cast(kind).alias(name)
@@ -255,6 +270,8 @@ class Lake:
             refused = rows.where("path is null").count()
             rows = rows.where("path is not null").groupBy("path").agg(F.max_by(F.struct("content", "mtime", "mtime_nanos", "attrs", "dir"), F.struct("mtime", "mtime_nanos", F.sha2("content", 256))).alias("r")).select("path", "r.*")
             rows = settled(rows, f"{work}/rows")  # read several times below
+            if progress:
+                tell("work", **rows.agg(F.count_if(~F.col("dir")).alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes_in")).first().asDict())
             shape = self.marker["geometry"]
             parts = settled(items(rows.where("not dir"), shape), f"{work}/items")
             placed = settled(assemble(parts, shape["target"]), f"{work}/placed")
@@ -267,6 +284,11 @@ class Lake:
             # The last of equal units in the lake stands for a hash; else the first of this run does.
             known = self.units.groupBy("hash").agg(F.max("unit").alias("known"))
             first = staged.groupBy("hash").agg(F.min("unit").alias("first"), F.first(F.octet_length("data")).alias("len"), F.count(F.lit(1)).alias("copies")).join(known, "hash", "left")
+            if trace:
+                kind = F.min(F.when(F.col("size") >= M.CONFIDENT, F.col("kind")))
+                assembled = placed.join(numbered, ["group", "deal", "local"]).groupBy(F.col("seq").alias("unit")).agg(F.sum("len").alias("len"), F.count(F.lit(1)).alias("items"), F.max("cut").alias("cut"), F.coalesce(kind, F.lit("-")).alias("kind"), F.count_distinct(L.group_key(F.col("path"))).alias("exts"))
+                told = staged.select("unit", "hash").join(first.select("hash", "first", "known"), "hash").select("unit", (F.col("known").isNotNull() | (F.col("unit") != F.col("first"))).alias("deduped"))
+                settled(assembled.join(told, "unit").select("unit", "len", "items", "cut", "kind", "deduped", "exts"), f"{self.root}/{n}/unit_trace")
             base = (self.units.agg(F.max("unit")).first()[0] if not self.units.isEmpty() else -1) + 1
             fresh = settled(running(first.where("known is null").select("hash", "first"), ["first"], f"{work}/fresh-order", number="rank"), f"{work}/fresh")
             mapping = staged.select(F.col("unit").alias("seq"), "hash").join(first.select("hash", "known"), "hash").join(fresh.select("hash", "rank"), "hash", "left").select("seq", F.coalesce("known", F.col("rank") + base).alias("unit"))
@@ -276,6 +298,7 @@ class Lake:
             vote = votes.groupBy(F.col("seq").alias("first")).agg(F.min(F.struct((-F.col("n")).alias("n"), "filter", "kind")).alias("v")).select("first", "v.kind", "v.filter")
             packed = packed.join(vote.join(fresh.select("first", "rank"), "first").select((F.col("rank") + base).alias("unit"), "kind", "filter"), "unit", "left")
             packed = settled(pack_units(packed.repartition("unit"), self.marker["level"]), f"{work}/packed")
+            tell("drain")
             extents = unit_of.join(mapping, "seq").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("nth", F.struct("unit", "off", "len").alias("e")))).alias("x")).select("path", F.transform("x", lambda x: x["e"]).alias("extents"))
             new = rows.select("path", F.octet_length("content").cast("long").alias("size"), "mtime", "mtime_nanos", "attrs", "dir").join(extents, "path", "left").withColumn("extents", F.coalesce("extents", F.array().cast(M.FILES["extents"].dataType)))
             top = (self.files.agg(F.max("pos")).first()[0] if not self.files.isEmpty() else -1) + 1
@@ -286,8 +309,10 @@ class Lake:
             sums = staged.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
             stored = packed.agg(F.coalesce(F.sum("unpacked"), F.lit(0)), F.coalesce(F.sum("packed"), F.lit(0))).first()
             counts = new.agg(F.count_if(~F.col("dir")), F.count_if("dir")).first()
+            tell("commit", bytes_stored=stored[1])
             self._commit(settled(files, f"{work}/files"), self.units.unionByName(packed.select(M.UNITS.names)), packed, **({"batch": batch} if batch is not None else {k: self.marker[k] for k in ("batch",) if k in self.marker}))
             self.store.delete(f"{n}/work")
+            tell("done", files=counts[0], bytes_in=sums, bytes_stored=stored[1])
             return {"files": counts[0], "dirs": counts[1], "bytes_in": sums, "bytes_stored": stored[1], "bytes_deduped": sums - stored[0], "warnings": refused}
 
     def _picked(self, selectors: list[str]) -> DataFrame:
@@ -376,6 +401,16 @@ class Lake:
         solid = F.when(F.col("n") < 1, False).when(F.col("n") == 1, F.max("unpacked") != F.col("size")).otherwise(True)
         return joined.groupBy("path", "size", "dir", "n").agg(stored.alias("stored"), solid.alias("solid")).select("path", "size", "stored", "solid", "dir")
 
+    def folders(self, selectors: list[str] | None = None) -> DataFrame:
+        """(path, mtime, mtime_nanos, attrs) of the stored folders."""
+        files = self.files if selectors is None else self.files.join(self._picked(selectors), "path")
+        return files.where("dir").select("path", "mtime", "mtime_nanos", "attrs")
+
+    def stranded(self) -> int:
+        """Bytes in generations that no marker up to the opened one names: what broken or damaged writes left."""
+        held = {x[:-5] for x in self.store.names("_commits") if x.endswith(".json") and x[:-5].isdigit() and int(x[:-5]) <= self.generation}
+        return sum(self.store.size(x) for x in self.store.names("") if x.isdigit() and x not in held)
+
     def live(self) -> DataFrame:
         return self.units.join(self.extents.select("unit").distinct(), "unit", "left_semi")
 
@@ -393,6 +428,15 @@ class Lake:
         report = members.groupBy("unit").agg(F.sum("n").alias("files"), F.count(F.lit(1)).alias("exts"), F.when(best == "", "-").otherwise(best).alias("top_ext"))
         return self.units.join(report, "unit").select("unit", "unpacked", "packed", L.codec_name(F.col("codec")).alias("codec"), "param", "filter", "files", "exts", "top_ext")
 
+    def unit_trace(self, generation: int | None = None) -> DataFrame:
+        """(unit, len, items, cut, kind, deduped, exts) of the units that an `add` with `trace` assembled."""
+        return self.spark.read.parquet(f"{self.root}/{generation or self.generation}/unit_trace")
+
+    def tourney_trace(self, level: str | None = None) -> DataFrame:
+        """(unit, kind, filter, unpacked, fed, codec, param, coded, ms): every codec that races for each live unit, run again."""
+        live = unpack_units(self.live().join(self.payloads, "unit"))
+        return tourney(live.where("why is null").join(self.units.select("unit", "filter"), "unit"), level or self.marker["level"])
+
     def verdicts(self) -> DataFrame:
         """(unit, unpacked, why) of every live unit, and of units that extents name but nothing holds."""
         live = self.extents.select("unit").distinct().join(self.units, "unit", "left").join(self.payloads, "unit", "left")
@@ -408,6 +452,10 @@ class Lake:
         totals = got.agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("why").isNull()).alias("ok"), F.coalesce(F.sum(F.when(F.col("why").isNull(), F.col("unpacked"))), F.lit(0)).alias("bytes_ok"))
         return totals, self.extents.join(bad.select("unit", "why"), "unit").groupBy("path").agg(F.min("why").alias("why"), F.min("file_pos").alias("file_pos"))
 
+    def bad_units(self) -> DataFrame:
+        """(unit, why) of the live units that don't verify, in order."""
+        return self.verdicts().where("why is not null").select("unit", "why").orderBy("unit")
+
     def contents(self, selectors: list[str] | None = None) -> DataFrame:
         """(path, size, content, why): each unit is opened once, and its pieces go to their files."""
         picked = self.files.where("not dir") if selectors is None else self.files.where("not dir").join(self._picked(selectors), "path")

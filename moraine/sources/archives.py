@@ -8,6 +8,7 @@ recognised and refused by name, as no library here reads them.
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Iterator
 
@@ -17,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as L
+from ..operators.codecs import batched
 
+#: The bit of the attributes that means read-only (fixed value).
+READ_ONLY = 1
 ZIP_LEVELS = {"fast": 1, "normal": 6, "max": 9}
 _REFUSED = {"7z": "7z archives can't be read: no 7z library is installed", "rar": "RAR archives can't be read: this build has no RAR support"}
 
@@ -45,6 +49,9 @@ def kinds(spark: SparkSession, paths: str) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", L.sniff(F.col("content")).alias("kind"))
 
 
+_MEMBER = pa.schema([("archive", pa.string()), ("nth", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("why", pa.string())])
+
+
 def _members(data: bytes) -> Iterator[tuple[str, bytes | None, int, str | None]]:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
@@ -68,19 +75,19 @@ def read_archives(spark: SparkSession, paths: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("path", "kind", "content")}
-                if row["kind"] != "zip":
-                    out = [("", None, 0, _REFUSED.get(row["kind"], f"not an archive: {row['kind']}"))]
-                else:
-                    out = list(_members(row["content"]))
-                seen: set[str] = set()
-                for nth, (name, data, size, why) in enumerate(out):
-                    if name and name.lower() in seen:
-                        data, why = None, "another entry has this name"
-                    seen.add(name.lower())
-                    yield pa.RecordBatch.from_pydict({"archive": [row["path"]], "nth": pa.array([nth], pa.int32()), "path": [name], "size": pa.array([size], pa.int64()), "content": pa.array([data], pa.binary()), "why": pa.array([why], pa.string())})
+        def members() -> Iterator[dict]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {c: batch.column(c)[i].as_py() for c in ("path", "kind", "content")}
+                    found = _members(row["content"]) if row["kind"] == "zip" else iter([("", None, 0, _REFUSED.get(row["kind"], f"not an archive: {row['kind']}"))])
+                    seen: set[str] = set()
+                    for nth, (name, data, size, why) in enumerate(found):
+                        if name and name.lower() in seen:
+                            data, why = None, "another entry has this name"
+                        seen.add(name.lower())
+                        yield {"archive": row["path"], "nth": nth, "path": name, "size": size, "content": data, "why": why}
+
+        yield from batched(members(), _MEMBER, "content")
 
     files = spark.read.format("binaryFile").load(paths).select("path", L.sniff(F.col("content")).alias("kind"), "content")
     rows = files.mapInArrow(run, "archive string, nth int, path string, size long, content binary, why string")
@@ -121,12 +128,60 @@ def create_zips(entries: DataFrame, folder: str, level: str = "normal", archive:
     return entries.select(F.col(archive).alias("archive"), "path", "content").groupBy("archive").applyInArrow(run, "archive string, members long, bytes long")
 
 
+_META = ("mtime", "mtime_nanos", "attrs")
+
+
+def _meta(rows: DataFrame) -> list:
+    return [(F.col(x) if x in rows.columns else F.lit(None)).cast("long").alias(x) for x in _META]
+
+
+def _restore(store: pyarrow.fs.FileSystem, target: str, mtime: int | None, nanos: int | None, attrs: int | None) -> None:
+    """Time first, read-only last.  A time of 0 isn't known."""
+    if not isinstance(store, pyarrow.fs.LocalFileSystem):
+        return
+    if mtime:
+        ns = mtime * 10**9 + (nanos or 0)
+        os.utime(target, ns=(ns, ns))
+    if (attrs or 0) & READ_ONLY:
+        os.chmod(target, os.stat(target).st_mode & ~0o222)
+
+
+def extract_folders(folders: DataFrame, folder: str) -> int:
+    """Makes (path[, mtime, mtime_nanos, attrs]) of folders below a folder, empty ones too; how many.
+
+    To be called once the files are written: times and attributes come last, the
+    deepest folders first, one depth at a time, as a change inside a folder changes its time.
+    """
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    store, root = pyarrow.fs.FileSystem.from_uri(uri)
+    safe = folders.where(L.path_ok(F.col("path"))).select("path", *_meta(folders), L.depth(F.col("path")).alias("depth"))
+
+    def made(batches: Iterator[pa.RecordBatch], restore: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, *meta in zip(*(batch.column(c).to_pylist() for c in ("path", *_META))):
+                if restore:
+                    _restore(store, f"{root}/{path}", *meta)
+                else:
+                    store.create_dir(f"{root}/{path}", recursive=True)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    def run(rows: DataFrame, restore: bool) -> int:
+        return rows.select("path", *_META).mapInArrow(lambda batches: made(batches, restore), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    count = run(safe, False)
+    if isinstance(store, pyarrow.fs.LocalFileSystem) and count:
+        for level in range(safe.agg(F.max("depth")).first()[0], 0, -1):
+            run(safe.where(F.col("depth") == level), True)
+    return count
+
+
 def extract(contents: DataFrame, folder: str, policy: str = "fail") -> DataFrame:
-    """Writes (path, content, why) below a folder; returns (path, bytes, outcome).
+    """Writes (path, content, why, and if there are any mtime, mtime_nanos, attrs) below a folder; returns (path, bytes, outcome).
 
     `policy` is fail, skip or force.  With fail, all targets are looked at before
     anything is written.  Entries with a reason or an unsafe name are reported and
-    skipped; of names that differ in case only the first in order is written.
+    skipped; of names that differ in case only the first in order is written.  On
+    local file systems times come back, then the read-only attribute; others keep none.
     """
     if policy not in ("fail", "skip", "force"):
         raise ValueError(policy)
@@ -146,7 +201,8 @@ def extract(contents: DataFrame, folder: str, policy: str = "fail") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data, why in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "why"))):
+            out = []
+            for path, data, why, *meta in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "why", *_META))):
                 outcome, n = why, 0
                 if why is None:
                     target = f"{root}/{path}"
@@ -157,7 +213,10 @@ def extract(contents: DataFrame, folder: str, policy: str = "fail") -> DataFrame
                         with store.open_output_stream(f"{target}.part") as sink:
                             sink.write(data or b"")
                         store.move(f"{target}.part", target)
+                        _restore(store, target, *meta)
                         outcome, n = "written", len(data or b"")
-                yield pa.RecordBatch.from_pydict({"path": [path], "bytes": pa.array([n], pa.int64()), "outcome": [outcome]})
+                out.append((path, n, outcome))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.string()))], ["path", "bytes", "outcome"])
 
-    return rows.select("path", "content", "why").mapInArrow(run, "path string, bytes long, outcome string")
+    return rows.select("path", "content", "why", *_meta(rows)).mapInArrow(run, "path string, bytes long, outcome string")

@@ -102,6 +102,31 @@ def test_registered_functions(spark):
     assert spark.sql("SELECT sum(length) AS n FROM cdc_chunks(unhex(repeat('00112233', 5000)), 256, 1024, 4096)").first().n == 20_000
 
 
+def test_registered_paths_and_kinds(spark):
+    from moraine.functions.register import register
+
+    assert {"path_ok", "sniff", "zip_entries"} <= set(register(spark))
+    names = ["a/b.txt", "a//b", "../x", "a\\b", "con", "x/nul.txt", "end.", "end ", 'q"q', "tab\tx", "fine name.bin", "a:b", ".", "", None]
+    table = spark.createDataFrame([(x,) for x in names], "path string")
+    table.createOrReplaceTempView("some_names")
+    both = spark.sql("SELECT path, path_ok(path) AS ok FROM some_names").select("ok", L.path_ok(F.col("path")).alias("want")).collect()
+    assert [r.ok for r in both] == [r.want for r in both] and sum(bool(r.ok) for r in both) == 2
+    heads = spark.createDataFrame([(bytearray(bytes.fromhex(digits) + b"rest of it"),) for digits, _ in L.MAGIC] + [(bytearray(b"RIFF0000WAVEfmt "),), (bytearray(b"text"),), (bytearray(),), (None,)], "data binary")
+    heads.createOrReplaceTempView("some_heads")
+    kinds = [tuple(r) for r in spark.sql("SELECT data, sniff(data) AS kind FROM some_heads").select("kind", L.sniff(F.col("data"))).collect()]
+    assert all(a == b for a, b in kinds) and [a for a, _ in kinds][-4:-1] == ["wav", "other", "other"]
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        out.writestr("a/b.txt", "words " * 50)
+        out.writestr("c", "")
+    found = spark.sql(f"SELECT * FROM zip_entries(X'{held.getvalue().hex()}')").collect()
+    assert [(r.nth, r.path, r.size) for r in found] == [(0, "a/b.txt", 300), (1, "c", 0)]
+    assert spark.sql("SELECT * FROM zip_entries(X'00')").count() == 0
+
+
 def test_command_line(spark, tmp_path, capsys):
     from moraine.__main__ import run
 
@@ -115,6 +140,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert (tmp_path / "out/in/below/b.txt").read_text() == "other text"
     assert run(spark, ["create", f"file://{tmp_path}/z.zip", source]) == 0 and run(spark, ["list", f"file://{tmp_path}/z.zip"]) == 0
     assert "in/below/b.txt" in capsys.readouterr().out
+    assert run(spark, ["-j", "4", "list", lake, "--sort", "size", "--descending"]) == 0
+    shown = capsys.readouterr().out
+    assert shown.index("in/a.txt") < shown.index("in/below/b.txt")
 
 
 def test_parts_of_paths_and_times(spark):

@@ -201,3 +201,53 @@ def test_other_formats_are_refused(spark, tmp_path, version, words):
     lake.store.write("_commits/2.json", json.dumps(marker))
     with pytest.raises(Unreadable, match=words):
         Lake(spark, lake.root)
+
+
+def test_times_attributes_and_folders_come_back(spark, tmp_path):
+    from moraine.sources.archives import extract_folders
+
+    lake = Lake.create(spark, f"file://{tmp_path}/timed", "fast", target=8192)
+    rows = [("top/a.txt", b"words", 1_500_000_000, 250_000_000, 1, False), ("top/b.txt", b"", 0, 0, 0, False), ("top", None, 1_400_000_000, 0, 1, True), ("top/empty", None, 1_300_000_000, 0, 0, True), ("top/empty/deep", None, 0, 0, 0, True)]
+    lake.add(spark.createDataFrame(rows, "path string, content binary, mtime long, mtime_nanos long, attrs long, dir boolean"))
+    out = tmp_path / "out"
+    assert [r.outcome for r in extract(lake.contents(), str(out)).collect()] == ["written"] * 2
+    assert extract_folders(lake.folders(), str(out)) == 3
+    held = os.stat(out / "top/a.txt")
+    assert held.st_mtime_ns == 1_500_000_000_250_000_000 and not held.st_mode & 0o222 and os.stat(out / "top/b.txt").st_mode & 0o200
+    assert (out / "top/empty/deep").is_dir() and os.stat(out / "top/empty").st_mtime == 1_300_000_000
+    assert os.stat(out / "top").st_mtime == 1_400_000_000 and not os.stat(out / "top").st_mode & 0o222
+    assert {r.outcome for r in extract(lake.contents(["top/a.txt"]), str(tmp_path / "one")).collect()} == {"written"}
+
+
+def test_traces_progress_and_stranded_bytes(spark, tmp_path):
+    lake = Lake.create(spark, f"file://{tmp_path}/traced", "normal", target=4096)
+    seen = []
+    copies = [*ENTRIES[:3], ("src/docs/again.txt", ENTRIES[0][1])]
+    stats = lake.add(_entries(spark, copies), trace=True, progress=seen.append)
+    assert [x["phase"] for x in seen] == ["scan", "work", "drain", "commit", "done"]
+    assert seen[1]["files"] == 4 and seen[-1]["bytes_in"] == stats["bytes_in"] == sum(len(d) for _, d in copies)
+    trace = lake.unit_trace().collect()
+    assert sum(r.len for r in trace) == stats["bytes_in"] and sum(r.len for r in trace if r.deduped) == stats["bytes_deduped"] > 0
+    assert {r.kind for r in trace} >= {"text", "store"} and all(r.items >= 1 and r.exts >= 1 for r in trace)
+    raced = lake.tourney_trace().collect()
+    units = {r.unit: r for r in lake.units.collect()}
+    assert {r.unit for r in raced} == set(units) and all(r.unpacked == units[r.unit].unpacked and r.ms >= 0 for r in raced)
+    # The winner of the race is what was kept.
+    for unit, u in units.items():
+        assert u.packed <= min(r.coded for r in raced if r.unit == unit)
+    assert lake.stranded() == 0
+    os.makedirs(tmp_path / "traced/7/payloads")
+    (tmp_path / "traced/7/payloads/part").write_bytes(b"x" * 123)
+    assert lake.stranded() == 123 and lake.vacuum() == ["7"] and lake.stranded() == 0
+
+
+def test_listing_by_any_column(spark, root):
+    from moraine.plans.lake import ordered
+
+    listing = Lake(spark, root).listing()
+    rows = listing.collect()
+    for column in ("size", "stored", "path"):
+        key = (lambda r: (r.path.lower(), r.path)) if column == "path" else (lambda r: getattr(r, column))  # noqa: B023
+        for descending in (False, True):
+            got = [key(r) for r in ordered(listing, column, descending).collect()]
+            assert got == sorted(map(key, rows), reverse=descending)
