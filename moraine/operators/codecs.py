@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as M
@@ -728,8 +728,8 @@ def race_table(units: DataFrame, level: str = "max") -> DataFrame:
 
 def race(units: DataFrame, level: str = "max") -> DataFrame:
     """The winner of each unit: least bytes, the earliest in the field among equals."""
-    order = Window.partitionBy("unit").orderBy("coded", "place")
-    return race_table(units, level).withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth", "place")
+    best = race_table(units, level).groupBy("unit").agg(F.min(F.struct("coded", "place", "codec", "param")).alias("w"))
+    return best.select("unit", "w.codec", "w.param", "w.coded")
 
 
 _RACED = pa.schema([("unit", pa.int64()), ("kind", pa.string()), ("filter", pa.int32()), ("unpacked", pa.int64()), ("fed", pa.int64()), ("codec", pa.int32()), ("param", pa.int32()), ("coded", pa.int64()), ("ms", pa.float64())])

@@ -104,6 +104,24 @@ def work_order(spark, d):
     return work_list(spark, d, start="size").select("path", "gkey", "seq", "start")
 
 
+_FOLDERS = "f AS (SELECT DISTINCT array_to_string(list_slice(p, 1, i), '/') AS path, i AS depth FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(path, '/') AS p FROM tree)))"
+
+
+@query("folders_deepest", f"WITH {TREE}, {_FOLDERS} SELECT path, depth::INT AS depth, row_number() OVER (ORDER BY depth DESC, path) - 1 AS place FROM f")
+def folders_deepest(spark, d):
+    """Folders in the order in which their times and attributes come back: the deepest first."""
+    above = F.explode(F.slice(L.ancestors(F.col("path")), F.lit(1), L.depth(F.col("path")) - 1)).alias("path")
+    folders = tree(spark, d).select(above).distinct().withColumn("up", -L.depth(F.col("path")))
+    return running(folders, ["up", "path"], scratch(spark), number="place").select("path", (-F.col("up")).alias("depth"), "place")
+
+
+@query("entries_by_size", f"WITH {TREE} SELECT path, size, row_number() OVER (ORDER BY size DESC, path) - 1 AS place FROM tree")
+def entries_by_size(spark, d):
+    """Entries as a listing by size, the largest first, has them."""
+    rows = tree(spark, d).select("path", "size", (-F.col("size")).alias("less"))
+    return running(rows, ["less", "path"], scratch(spark), number="place").select("path", "size", "place")
+
+
 @query("content_hash", f"WITH {TREE} SELECT path, hash FROM tree")
 def content_hash(spark, d):
     return tree(spark, d).select("path", "hash")
