@@ -5,10 +5,15 @@ as "X wrote:" right before quoted lines announces them.  Lines of one level that
 stand side by side are a passage, and a quoted line without words ends one.  A
 passage is normalised (lower case, all white space single spaces, so line breaks
 don't count) and hashed.  What a message says itself offers its passages to be
-quoted: the whole of it, its paragraphs, and every run of up to `RUN` lines within a
-paragraph.  A quoted passage is joined to the first message of the same
-conversation that offers it, its original, and a message replies to the original
-that most of its shallowest linked passages come from, the latest among equals.
+quoted: the whole of it, its paragraphs, and every run of lines within a paragraph.
+Runs of up to `RUN` lines are all hashed; of the longer ones, which grow with the
+square of a paragraph's lines, those whose beginning some quoted passage of the
+conversation shares and that end at a line where that passage does.  A quoted
+passage is joined to the first message of the same conversation that offers it, its
+original, and a message replies to the original that most of its shallowest linked
+passages come from, the latest among equals.
+
+The SQL stops at runs of four lines; beyond those the operator links what it leaves out.
 
 A thread is named by its first message.  `format_chats` keeps every message, without
 quoted lines, announcements and white space around, and `conversations` orders each thread's messages so
@@ -33,8 +38,10 @@ from .common import drop_folder, scratch, settled
 QUOTED = r"^[ \t]*>"
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 ANNOUNCED = r"(?i)(?:\b(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*:[ \t]*)$"
-#: Lines of a paragraph that a quote may take out; quotes take whole paragraphs of any length.
+#: Runs of up to so many lines of a paragraph are hashed without looking at what is quoted.
 RUN = 4
+#: Of a quoted passage so many characters are looked up at most; what begins alike is then held against all of it.
+HEAD = 1024
 
 
 def _plain(text: Column) -> Column:
@@ -81,21 +88,50 @@ def _bare(line: Column) -> Column:
     return F.regexp_replace(line, _MARKS, "")
 
 
-def _hashed(rows: DataFrame, *columns: str) -> DataFrame:
-    """The `columns`, and two hashes of the column `passage`, normalised, where it has any word."""
-    plain = rows.select(*columns, _plain(F.col("passage")).alias("plain")).where("plain <> ''")
-    return plain.select(*columns, F.xxhash64("plain").alias("h1"), F.sha2("plain", 256).alias("h"))
-
+def _hashed(rows: DataFrame, *columns: str, head: bool = False) -> DataFrame:
+    """The `columns`, and two hashes of the column `passage`, normalised, where it has any word.
 
-def _offered(said: DataFrame) -> DataFrame:
-    """(c, t, passage) of all that the lines `said` (c, t, lines) may be quoted by."""
+    `head` adds its length, the largest power of two in that up to `HEAD`, and a hash of so many characters at its beginning.
+    """
+    plain = rows.select(*columns, _plain(F.col("passage")).alias("plain")).where("plain <> ''")
+    held = plain.select(*columns, F.xxhash64("plain").alias("h1"), F.sha2("plain", 256).alias("h"), *([F.length("plain").alias("length"), F.col("plain")] if head else []))
+    if not head:
+        return held
+    held = held.withColumn("power", F.least(F.expr("shiftleft(1, length(bin(length)) - 1)"), F.lit(HEAD)))
+    return held.withColumn("head", F.xxhash64(F.substring("plain", F.lit(1), F.col("power")))).drop("plain")
+
+
+def _long_runs(paragraphs: DataFrame, quoting: DataFrame, folder: str) -> DataFrame:
+    """(c, t, passage) of the runs of more than `RUN` lines that a passage of `quoting` may be; `paragraphs` has (c, t, lines)."""
+    # Each paragraph by the first message that has it, its normalised lines, and where they begin in its text of them, the end plus one last.
+    lengths = F.transform("lines", lambda x: F.length(_plain(x)))
+    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n + 1))
+    by = paragraphs.where(F.size("lines") > RUN).groupBy("c", "lines").agg(F.min("t").alias("t"))
+    held = settled(by.select("c", "t", "lines", starts.alias("starts"), F.transform("lines", _plain).alias("plain"), F.monotonically_increasing_id().alias("p")), f"{folder}/paragraphs")
+    # `RUN` + 1 lines have so many characters at least, with the spaces between them.
+    wanted = quoting.where(F.col("length") > 2 * RUN).select("c", "power", "head", "length").distinct()
+    powers = wanted.groupBy("c").agg(F.collect_set("power").alias("powers"))
+    # All beginnings of a paragraph come from one row, as rows of one start each would repeat its lines; k characters are k / 2 + 1 lines at most.
+    fitting = lambda i: F.filter("powers", lambda k: i + k < F.element_at("starts", -1))
+    begin = lambda j, k: F.substring(F.array_join(F.slice("plain", j + 1, F.shiftright(k, 1) + 1), " "), F.lit(1), k)
+    begun = F.transform(F.slice("starts", F.lit(1), F.size("lines") - RUN), lambda i, j: F.transform(fitting(i), lambda k: F.struct(i.alias("start"), k.alias("power"), F.xxhash64(begin(j, k)).alias("head"))))
+    heads = held.join(powers, "c").select("c", "p", F.explode(F.flatten(begun)).alias("x"))
+    hits = heads.select("c", "p", "x.*").join(wanted, ["c", "power", "head"]).groupBy("p").agg(F.collect_set(F.struct("start", "length")).alias("hits"))
+    first = lambda x: F.array_position("starts", x["start"]).cast("int")
+    after = lambda x: F.array_position("starts", x["start"] + x["length"] + 1).cast("int")
+    ended = F.filter("hits", lambda x: after(x) > first(x) + RUN)
+    return held.join(hits, "p").select("c", "t", F.explode(F.transform(ended, lambda x: F.array_join(F.slice("lines", first(x), after(x) - first(x)), "\n"))).alias("passage"))
+
+
+def _offered(said: DataFrame, quoting: DataFrame, folder: str) -> DataFrame:
+    """(c, t, passage) of all that the lines `said` (c, t, lines) may be quoted by, of longer runs what `quoting` may hold."""
     whole = said.select("c", "t", F.array_join("lines", "\n").alias("passage"))
     paragraphs = said.select("c", "t", F.explode(_grouped(F.col("lines"), lambda x: F.when(_blank(x), 0).otherwise(1))).alias("block")).select("c", "t", F.col("block.lines").alias("lines"))
     n = F.size("lines")
     starts = F.sequence(F.lit(1), n)
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), n - i + 1)), lambda k: F.array_join(F.slice("lines", i, k), "\n"))))
     cut = paragraphs.select("c", "t", F.explode(F.array_append(runs, F.array_join("lines", "\n"))).alias("passage"))
-    return whole.union(cut)
+    return whole.union(cut).union(_long_runs(paragraphs, quoting, folder))
 
 
 def _linked(messages: DataFrame, conv: str, turn: str, role: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -108,16 +144,16 @@ def _linked(messages: DataFrame, conv: str, turn: str, role: str, text: str, kee
     lines = rows.where("t is not null and text is not null")
     quoting = lines.where(F.col("text").rlike(r"(?m)" + QUOTED)).select("c", "t", "digest", F.explode(_grouped(F.split("text", "\n"), lambda x: F.when(_blank(_bare(x)), 0).otherwise(_depth(x)))).alias("block"))
     quoting = quoting.select("c", "t", "digest", F.col("block.level").alias("depth"), F.array_join(F.transform("block.lines", _bare), "\n").alias("passage"))
-    quoting = settled(_hashed(quoting, "c", "t", "digest", "depth"), f"{folder}/quoted")
+    quoting = settled(_hashed(quoting, "c", "t", "digest", "depth", head=True), f"{folder}/quoted")
     # Only conversations with quotes offer anything, only passages that somebody quotes are looked up, each by the first message that has it.
     said = lines.join(quoting.select("c").distinct(), "c", "left_semi").select("c", "t", _unquoted(F.col("text")).alias("lines"))
-    offered = _hashed(_offered(said), "c", "t")
+    offered = _hashed(_offered(said, quoting, folder), "c", "t")
     first = offered.join(quoting.select("c", "h1", "h").distinct(), ["c", "h1", "h"], "left_semi").groupBy("c", "h1", "h").agg(F.min("t").alias("original"))
     linked = quoting.join(first, ["c", "h1", "h"]).where("original < t")
     votes = linked.groupBy("c", "t", "digest", "original").agg(F.min("depth").alias("depth"), F.count(F.lit(1)).alias("n"))
     replies = votes.groupBy("c", "t", "digest").agg(F.sum("n").alias("n_linked"), F.max_by("original", F.struct(-F.col("depth"), F.col("n"), F.col("original"))).alias("reply_to"))
     replies = settled(replies, f"{folder}/replies")
-    drop_folder(messages.sparkSession, f"{folder}/quoted")
+    drop_folder(messages.sparkSession, f"{folder}/quoted", f"{folder}/paragraphs")
     paths = _paths(replies, folder)
     quoted = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(QUOTED)))
     joined = rows.join(replies, ["c", "t", "digest"], "left").join(paths.select("c", F.col("t").alias("reply_to"), F.col("path").alias("above")), ["c", "reply_to"], "left")

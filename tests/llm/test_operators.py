@@ -383,6 +383,43 @@ def test_chat_quotes_of_generated_threads(spark):
     assert sorted(map(str, db.sql(quotes.ORACLE).select(", ".join(names)).fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in out)
 
 
+def test_chat_quotes_of_long_runs(spark):
+    """Quotes of five and more lines from inside longer paragraphs, wrapped anew, with lines and beginnings that many messages share."""
+    duckdb = pytest.importorskip("duckdb")
+    rng, rows, want = random.Random(52), [], {}
+    shared = [" ".join(_words(rng, 5, 9000)) for _ in range(6)]
+    for c in range(12):
+        bodies = {}
+        for t in range(8):
+            body = [" ".join(_words(rng, rng.randrange(1, 9), 9000)) for _ in range(rng.randrange(9, 30))]
+            body[3:3] = shared  # all messages have these; only what follows tells them apart
+            if c % 3 == 0:
+                body = [x.replace("w", "Ж\t") for x in body]
+            said, parent = list(body), None
+            if t and rng.random() < 0.8:
+                parent = rng.randrange(t)
+                a = rng.choice([0, 1, 2, 3, 9])
+                words = " ".join(bodies[parent][a : a + rng.randrange(7, 12)]).split()
+                cut = rng.randrange(1, len(words))
+                said = [f"> {' '.join(words[:cut])}", f">{' '.join(words[cut:])}", "", *body]
+            bodies[t] = body
+            want[c, t] = parent
+            rows.append((c, t, "u", "\n".join(said)))
+    # A run that ends within a line is none; lines all alike are quoted by number.
+    rows += [(50, 0, "u", "\n".join(f"line {i} of it" for i in range(20))), (50, 1, "u", "> " + " ".join(f"line {i} of it" for i in range(2, 9)) + " line"), (50, 2, "u", "> " + " ".join(f"line {i} of it" for i in range(2, 9)))]
+    rows += [(51, 0, "u", "\n".join(["ha"] * 7)), (51, 1, "u", "\n".join(["ha"] * 400)), (51, 2, "u", "> " + "ha " * 300), (51, 3, "u", "> " + "ha " * 6)]
+    want |= {(50, 0): None, (50, 1): None, (50, 2): 0, (51, 0): None, (51, 1): None, (51, 2): 1, (51, 3): 0}
+    table = spark.createDataFrame(rows, CHAT)
+    out = quotes.format_chats(table).collect()
+    assert {(r.conv_id, r.turn): r.reply_to for r in out} == want
+    db = duckdb.connect()
+    db.register("conversations", table.where("conv_id <> 51").toArrow())
+    names = ["conv_id", "turn", "role", "text", "n_quoted", "n_linked", "reply_to", "thread", "depth"]
+    whole = quotes.ORACLE.replace("range(1, 5)", "range(1, 60)")  # the SQL, without its bound on the lines of a run
+    assert whole != quotes.ORACLE
+    assert sorted(map(str, db.sql(whole).select(", ".join(names)).fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in out if r.conv_id != 51)
+
+
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_decontamination(spark, broadcast):
     rng = random.Random(9)
