@@ -43,7 +43,8 @@ from .hashing import hashes_of, mix, parts
 FREQUENT, CROWD = 1 << 18, 128
 #: So many wanted lines (of 28 bytes) are sent to all tasks at most; beyond that texts are dealt out to meet them.
 BROADCAST_LINES = 150_000
-_BATCH = {"most_bytes": 8 << 20, "most_rows": 20_000}
+#: Slices of text that are held at once: the arrays of its lines' sets take many times a text, those of a count fewer.
+_COUNTED, _SLICED = ({"most_bytes": n << 20, "most_rows": 20_000} for n in (4, 1))
 _PLACE = ("id", "row", "nth")
 
 
@@ -60,7 +61,7 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts(batches, "text", **_BATCH):
+    for batch in parts(batches, "text", **_COUNTED):
         _, words, _, at = _split(batch.column("text"))
         n = np.bincount(at, minlength=len(words))
         yield pa.RecordBatch.from_arrays([pa.array(hashes_of(words).view(np.int64)[n > 0]), pa.array(n[n > 0])], ["word", "n"])
@@ -114,7 +115,7 @@ def line_sets(texts: pa.Array, frequent: np.ndarray, counts: np.ndarray) -> tupl
 
 def _lines(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "text", **_BATCH):
+        for batch in parts(batches, "text", **_SLICED):
             text, nth, sets = line_sets(batch.column("text"), *held.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(text)) for c in ("id", "row")), pa.array(nth.astype(np.int32)), *sets.columns], [*_PLACE, *sets.schema.names])
 

@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
@@ -326,6 +329,20 @@ def test_line_dedup_tells_null_and_equal_ids_apart(spark):
     assert got == sorted((str(i), str(t), r) for i, t, r in want)
 
 
+def test_line_sets_take_little_memory():
+    """The arrays of a worker are bounded by a slice of its texts, and slices change no line."""
+    rng = random.Random(8)
+    texts = ["\n".join(" ".join(_words(rng, 12, 20_000)) for _ in range(400)) for _ in range(300)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    whole = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["id", "row", "text"])
+    held = SimpleNamespace(value=(np.empty(0, np.uint64), np.empty(0, np.int64)))
+    tracemalloc.start()
+    seen = sum(x.num_rows for x in linedup._lines(held)(iter([whole])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 120_000 and peak < 50 << 20
+
+
 def test_word_hashes_of_arrays():
     import pyarrow as pa
 
