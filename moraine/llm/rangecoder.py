@@ -32,43 +32,82 @@ _CONTEXTS = 32
 _ONE = np.uint64(1 << SHARE)
 _LEAST = np.uint64(1 << 32)
 _WORD = np.uint64(32)
+#: Least shares of order 2 and of both; what is added to an entry by its confidence, and by that plus 4 where it was right.
+_FLOOR = np.array([64, 128], np.int32)
+_STEP = np.array([0, -1, -1, -2, 1, 1, 1, 0], np.int32).view(np.uint32)
+_SPAN = np.int32(64448)
+_BY_LAST, _BY_BEFORE, _BY_BOTH, _HIGH, _TWO = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 20, 2))
+_BYTE_TWO, _THREE = np.uint8(2), np.uint8(3)
+#: Steps whose contexts and bounds are taken at once.
+_STEPS = 32
 
 
 class _Models:
-    """The models of all blocks of a group; both directions use them alike."""
+    """The models of all blocks of a group; both directions use them alike.
+
+    What orders 1 and 2 hold stands in one vector, order 1 first, so each operation serves both.
+    """
 
     def __init__(self, blocks: int):
-        self.base = np.arange(blocks) * _SLOTS
+        self.blocks, both = blocks, 2 * blocks
+        self.base = np.arange(both) * _SLOTS
         self.corner = np.arange(blocks) * _CONTEXTS
-        self.after = [np.zeros(blocks * _SLOTS, np.uint32) for _ in range(2)]
-        self.two = np.full(blocks * _CONTEXTS, 8192, np.int32)
-        self.both = np.full(blocks * _CONTEXTS, 12288, np.int32)
-        self.last = np.zeros(blocks, np.uint32)
-        self.mixed = np.zeros(blocks, np.uint32)
-
-    def predict(self) -> None:
-        """Sets the guesses of orders 1 and 2, and the upper bounds of the shares of order 2 and of both."""
-        h = self.last * np.uint32(0x9E3779B1)
-        self.slots = (self.base + (h >> np.uint32(20)), self.base + ((self.mixed + h) * np.uint32(0xC2B2AE35) >> np.uint32(20)))
-        self.entries = tuple(table[slot] for table, slot in zip(self.after, self.slots))
-        one, two = self.entries
-        self.one, self.deep = one >> np.uint32(2), two >> np.uint32(2)
-        state = ((two & np.uint32(3)) << np.uint32(3)) | ((one & np.uint32(3)) << np.uint32(1)) | (self.one == self.deep)
+        self.after = np.zeros(both * _SLOTS, np.uint32)
+        self.shares = np.tile(np.array([8192, 12288], np.int32), blocks * _CONTEXTS).view(np.int64)
+        self.floor = np.tile(_FLOOR, blocks)
+        self.slots, self.hash = np.zeros(both, np.int64), np.zeros(both, np.uint32)
+        self.guess, self.fresh = np.zeros((2, both), np.uint32)
+        self.one, self.deep = self.guess[:blocks], self.guess[blocks:]
+        self.right, self.hits = np.zeros((2, both), bool)
+        self.is_one, self.is_two = self.right[:blocks], self.right[blocks:]
+        self.hit_two, self.known = self.hits[::2], self.hits[1::2]
+        self.target = np.zeros(both, np.int32)
+
+    def places(self, last: np.ndarray, before: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The places of the contexts of orders 1 and 2 after the ids `last` and, before them, `before`; `out` is of as many steps."""
+        h = self.hash if out.ndim == 1 else np.empty(out.shape, np.uint32)
+        one, deep = h[..., : self.blocks], h[..., self.blocks :]
+        np.multiply(last, _BY_LAST, out=one)
+        np.multiply(before, _BY_BEFORE, out=deep)
+        deep += one
+        deep *= _BY_BOTH
+        h >>= _HIGH
+        return np.add(self.base, h, out=out)
+
+    def predict(self, slots: np.ndarray) -> None:
+        """Sets the guesses of orders 1 and 2, and `pair`, the shares of order 2 and of both of each block."""
+        self.at_slots = slots
+        self.entries = self.after[slots]
+        np.right_shift(self.entries, _TWO, out=self.guess)
+        self.sure = self.entries.astype(np.uint8)
+        self.sure &= _THREE
+        state = self.sure[self.blocks :] << _BYTE_TWO
+        state |= self.sure[: self.blocks]
+        state += state
+        state += self.one == self.deep
         self.at = self.corner + state
-        self.share_two, self.share_both = self.two[self.at], self.both[self.at]
-        self.upto_two, self.upto_both = (self.share_two >> 4).astype(np.uint64), (self.share_both >> 4).astype(np.uint64)
-
-    def learn(self, ids: np.ndarray, is_two: np.ndarray, known: np.ndarray) -> None:
-        """`ids` are what came; `is_two` where order 2 was right, `known` where order 2 or 1 was."""
-        self.two[self.at] = self.share_two + ((64 + is_two * 64448 - self.share_two) >> _RATE)
-        self.both[self.at] = self.share_both + ((128 + known * 64448 - self.share_both) >> _RATE)
-        fresh = ids << np.uint32(2)
-        for table, slot, entry, right in ((self.after[0], self.slots[0], self.entries[0], ids == self.one), (self.after[1], self.slots[1], self.entries[1], is_two)):
-            sure = entry & np.uint32(3)
-            kept = entry - ((sure + np.uint32(1)) >> np.uint32(1))
-            table[slot] = np.where(right, entry + (sure < 3), np.where(sure == 0, fresh, kept))
-        self.mixed = self.last * np.uint32(0x85EBCA6B)
-        self.last = ids
+        self.share = self.shares[self.at]
+        self.pair = self.share.view(np.int32)
+
+    def learn(self, ids: np.ndarray) -> None:
+        """`ids` are what came; sets `is_two` where order 2 was right, `known` where order 2 or 1 was."""
+        np.equal(self.one, ids, out=self.is_one)
+        np.equal(self.deep, ids, out=self.is_two)
+        self.hit_two[:] = self.is_two
+        np.logical_or(self.is_one, self.is_two, out=self.known)
+        target = self.target
+        np.multiply(self.hits, _SPAN, out=target)
+        target += self.floor
+        target -= self.pair
+        target >>= _RATE
+        self.pair += target
+        self.shares[self.at] = self.share
+        np.left_shift(ids, _TWO, out=self.fresh[: self.blocks])
+        self.fresh[self.blocks :] = self.fresh[: self.blocks]
+        sure = self.right.view(np.uint8) << _BYTE_TWO
+        sure |= self.sure
+        self.entries += _STEP.take(sure, mode="clip")
+        self.after[self.at_slots] = np.where(sure, self.entries, self.fresh)
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,36 +141,54 @@ def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[tu
     out, at = np.zeros((blocks, steps // 2 + 64), np.int64), np.ones(blocks, np.int64)
     models = _Models(blocks)
     short = int(sizes.min())
+    unit, fine, add, size, more = (np.zeros(blocks, np.uint64) for _ in range(5))
     with np.errstate(over="ignore"):
-        for step in range(steps):
-            now = grid[step]
-            models.predict()
-            is_two = now == models.deep
-            is_one = (now == models.one) & ~is_two
-            known = is_two | is_one
-            unit = width >> np.uint64(SHARE)
-            upto_two, upto_both = models.upto_two, models.upto_both
-            fine = ((_ONE - upto_both) * unit) >> np.uint64(TOTAL)
-            add = np.where(known, np.where(is_two, np.uint64(0), upto_two * unit), upto_both * unit + start[now] * fine)
-            size = np.where(known, np.where(is_two, upto_two, upto_both - upto_two) * unit, freq[now] * fine)
-            if step >= short:
-                live = step < sizes
-                add, size = np.where(live, add, np.uint64(0)), np.where(live, size, width)
-            low += add
-            width = size
-            carried = np.flatnonzero(low < add)
-            out[carried, at[carried] - 1] += 1
-            who = np.flatnonzero(width < _LEAST)
-            if len(who):
-                bound = low[who]
-                place = at[who]
-                if place.max() + 4 > out.shape[1]:
-                    out = np.concatenate([out, np.zeros_like(out)], axis=1)
-                out[who, place] = (bound >> _WORD).astype(np.int64)
-                at[who] = place + 1
-                low[who] = bound << _WORD
-                width[who] <<= _WORD
-            models.learn(now, is_two, known)
+        shift, total = np.uint64(SHARE), np.uint64(TOTAL)
+        for begin in range(0, steps, _STEPS):
+            now = grid[begin : begin + _STEPS]
+            ago = np.concatenate([np.zeros((2, blocks), np.uint32), grid[max(begin - 2, 0) : begin + len(now) - 1]])[-len(now) - 1 :]
+            slots = models.places(ago[1:], ago[:-1], np.empty((len(now), 2 * blocks), np.int64))
+            is_two, known = np.zeros((2, *now.shape), bool)
+            share = np.zeros((len(now), 2 * blocks), np.int32)
+            for k in range(len(now)):
+                models.predict(slots[k])
+                share[k] = models.pair
+                models.learn(now[k])
+                is_two[k], known[k] = models.is_two, models.known
+            share >>= 4
+            upto_two, upto_both = share[:, ::2].astype(np.uint64), share[:, 1::2].astype(np.uint64)
+            # A bound is so many units and so many fine ones, the latter for ids that neither order predicts.
+            from_unit = np.where(known, np.where(is_two, np.uint64(0), upto_two), upto_both)
+            units = np.where(known, np.where(is_two, upto_two, upto_both - upto_two), np.uint64(0))
+            from_fine, fines = np.where(known, np.uint64(0), start[now]), np.where(known, np.uint64(0), freq[now])
+            left = _ONE - upto_both
+            for k in range(len(now)):
+                np.right_shift(width, shift, out=unit)
+                np.multiply(left[k], unit, out=fine)
+                np.right_shift(fine, total, out=fine)
+                np.multiply(from_unit[k], unit, out=add)
+                np.multiply(from_fine[k], fine, out=more)
+                np.add(add, more, out=add)
+                np.multiply(units[k], unit, out=size)
+                np.multiply(fines[k], fine, out=more)
+                np.add(size, more, out=size)
+                if begin + k >= short:
+                    live = begin + k < sizes
+                    add, size = np.where(live, add, np.uint64(0)), np.where(live, size, width)
+                np.add(low, add, out=low)
+                np.copyto(width, size)
+                carried = np.flatnonzero(low < add)
+                out[carried, at[carried] - 1] += 1
+                who = np.flatnonzero(width < _LEAST)
+                if len(who):
+                    bound = low[who]
+                    place = at[who]
+                    if place.max() + 4 > out.shape[1]:
+                        out = np.concatenate([out, np.zeros_like(out)], axis=1)
+                    out[who, place] = (bound >> _WORD).astype(np.int64)
+                    at[who] = place + 1
+                    low[who] = bound << _WORD
+                    width[who] <<= _WORD
     lane = np.arange(blocks)
     for word in (low >> _WORD, low & np.uint64(0xFFFFFFFF)):
         out[lane, at] = word.astype(np.int64)
@@ -164,18 +221,26 @@ def decode(used: np.ndarray, scaled: np.ndarray, blocks: list[tuple[int, int, by
     grid = np.zeros((steps, count), np.uint16)
     models = _Models(count)
     last = np.uint64((1 << TOTAL) - 1)
+    now = before = np.zeros(count, np.uint32)
     with np.errstate(over="ignore"):
+        shift, total, one = np.uint64(SHARE), np.uint64(TOTAL), np.uint64(1)
         for step in range(steps):
-            models.predict()
-            unit = width >> np.uint64(SHARE)
-            upto_two, upto_both = models.upto_two, models.upto_both
+            models.predict(models.places(now, before, models.slots))
+            upto = (models.pair >> 4).astype(np.uint64)
+            upto_two, upto_both = upto[::2], upto[1::2]
+            unit = width >> shift
             edge_two, edge_both = upto_two * unit, upto_both * unit
-            is_two, known = code < edge_two, code < edge_both
-            fine = np.maximum(((_ONE - upto_both) * unit) >> np.uint64(TOTAL), np.uint64(1))
-            rare = id_at[np.minimum((code - edge_both) // fine, last)]
-            now = np.where(known, np.where(is_two, models.deep, models.one), rare)
-            add = np.where(known, np.where(is_two, np.uint64(0), edge_two), edge_both + start[rare] * fine)
-            size = np.where(known, np.where(is_two, edge_two, edge_both - edge_two), freq[rare] * fine)
+            is_two = code < edge_two
+            add = np.where(is_two, np.uint64(0), edge_two)
+            size = np.where(is_two, edge_two, edge_both - edge_two)
+            before, now = now, np.where(is_two, models.deep, models.one)
+            rare = np.flatnonzero(code >= edge_both)
+            if len(rare):
+                base = edge_both[rare]
+                fine = np.maximum(((_ONE - upto_both[rare]) * unit[rare]) >> total, one)
+                found = id_at[np.minimum((code[rare] - base) // fine, last).view(np.int64)]
+                now[rare] = found
+                add[rare], size[rare] = base + start[found] * fine, freq[found] * fine
             if step >= short:
                 live = step < sizes
                 add, size = np.where(live, add, np.uint64(0)), np.where(live, size, width)
@@ -188,7 +253,7 @@ def decode(used: np.ndarray, scaled: np.ndarray, blocks: list[tuple[int, int, by
                 code[who] = (code[who] << _WORD) | words[np.minimum(place, most[who])]
                 at[who] = place + 1
                 width[who] <<= _WORD
-            models.learn(now.astype(np.uint32), is_two, known)
+            models.learn(now)
     parts = [grid[:n, b] for b, n in enumerate(sizes.tolist())]
     for part, (_, crc, _) in zip(parts, blocks):
         if zlib.crc32(np.ascontiguousarray(part, "<u2")) != crc:

@@ -7,8 +7,8 @@ its ids, and every block of at most `BLOCK` ids is coded from fresh models and h
 its own checksum, so a damaged block is noticed and costs no other group.
 
 Encoding remembers words: a tokenizer that drops white space and never joins
-across it gives a text the ids of its words in turn, so the library encodes each
-distinct word of a task once.  `by_word` reads from the tokenizer's own definition
+across it gives a text the ids of its words in turn, so the library encodes a word
+that a worker knows no second time.  `by_word` reads from the tokenizer's own definition
 whether it is of that kind; texts are encoded whole by any other.
 
 Layout of a file: groups, each `MAGIC`, five little-endian uint32 (documents, ids,
@@ -31,7 +31,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,10 @@ MAGIC = b"MRNT2\n"
 #: Ids of a group at most, and of a block.
 GROUP, BLOCK = 1 << 23, 4096
 END = 1
+#: Follows each word of a text of `JOINED` words that the library is given.
+MARK, JOINED = "\x01", 256
+#: Characters of all words that a worker knows at most, between batches.
+MOST_CHARS = 16 << 20
 #: Bytes of a task's texts, by the plan's own estimate, above which there are more tasks than shuffle partitions.
 TASK_BYTES = 128 << 20
 _WHITE = "\t\n\x0b\x0c\r "
@@ -85,7 +90,14 @@ def by_word(definition: dict) -> bool:
 
 
 class Encoder:
-    """Ids of texts, word by word where that is the same."""
+    """Ids of texts, word by word where that is the same.
+
+    The library is given many words at a time, each followed by `MARK`, where the
+    tokenizer works on bytes: then the mark's only id can come from nothing but the
+    mark, and words that hold it are encoded one by one.  Of more than `most_words`
+    known words only those that were met in several batches stay, or none where these
+    are too many as well, or where all words have more than `MOST_CHARS` characters.
+    """
 
     def __init__(self, path: str, most_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -93,30 +105,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as source:
-            self.by_word = by_word(json.load(source))
+            definition = json.load(source)
+        self.by_word = by_word(definition)
         if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) > 0xFFFF:
             raise ValueError(f"{path}: files hold ids of 16 bits, and this tokenizer has larger ones")
+        bytewise = definition["model"]["type"] == "BPE" and any(x["type"] == "ByteLevel" for x in _flat(definition.get("pre_tokenizer"), "pretokenizers"))
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids if self.by_word and bytewise else []
+        self.mark = mark[0] if len(mark) == 1 else None
         self.most = most_words
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.arena, self.used = np.empty(1 << 16, np.uint16), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.chars = 0
+        self.arena = np.empty(0, np.uint16)
+        self.starts, self.lengths, self.met = (np.zeros(1, np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        """Forgets words, where there are too many, all but those met in several batches first."""
+        often = self.met > 1
+        often[0] = True
+        if 2 * int(often.sum()) > self.most:
+            self._forget()
+            return
+        lengths, at = self.lengths[often], np.flatnonzero(often)
+        ends = np.cumsum(lengths)
+        self.arena = self.arena[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(int(ends[-1]))]
+        self.starts, self.lengths, self.met = ends - lengths, lengths, np.zeros(len(at), np.int64)
+        place = np.cumsum(often) - 1
+        self.known = {x: int(place[n]) for x, n in self.known.items() if often[n]}
+        self.chars = sum(map(len, self.known))
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in turn, and their numbers."""
+        if self.mark is not None and not any(MARK in x for x in words):
+            after = f" {MARK} "
+            texts = [after.join([*words[a : a + JOINED], ""]) for a in range(0, len(words), JOINED)]
+            # Few texts at a time: what the library returns takes many times the memory of its ids.
+            ids = np.concatenate([np.array(x.ids, np.uint16) for a in range(0, len(texts), 32) for x in self.tokenizer.encode_batch_fast(texts[a : a + 32], add_special_tokens=False)])
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(words):
+                return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+        listed = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, listed), np.int64, len(listed))
+        return np.fromiter(chain.from_iterable(listed), np.uint16, int(lengths.sum())), lengths
 
     def _learn(self, words: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, n = int(lengths.sum()), len(self.known)
-        while self.used + total > len(self.arena):
-            self.arena = np.concatenate([self.arena, np.empty_like(self.arena)])
-        while n + len(words) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-        self.arena[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint16, total)
-        self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[n : n + len(words)] = lengths
+        ids, lengths = self._ids(words)
+        self.starts = np.concatenate([self.starts, len(self.arena) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.met = np.concatenate([self.met, np.zeros_like(lengths)])
+        self.arena = np.concatenate([self.arena, ids])
+        self.chars += sum(map(len, words))
+        n = len(self.known)
         self.known.update(zip(words, range(n, n + len(words))))
-        self.used += total
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and their numbers; a null is empty."""
@@ -129,22 +171,34 @@ class Encoder:
         return np.fromiter(chain.from_iterable(ids), np.uint16, int(counts.sum())), counts
 
     def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > self.most:
+        if self.chars > MOST_CHARS:
             self._forget()
+        elif len(self.known) > self.most:
+            self._shrink()
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [x for x in distinct if x not in self.known]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
-        lengths = self.lengths[at]
+        place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            n = len(self.known)
+            self._learn([distinct[x] for x in new.tolist()])
+            place[new] = np.arange(n, n + len(new))
+        self.met[place] += 1
+        at = np.asarray(coded.indices)
+        lengths = self.lengths[place][at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.arena[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(int(ends[-1]))]
+        ids = self.arena[np.repeat(self.starts[place][at] - ends[:-1], lengths) + np.arange(int(ends[-1]))]
         upto = ends[np.asarray(words.offsets)]
         return np.insert(ids, upto[1:], END), np.diff(upto) + 1
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, changed: int) -> Encoder:
+    """The encoder of a worker, which later tasks use again with the words it knows."""
+    return Encoder(path)
+
+
 def _group(ids: np.ndarray, counts: np.ndarray, docs: list[int | None]) -> bytes:
     used, scaled, blocks = encode(ids, BLOCK)
     code = b"".join(x for _, _, x in blocks)
@@ -193,7 +247,8 @@ def _writer(folder: str, path: str | None):
         for batch in parts(batches, "text", most_bytes=4 << 20, most_rows=10_000):
             if sink is None:
                 sink = store.open_output_stream(f"{root}/{name}")
-                encoder = Encoder(path or public_tokenizers.path("word_bpe_49k.json"))
+                held_at = path or public_tokenizers.path("word_bpe_49k.json")
+                encoder = _encoder(str(held_at), os.stat(held_at).st_mtime_ns)
             ids, counts = encoder.of(batch.column("text"))
             if size and size + len(ids) > GROUP:
                 flush()

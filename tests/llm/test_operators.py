@@ -698,6 +698,36 @@ def test_tokenizers_are_told_by_their_definition(tmp_path):
         assert not tokens.by_word(json.load(source))
 
 
+def test_the_library_is_given_joined_and_new_words_only():
+    public = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    path = public.path("word_bpe_49k.json")
+    encoder = tokens.Encoder(path)
+    plain, encoder.tokenizer = encoder.tokenizer, Counted(encoder.tokenizer)
+    want = lambda texts: [[*x.ids, 1] for x in plain.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+    same = lambda got, texts: got[0].tolist() == sum(want(texts), []) and got[1].tolist() == [len(x) for x in want(texts)]
+    words = [f"wörd{chr(97 + n % 26)}{n}'s<|endoftext|>Σ" for n in range(1000)]
+    for texts in ([" ".join(words), None, ""], [*words[::-1], "\n".join(words)]):
+        assert same(encoder.of(pa.array(texts)), texts)
+    assert encoder.tokenizer.texts == 4  # 1000 words in texts of 256, once
+    assert tokens._encoder(path, 0) is tokens._encoder(path, 0)
+    # Words that hold the mark, and more words than may be remembered.
+    few = tokens.Encoder(path, most_words=20)
+    for a in range(0, 200, 7):
+        texts = [" ".join(words[a : a + 9] + words[:3]), "x\x01 \x01 a\x01b" if a % 2 else "\x01y"[a % 3 :]]
+        assert same(few.of(pa.array(texts)), texts)
+    assert len(few.known) < 60
+
+
 def test_token_ids(spark, docs, odd, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
