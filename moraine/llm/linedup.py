@@ -4,9 +4,9 @@ A line is the set of its words.  Two lines match if the Jaccard similarity of
 their sets is 0.8 or more, and a line is removed if it matches any earlier one, by
 (id, text hash, line number), whether or not that one is itself removed.
 
-* Words are counted over all documents.  The most frequent ones, as many powers of
-  two of the count as fit into `FREQUENT` words, go to all tasks; words order by
-  count and hash, those outside of that table first.
+* Words are counted over all documents, in two rows of `COUNTERS` counters that go to
+  all tasks.  A word's count is the lesser of its two counters, never below the true
+  one; words order by that count and hash.  Any one order gives the same matches.
 * Lines of equal sets become one class, numbered in the order of first occurrences.
 * Classes meet where their prefixes (n - ceil(0.8 n) + 1 rarest words) share a word,
   and have to pass the length filter, the positional filter and a bitmap filter
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import LAST, drop_folder, keyed, scratch, settled
 from .hashing import hashes_of, mix, parts
 
-FREQUENT, CROWD = 1 << 18, 128
+COUNTERS, CROWD = 1 << 17, 128
 #: So many wanted lines (of 28 bytes) are sent to all tasks at most; beyond that texts are dealt out to meet them.
 BROADCAST_LINES = 150_000
 #: Slices of text that are held at once: the arrays of its lines' sets take many times a text, those of a count fewer.
@@ -60,36 +60,41 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarra
     return np.diff(np.asarray(lines.offsets)), coded.dictionary, line[kept], at[kept]
 
 
+def _counters(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of words, by their hashes, in each of the two rows."""
+    last = np.uint64(COUNTERS - 1)
+    return (value & last).astype(np.int64), ((value >> np.uint64(32)) & last).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counters, once: those of the second row have numbers from `COUNTERS`."""
+    total = np.zeros((2, COUNTERS), np.int64)
     for batch in parts(batches, "text", **_COUNTED):
         _, words, _, at = _split(batch.column("text"))
         n = np.bincount(at, minlength=len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes_of(words).view(np.int64)[n > 0]), pa.array(n[n > 0])], ["word", "n"])
-
-
-def frequent_words(texts: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and counts of the most frequent words; at most `FREQUENT` of them."""
-    counts = settled(texts.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), f"{folder}/words")
-    held, least = 0, 63
-    for power, words in sorted(((r["power"], r["words"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True):
-        held += words
-        if held > FREQUENT:
-            break
-        least = power
-    table = counts.where(F.col("n") >= min(2**least, LAST)).toArrow()
-    drop_folder(texts.sparkSession, f"{folder}/words")
-    words, n = np.asarray(table["word"].combine_chunks()).view(np.uint64), np.asarray(table["n"].combine_chunks())
-    order = np.argsort(words)
-    return words[order], n[order]
-
-
-def line_sets(texts: pa.Array, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
-    """The text and number of each line with words, and (d1, d2, n, b1, b2, prefix) of its set."""
+        for row, counter in zip(total, _counters(hashes_of(words))):
+            # Sums of doubles are exact here: a slice has far fewer than 2 ** 53 words.
+            row += np.bincount(counter, n, COUNTERS).astype(np.int64)
+    total = total.reshape(-1)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+
+
+def word_counters(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Both rows of counters of the words of all texts."""
+    table = texts.select("text").mapInArrow(_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(2 * COUNTERS, np.int64)
+    total[np.asarray(table["counter"].combine_chunks())] = np.asarray(table["n"].combine_chunks())
+    return total[:COUNTERS], total[COUNTERS:]
+
+
+def line_sets(texts: pa.Array, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+    """The text and number of each line with words, and (d1, d2, n, b1, b2, prefix) of its set; `one` and `two` are rows of counters or empty."""
     lines, words, line, at = _split(texts)
     value = hashes_of(words)
-    if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)
-        often = np.where(frequent[place] == value, counts[place], 0)
+    if len(one):
+        first, second = _counters(value)
+        often = np.minimum(one[first], two[second])
     else:
         often = np.zeros(len(value), np.int64)
     order = np.lexsort((value, often))
@@ -174,7 +179,7 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     """(id, row, removed): the numbers of the lines to remove from each document, by `keyed`, that loses one."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     texts = keyed(docs, doc, text)
-    held = spark.sparkContext.broadcast(frequent_words(texts, folder))
+    held = spark.sparkContext.broadcast(word_counters(texts))
     lines = settled(texts.where("text is not null").mapInArrow(_lines(held), "id long, row long, nth int, d1 long, d2 long, n int, b1 long, b2 long, prefix array<long>"), f"{folder}/lines")
     place = F.struct(*_PLACE)
     firsts = settled(lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")), f"{folder}/firsts")

@@ -343,6 +343,20 @@ def test_line_sets_take_little_memory():
     assert seen == 120_000 and peak < 50 << 20
 
 
+def test_word_counts_of_a_task_take_bounded_rows(spark):
+    """A task sends its counters once, whatever it has read, and no count is below the true one."""
+    words = [f"w{n}" for n in range(150_000)]
+    texts = [" ".join(words[a : a + 500]) for a in range(0, len(words), 500)] * 2 + ["often " * 5000, None, "", "often\tw7\n"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a : a + 40])], ["text"]) for a in range(0, len(texts), 40)]
+    rows = sum(x.num_rows for x in linedup._count(iter(batches)))
+    assert rows < 200_000 < 2 * len(words)
+    one, two = linedup.word_counters(spark.createDataFrame([(x,) for x in texts], "text string").repartition(3))
+    assert one.sum() == two.sum() == 2 * 150_000 + 5002
+    at = linedup._counters(hashes_of(pa.array([*words, "often"])))
+    least = np.minimum(one[at[0]], two[at[1]])
+    assert (least[:-1] >= 2).all() and 5001 <= least[-1] < 5030
+
+
 def test_word_hashes_of_arrays():
     import pyarrow as pa
 
