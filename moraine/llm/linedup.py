@@ -8,10 +8,12 @@ their sets is 0.8 or more, and a line is removed if it matches any earlier one,
   all tasks.  A word's count is the lesser of its two counters, never below the true
   one; words order by that count and hash.  Any one order gives the same matches.
 * Lines of equal sets become one class, numbered in the order of first occurrences.
-* Classes meet where their prefixes (n - ceil(0.8 n) + 1 rarest words) share a word,
+* Classes meet where the prefix of one (n - ceil(0.8 n) + 1 rarest words) shares a
+  word with the shorter prefix (n - ceil(8/9 n) + 1) of one of as many words or fewer,
   and have to pass the length filter, the positional filter and a bitmap filter
   (128 parity bits bound the overlap from above); no filter can lose a match.
-* At words of more than `CROWD` classes all are first held against the earliest.
+* At words in the shorter prefixes of more than `CROWD` classes all are first held
+  against the earliest of those.
   Those that this removes only take part as earlier classes of the others from then
   on, so a crowd of variants of one line never meets pair by pair.
 * Candidates are verified on the words themselves.
@@ -46,6 +48,8 @@ BROADCAST_LINES = 150_000
 #: Slices of text that are held at once: the arrays of its lines' sets take many times a text, those of a count fewer.
 _COUNTED, _SLICED = ({"most_bytes": n << 20, "most_rows": 20_000} for n in (4, 1))
 _PLACE = ("id", "row", "nth")
+#: Of a prefix, the n - ceil(8/9 n) + 1 rarest words.  A match of two lines shares one of them, of the line of fewer words, with the other's prefix.
+_INDEXED = "9 * at <= n"
 
 
 def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
@@ -97,10 +101,15 @@ def line_sets(texts: pa.Array, one: np.ndarray, two: np.ndarray) -> tuple[np.nda
         often = np.minimum(one[first], two[second])
     else:
         often = np.zeros(len(value), np.int64)
-    order = np.lexsort((value, often))
+    # One key of 24 bits of the count and 40 of the hash, which is all that `prefix` holds: words of equal keys are one word there.
+    order = np.argsort((np.minimum(often, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (value >> np.uint64(24)))
     rarity = np.empty(len(value), np.uint64)
     rarity[order] = np.arange(len(value), dtype=np.uint64)
-    key = np.unique((line.astype(np.uint64) << np.uint64(32)) | rarity[at])
+    key = (line.astype(np.uint64) << np.uint64(32)) | rarity[at]
+    key.sort()  # np.unique hashes integers, which takes twenty times as long
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    key = key[new]
     owner, word = (key >> np.uint64(32)).astype(np.int64), value[order][(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
     start = np.flatnonzero(np.diff(owner, prepend=-1))
     n = np.diff(np.append(start, len(owner)))
@@ -158,7 +167,7 @@ def _matched(docs: DataFrame, classes: DataFrame, sets: DataFrame, folder: str)
     """(c): the classes that match an earlier class; `sets` has their n, bitmaps and prefixes."""
     spark = docs.sparkSession
     members = sets.select("c", "n", "b1", "b2", F.posexplode("prefix").alias("at", "word"))
-    crowds = settled(members.groupBy("word").agg(F.count(F.lit(1)).alias("classes"), F.min("c").alias("c")).where(F.col("classes") > CROWD).select("word", "c"), f"{folder}/crowds")
+    crowds = settled(members.where(_INDEXED).groupBy("word").agg(F.count(F.lit(1)).alias("classes"), F.min("c").alias("c")).where(F.col("classes") > CROWD).select("word", "c"), f"{folder}/crowds")
     heads = settled(members.join(crowds, ["word", "c"]), f"{folder}/heads")
     small = heads.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     led = members.alias("x").join((F.broadcast(heads) if small else heads).alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("y.c") < F.col("x.c")) & _reach("x", "y"))
@@ -166,10 +175,12 @@ def _matched(docs: DataFrame, classes: DataFrame, sets: DataFrame, folder: str)
     done = settled(_verified(docs, classes, led, f"{folder}/led"), f"{folder}/done")
     drop_folder(spark, *(f"{folder}/{x}" for x in ("crowds", "heads", "led", "led-wanted", "led-text")))
     flagged = sets.join(done.withColumn("done", F.lit(1)), "c", "left").select("c", "n", "b1", "b2", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word"))
-    # `done` is tested together with the other side, so that both sides stay one plan and share one shuffle.
-    open_ = F.col("x.done") * 2 + F.least(F.col("y.done"), F.lit(0)) == 0
-    met = flagged.alias("x").join(flagged.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("y.c") < F.col("x.c")) & open_ & _reach("x", "y"))
-    pairs = settled(met.select(F.col("x.c").alias("x"), F.col("y.c").alias("y")).distinct(), f"{folder}/pairs")
+    shorter = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.c") < F.col("x.c")))
+    # The later class has to be open.  What holds for `y` alone is tested together with `x`, so that both sides stay one plan and share one shuffle.
+    open_ = F.when(F.col("y.c") < F.col("x.c"), F.col("x.done")).otherwise(F.col("y.done")) == 0
+    indexed = F.col("y.at") * 9 + F.least(F.col("x.n"), F.lit(0)) <= F.col("y.n")
+    met = flagged.alias("x").join(flagged.alias("y"), (F.col("x.word") == F.col("y.word")) & indexed & shorter & open_ & _reach("x", "y"))
+    pairs = settled(met.select(F.greatest("x.c", "y.c").alias("x"), F.least("x.c", "y.c").alias("y")).distinct(), f"{folder}/pairs")
     matched = settled(_verified(docs, classes, pairs, f"{folder}/pairs").union(done), f"{folder}/matched")
     drop_folder(spark, *(f"{folder}/{x}" for x in ("done", "pairs", "pairs-wanted", "pairs-text")))
     return matched

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -357,6 +358,59 @@ def test_word_counts_of_a_task_take_bounded_rows(spark):
     assert (least[:-1] >= 2).all() and 5001 <= least[-1] < 5030
 
 
+def test_line_sets_take_little_time_beyond_splitting():
+    """Sets are made by sorting: the hash tables of np.unique took more than all of the rest."""
+    rng = random.Random(9)
+    texts = pa.array(["\n".join(" ".join(_words(rng, 50, 20_000)) for _ in range(20)) for _ in range(150)])
+    one = np.ones(linedup.COUNTERS, np.int64)
+
+    def least(make):
+        took = []
+        for _ in range(9):
+            began = time.process_time()
+            make()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: linedup.line_sets(texts, one, one)) < 3.8 * least(lambda: linedup._split(texts))
+
+
+def test_line_matches_share_an_indexed_word():
+    """Of two matching lines, the prefix of the longer one has one of the words that the shorter one is looked up by."""
+    rng, pool, lines = random.Random(12), [f"p{n}" for n in range(300)], []
+    for _ in range(60):
+        base = rng.sample(pool, rng.randrange(1, 60))
+        lines += [rng.sample(base, max(1, len(base) - rng.randrange(12))) + rng.sample(pool, rng.randrange(4)) for _ in range(6)]
+    counts = np.random.default_rng(3).integers(1, 9, (2, linedup.COUNTERS))
+    _, nth, sets = linedup.line_sets(pa.array(["\n".join(" ".join(x) for x in lines)]), *counts)
+    assert nth.tolist() == list(range(len(lines)))
+    whole, indexed, seen = [set(x) for x in lines], [], 0
+    for n, prefix in zip(sets.column("n").to_pylist(), sets.column("prefix").to_pylist()):
+        indexed.append({w for at, w in enumerate(prefix) if eval(linedup._INDEXED)})
+        assert len(indexed[-1]) == n - (8 * n + 8) // 9 + 1
+    for i, x in enumerate(whole):
+        for j, y in enumerate(whole):
+            if i != j and len(y) <= len(x) and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                seen += 1
+                assert indexed[j] & set(sets.column("prefix")[i].as_py())
+    assert seen > 100
+
+
+def test_line_dedup_of_crowds_of_other_lengths(spark, monkeypatch):
+    """Crowds of lines of unequal lengths, the shorter or the longer one first."""
+    monkeypatch.setattr(linedup, "CROWD", 4)
+    rng, rows = random.Random(14), []
+    pools = [_words(rng, n, 5000) for n in (3, 6, 11, 25, 60)]
+    for i in range(50):
+        lines = []
+        for words in pools:
+            some = [x for x in words if rng.random() < 0.93]
+            lines.append(" ".join([*some, *(f"{i % 7}x{k}" for k in range(rng.randrange(max(2, len(words) // 8))))]))
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: list(r.removed) for r in linedup.query(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.removed}
+    assert got == _line_matches(rows) and 100 < sum(map(len, got.values())) < 250
+
+
 def test_word_hashes_of_arrays():
     import pyarrow as pa
 
