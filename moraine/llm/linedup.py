@@ -42,7 +42,9 @@ from pyspark.sql import functions as F
 from .common import LAST, drop_folder, keyed, scratch, settled
 from .hashing import hashes_of, mix, parts
 
-COUNTERS, CROWD = 1 << 17, 128
+COUNTERS, CROWD = 1 << 19, 128
+#: So many counters go from task to task as one row.
+BLOCK = 1 << 10
 #: So many wanted lines (of 28 bytes) are sent to all tasks at most; beyond that texts are dealt out to meet them.
 BROADCAST_LINES = 150_000
 #: Slices of text that are held at once: the arrays of its lines' sets take many times a text, those of a count fewer.
@@ -70,26 +72,40 @@ def _counters(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (value & last).astype(np.int64), ((value >> np.uint64(32)) & last).astype(np.int64)
 
 
+def _blocks(found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["block", "n"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counters, once: those of the second row have numbers from `COUNTERS`."""
+    """A task's counters, once, in blocks: those of the second row follow those of the first."""
     total = np.zeros((2, COUNTERS), np.int64)
     for batch in parts(batches, "text", **_COUNTED):
         _, words, _, at = _split(batch.column("text"))
         n = np.bincount(at, minlength=len(words))
         for row, counter in zip(total, _counters(hashes_of(words))):
-            # Sums of doubles are exact here: a slice has far fewer than 2 ** 53 words.
-            row += np.bincount(counter, n, COUNTERS).astype(np.int64)
-    total = total.reshape(-1)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+            np.add.at(row, counter, n)
+    yield from _blocks({block: n for block, n in enumerate(total.reshape(-1, BLOCK)) if n.any()})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the blocks of all tasks."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, n in zip(batch.column("block").to_pylist(), batch.column("n")):
+            total[block] = total.get(block, 0) + np.frombuffer(n.as_buffer(), np.int64)
+    yield from _blocks(total)
 
 
 def word_counters(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Both rows of counters of the words of all texts."""
-    table = texts.select("text").mapInArrow(_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(2 * COUNTERS, np.int64)
-    total[np.asarray(table["counter"].combine_chunks())] = np.asarray(table["n"].combine_chunks())
-    return total[:COUNTERS], total[COUNTERS:]
+    kind = "block int, n binary"
+    table = texts.select("text").mapInArrow(_count, kind).repartition("block").mapInArrow(_summed, kind).toArrow()
+    total = np.zeros((2 * COUNTERS // BLOCK, BLOCK), np.int64)
+    for block, n in zip(table["block"].to_pylist(), table["n"]):
+        total[block] = np.frombuffer(n.as_buffer(), np.int64)
+    one, two = total.reshape(2, COUNTERS)
+    return one, two
 
 
 def line_sets(texts: pa.Array, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:

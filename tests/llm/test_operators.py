@@ -411,6 +411,17 @@ def test_line_dedup_of_crowds_of_other_lengths(spark, monkeypatch):
     assert got == _line_matches(rows) and 100 < sum(map(len, got.values())) < 250
 
 
+def test_counters_tell_rare_words_apart(spark):
+    """Counters of all tasks are summed in blocks, and most of 400 000 words have counts of their own."""
+    words = [f"w{n}" for n in range(400_000)]
+    texts = [" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
+    assert sum(x.num_rows for x in linedup._count(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))) <= 1024
+    one, two = linedup.word_counters(spark.createDataFrame([(x,) for x in [*texts, *texts[:10], None]], "text string").repartition(5))
+    at = linedup._counters(hashes_of(pa.array(words)))
+    least = np.minimum(one[at[0]], two[at[1]])
+    assert one.sum() == two.sum() == 410_000 and (least[:10_000] >= 2).all() and least.min() == 1 and least[10_000:].mean() < 1.6
+
+
 def test_word_hashes_of_arrays():
     import pyarrow as pa
 
